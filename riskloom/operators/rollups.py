@@ -91,10 +91,10 @@ def dashboard_stats(projects: DataFrame, scans: DataFrame, findings: DataFrame)
         F.count(F.lit(1)).alias("total_scans"), F.avg("risk_score").alias("avg_risk_score")
     )
     finding_totals = severity_counts(findings, []).withColumnRenamed("findings_count", "total_findings")
-    # three one-row aggregates side by side, keyed by a constant
-    key = F.lit(1).alias("_k")
-    one = [t.select(key, "*") for t in (project_totals, scan_totals, finding_totals)]
-    return one[0].join(one[1], "_k").join(one[2], "_k").drop("_k")
+    parts = project_totals.unionByName(scan_totals, allowMissingColumns=True)
+    parts = parts.unionByName(finding_totals, allowMissingColumns=True)
+    # each column is set in exactly one of the three rows
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
 
 
 def latest_scan(scans: DataFrame) -> DataFrame:

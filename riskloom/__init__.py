@@ -1,5 +1 @@
 """riskloom: risk analytics for large source and text corpora, as Spark jobs."""
-
-from riskloom.session import configure, shared_dir
-
-__all__ = ["configure", "shared_dir"]

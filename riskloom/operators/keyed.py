@@ -128,8 +128,8 @@ def content_key(content: Column, rule_set: str = RULE_SET_VERSION) -> Column:
 def unanalysed(files: DataFrame, analysed_keys: DataFrame, content: str) -> DataFrame:
     """Files whose content has no stored result yet.
 
-    Copies of one content share one hash, so the hashes to look up are made distinct first and the
-    verdict is joined back; the texts themselves are never shuffled for the look-up.
+    Only keys and the columns asked for afterwards are shuffled. Many copies of one content are
+    splittable (an anti join may split its left side), and the stored keys are distinct.
     """
     keyed = files.withColumn("content_key", content_key(F.col(content)))
     known = analysed_keys.select("content_key").distinct()

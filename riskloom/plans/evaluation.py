@@ -11,6 +11,7 @@ from riskloom.operators.findings import scan, security_summary
 from riskloom.operators.ordering import ordinals
 from riskloom.plans import roles
 from riskloom.plans.registry import query
+from riskloom.sources.files import path_order
 from riskloom.sources.tables import table
 
 
@@ -193,23 +194,23 @@ def unanalysed_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "first_files",
-    """SELECT row_number() OVER (ORDER BY path) AS ordinal, path, doc_id
+    """SELECT row_number() OVER (ORDER BY string_split(path, '/')) AS ordinal, path, doc_id
     FROM (SELECT source || '/' || lang || '/' || lpad(doc_id::VARCHAR, 12, '0') AS path, doc_id FROM documents)
-    ORDER BY path LIMIT 20""",
+    ORDER BY string_split(path, '/') LIMIT 20""",
 )
 def first_files(spark: SparkSession, folder: str) -> DataFrame:
     padded = F.lpad(F.col("doc_id").cast("string"), 12, "0")
     paths = table(spark, folder, "documents").select(F.concat_ws("/", "source", "lang", padded).alias("path"), "doc_id")
-    first = paths.orderBy("path").limit(20)
-    return ordinals(first, [], [F.col("path")], "ordinal").select("ordinal", "path", "doc_id")
+    first = paths.orderBy(path_order(F.col("path"))).limit(20)
+    return ordinals(first, [], [path_order(F.col("path"))], "ordinal").select("ordinal", "path", "doc_id")
 
 
 @query(
     "corpus_ordinals",
-    """SELECT row_number() OVER (ORDER BY path) AS ordinal, path
+    """SELECT row_number() OVER (ORDER BY string_split(path, '/')) AS ordinal, path
     FROM (SELECT source || '/' || lang || '/' || lpad(doc_id::VARCHAR, 12, '0') AS path FROM documents)""",
 )
 def corpus_ordinals(spark: SparkSession, folder: str) -> DataFrame:
     padded = F.lpad(F.col("doc_id").cast("string"), 12, "0")
     paths = table(spark, folder, "documents").select(F.concat_ws("/", "source", "lang", padded).alias("path"))
-    return ordinals(paths, [], [F.col("path")], "ordinal").select("ordinal", "path")
+    return ordinals(paths, [], [path_order(F.col("path"))], "ordinal").select("ordinal", "path")

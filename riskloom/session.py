@@ -5,20 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import riskloom
+
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings the jobs rely on (UTC clock, adaptive plans)."""
+    """Apply the run-time settings the jobs rely on (UTC clock, adaptive plans).
+
+    Python functions of this package travel to the executors by value, so they need no installation there.
+    """
+    cloudpickle.register_pickle_by_value(riskloom)
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)

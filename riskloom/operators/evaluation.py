@@ -107,10 +107,9 @@ def bootstrap(rows: DataFrame, key: str, truth: str, predicted: str, iterations:
     units = rows.groupBy(unit.alias("unit")).agg(*cells(F.col(truth), F.col(predicted)))
     spread_units = units.repartition("unit")
     drawn = spread_units.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
-    weight = _poisson_weight(_uniform("unit", "iteration"))
-    sums = drawn.withColumn("_w", weight).where("_w > 0").groupBy("iteration").agg(
-        *[F.sum(F.col("_w") * F.col(c)).alias(c) for c in CELLS]
-    )
+    # the draw is a column of its own, so its digest is computed once per row
+    weighed = drawn.withColumn("_u", _uniform("unit", "iteration")).withColumn("_w", _poisson_weight(F.col("_u")))
+    sums = weighed.groupBy("iteration").agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in CELLS])
     measured = ratios(*[F.col(c) for c in CELLS])
     named = F.explode(
         F.array(*[F.struct(F.lit(name).alias("metric"), value.alias("value")) for name, value in measured.items()])

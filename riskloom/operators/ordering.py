@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from riskloom.session import settle
 
-GROUP_LIMIT = 2_000_000
+GROUP_LIMIT = 500_000
 SLICE_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 HOT_SHARE = 1_000  # a key above 1/HOT_SHARE of all rows is hot, so at most HOT_SHARE keys are
+HOT_ROWS = 100_000  # and a key below this many rows never is
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -162,7 +163,9 @@ def digest_sample(df: DataFrame, keys: Sequence[str], ids: Sequence[str], size:
     return kept.drop("_digest", "_prefix", "_rank")
 
 
-def join_many_to_one(many: DataFrame, one: DataFrame, key: str, ids: Sequence[str], salts: int = 64) -> DataFrame:
+def join_many_to_one(
+    many: DataFrame, one: DataFrame, key: str, ids: Sequence[str], salts: int = 64, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Inner join on ``key`` where any share of ``many`` may sit on one key of ``one``.
 
     Keys holding more than 1/``HOT_SHARE`` of the rows (so fewer than ``HOT_SHARE`` of them, a list
@@ -171,7 +174,7 @@ def join_many_to_one(many: DataFrame, one: DataFrame, key: str, ids: Sequence[st
     """
     counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     floor = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n // HOT_SHARE
-    floor = max(floor, 100_000)
+    floor = max(floor, hot_rows)
     hot = [row[key] for row in counts.where(F.col("n") > floor).where(F.col(key).isNotNull()).collect()]
     if not hot:
         return many.join(one, key)
@@ -183,11 +186,13 @@ def join_many_to_one(many: DataFrame, one: DataFrame, key: str, ids: Sequence[st
     return salted.join(repeated, [key, "_salt"]).drop("_salt")
 
 
-def left_join_many(one: DataFrame, many: DataFrame, key: str, ids: Sequence[str]) -> DataFrame:
+def left_join_many(
+    one: DataFrame, many: DataFrame, key: str, ids: Sequence[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """``one`` left join ``many`` on ``key``, safe for a hot key on the ``many`` side.
 
     An outer join cannot split its non-preserved side, so matches and unmatched rows are built apart.
     """
-    matched = join_many_to_one(many, one, key, ids)
+    matched = join_many_to_one(many, one, key, ids, hot_rows=hot_rows)
     unmatched = one.join(many.select(key).distinct(), key, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)

@@ -129,23 +129,27 @@ def sarif_documents(
     order: Sequence[Column],
     size: int = DOCUMENT_ROWS,
 ) -> DataFrame:
-    """SARIF documents ``(artifact, part, document)``; an artifact without results keeps an empty list."""
+    """SARIF documents ``(artifact, part, document)``; an artifact without results keeps an empty list.
+
+    Lists become documents where they were built; only the bare keys take part in the search for
+    artifacts without results.
+    """
     uri = F.coalesce(F.nullif(F.col(artifact).cast("string"), F.lit("")), F.lit(DEFAULT_URI))
     lists = _listed(results, artifact, order, _sarif_result(uri), size)
-    known = artifacts.select(artifact).join(lists, artifact, "left")
+    filled = lists.select(artifact, F.col("part").cast("int").alias("part"), F.to_json("items").alias("_results"))
+    clean = artifacts.select(artifact).join(results.select(artifact).distinct(), artifact, "left_anti")
+    empty = clean.select(artifact, F.lit(0).alias("part"), F.lit("[]").alias("_results"))
     driver = F.struct(F.lit(TOOL_NAME).alias("name"), F.lit(TOOL_VERSION).alias("version"))
-    tool = F.struct(driver.alias("driver"))
-    filled = F.when(F.col("items").isNull(), F.lit("[]")).otherwise(F.to_json("items"))
     head = F.to_json(F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit(SARIF_VERSION).alias("version")))
     document = F.concat(
         F.substring(head, F.lit(1), F.length(head) - 1),
         F.lit(',"runs":[{"tool":'),
-        F.to_json(tool),
+        F.to_json(F.struct(driver.alias("driver"))),
         F.lit(',"results":'),
-        filled,
+        F.col("_results"),
         F.lit("}]}"),
     )
-    return known.select(artifact, F.coalesce("part", F.lit(0)).cast("int").alias("part"), document.alias("document"))
+    return filled.unionByName(empty).select(artifact, "part", document.alias("document"))
 
 
 def report_json(reports: DataFrame, pretty: bool = False) -> Column:

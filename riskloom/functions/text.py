@@ -41,13 +41,18 @@ def repo_id(repo: Column) -> Column:
     return F.lower(F.translate(repo, "/", "-"))
 
 
+def stripped(value: Column) -> Column:
+    """Text without leading and trailing white space of any kind."""
+    return F.regexp_replace(value, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def key_line(function_key: Column) -> Column:
     """Line number of a key ``name@line:...``; 1 when there is none.
 
     Accepts what an integer literal in text may be: outer blanks, a sign, single underscores between digits.
     """
     after = F.get(F.split(function_key, "@"), F.lit(1))
-    number = F.trim(F.get(F.split(after, ":"), F.lit(0)))
+    number = stripped(F.get(F.split(after, ":"), F.lit(0)))
     whole = number.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$")
     line = F.when(whole, F.translate(number, "_", "").try_cast("bigint"))
     return F.coalesce(line, F.lit(1).cast("bigint"))

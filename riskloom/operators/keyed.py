@@ -125,12 +125,14 @@ def content_key(content: Column, rule_set: str = RULE_SET_VERSION) -> Column:
     return F.concat_ws(":", F.lit(rule_set), F.sha2(content, 256))
 
 
-def unanalysed(files: DataFrame, analysed_keys: DataFrame, content: str) -> DataFrame:
+def unanalysed(
+    files: DataFrame, analysed_keys: DataFrame, content: str, rule_set: str = RULE_SET_VERSION
+) -> DataFrame:
     """Files whose content has no stored result yet.
 
     Only keys and the columns asked for afterwards are shuffled. Many copies of one content are
     splittable (an anti join may split its left side), and the stored keys are distinct.
     """
-    keyed = files.withColumn("content_key", content_key(F.col(content)))
+    keyed = files.withColumn("content_key", content_key(F.col(content), rule_set))
     known = analysed_keys.select("content_key").distinct()
     return keyed.join(known, "content_key", "left_anti")

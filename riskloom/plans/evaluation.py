@@ -43,13 +43,13 @@ truths AS (SELECT doc_id, toxic = 1 AS truth, CASE toxic WHEN 1 THEN 'VULNERABLE
 
 _CELLS = """count(*) FILTER (truth AND p) AS tp, count(*) FILTER (NOT truth AND p) AS fp,
   count(*) FILTER (truth AND NOT p) AS fn, count(*) FILTER (NOT truth AND NOT p) AS tn"""
-_RATIOS = """round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall,
-  round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round((tp + tn) / nullif(tp + fp + fn + tn, 0), 6) AS accuracy"""
+_RATIOS = """round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall,
+  round(2 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1, round((tp + tn) / nullif(tp + fp + fn + tn, 0), 9) AS accuracy"""
 _MEASURES = ("precision", "recall", "f1", "accuracy")
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumns({m: F.round(m, 6) for m in _MEASURES})
+    return df.withColumns({m: F.round(m, 9) for m in _MEASURES})
 
 
 @query(

@@ -49,7 +49,11 @@ def projects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scans(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").select(
+    return scan_rows(table(spark, folder, "orders"))
+
+
+def scan_rows(orders: DataFrame) -> DataFrame:
+    return orders.select(
         F.col("o_orderkey").alias("scan_id"),
         F.col("o_custkey").alias("project_id"),
         F.col("o_orderstatus").alias("status"),

@@ -266,14 +266,14 @@ def graph_descriptors(spark: SparkSession, folder: str) -> DataFrame:
       SELECT graph_id, split_part(node, ':', 1) AS community, split_part(other, ':', 1) AS far FROM ends),
     sums AS (SELECT graph_id, community, count(*) AS degree, count(*) FILTER (community = far) AS inner_ends
       FROM labelled GROUP BY ALL)
-    SELECT graph_id, round(sum(inner_ends) / sum(degree) - sum(degree * degree) / (sum(degree) * sum(degree)), 6)
+    SELECT graph_id, round(sum(inner_ends) / sum(degree) - sum(degree * degree) / (sum(degree) * sum(degree)), 12)
       AS modularity FROM sums GROUP BY 1""",
 )
 def modularity(spark: SparkSession, folder: str) -> DataFrame:
     edges, nodes = message_graphs(spark, folder)
     community = nodes.withColumn("community", F.substring_index("node", ":", 1))
     scored = graphs.modularity(edges, community)
-    return scored.select("graph_id", F.round("modularity", 6).alias("modularity"))
+    return scored.select("graph_id", F.round("modularity", 12).alias("modularity"))
 
 
 @query("spectral_profile")

@@ -8,11 +8,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.functions.levels import risk_tier
+from riskloom.operators import reporting
+from riskloom.plans import roles
+from riskloom.plans.projects import SPLIT
 from riskloom.plans.registry import query
 from riskloom.session import shared_dir
 from riskloom.sources.messages import events_stream, table_stream
 from riskloom.sources.tables import table
 from riskloom.streaming import jobs
+from riskloom.streaming.review import review_batch
 
 # Views and purchases of one project are hours apart in the data; the limit is a parameter of the job.
 LIMIT_SECONDS = 6 * 3_600
@@ -164,3 +169,58 @@ def stream_unread(spark: SparkSession, folder: str) -> DataFrame:
     schema = "user_id BIGINT, unread_count BIGINT, total_count BIGINT, newest_at TIMESTAMP"
     current = jobs.newest_versions(spark, f"{target}/rows", schema, ["user_id"])
     return current.withColumn("newest_at", _text("newest_at"))
+
+
+_PR_TIER = roles.SQL_TIER.format("risk_score")
+
+
+@query(
+    "stream_pr_review",
+    f"""WITH {roles.SQL_SCANS},
+    pushed AS (SELECT * FROM scans WHERE created_at >= TIMESTAMP '{SPLIT}'),
+    baselines AS (SELECT project_id, avg(risk_score) AS before FROM scans WHERE created_at < TIMESTAMP '{SPLIT}' GROUP BY 1),
+    rated AS (SELECT project_id, count(*) AS files, sum(length(severity))::BIGINT AS total_findings,
+      avg(risk_score) AS mean_risk FROM pushed GROUP BY 1),
+    drifted AS (SELECT r.*, abs(mean_risk - before) AS score, CASE WHEN before IS NULL THEN NULL
+        WHEN abs(mean_risk - before) < 0.05 THEN 'STABLE' WHEN mean_risk < before THEN 'IMPROVED'
+        WHEN abs(mean_risk - before) >= 0.5 THEN 'FRACTURED' ELSE 'DEGRADED' END AS trend
+      FROM rated r LEFT JOIN baselines USING (project_id)),
+    lists AS (SELECT project_id, string_agg('| `' || path || '` | ' || printf('%.4f', risk_score) || ' | '
+        || CASE {_PR_TIER} WHEN 'CRITICAL' THEN '🔴' WHEN 'HIGH' THEN '🟠' WHEN 'MEDIUM' THEN '🟡' ELSE '🟢' END
+        || ' ' || {_PR_TIER} || ' | ' || length(severity) || ' |', chr(10) ORDER BY path) AS items
+      FROM (SELECT *, 'scan/' || lpad(scan_id::VARCHAR, 12, '0') AS path FROM pushed) GROUP BY 1)
+    SELECT project_id, 0 AS part, files, total_findings, round(mean_risk, 12) AS mean_risk,
+      {roles.SQL_TIER.format('mean_risk')} AS risk_tier, round(CASE WHEN trend IS NOT NULL THEN score END, 12) AS drift_score,
+      trend AS risk_trend,
+      '## Risk analysis' || chr(10) || chr(10) || '| File | Risk Score | Tier | Findings |'
+      || chr(10) || '|------|-----------|------|----------|' || chr(10) || items
+      || coalesce(chr(10) || chr(10) || '**Drift:** ' || trend || ' ' || CASE trend WHEN 'STABLE' THEN '→'
+           WHEN 'IMPROVED' THEN '↓' ELSE '↑' END || ' ' || printf('%.4f', score) || ' from baseline', '')
+      || chr(10) || chr(10) || '{reporting.COMMENT_MARKER}' AS body
+    FROM drifted JOIN lists USING (project_id)""",
+)
+def stream_pr_review(spark: SparkSession, folder: str) -> DataFrame:
+    split = F.lit(SPLIT).cast("timestamp_ntz")
+    baselines = roles.scans(spark, folder).where(F.col("created_at") < split).groupBy("project_id").agg(
+        F.avg("risk_score").alias("risk_before")
+    )
+    pushed = roles.scan_rows(table_stream(spark, folder, "orders")).where(F.col("created_at") >= split)
+    padded = F.lpad(F.col("scan_id").cast("string"), 12, "0")
+    files = pushed.select(
+        "project_id",
+        F.concat(F.lit("scan/"), padded).alias("file_path"),
+        "risk_score",
+        risk_tier(F.col("risk_score")).alias("risk_tier"),
+        F.length("severity").alias("findings_count"),
+    )
+    target = shared_dir(spark, "stream-review")
+    job = jobs.versions_to(
+        files, f"{target}/rows", f"{target}/progress", "append", review_batch(baselines, "project_id")
+    )
+    job.awaitTermination()
+    schema = (
+        "project_id BIGINT, part INT, body STRING, files BIGINT, total_findings BIGINT, mean_risk DOUBLE, "
+        "risk_tier STRING, drift_score DOUBLE, risk_trend STRING"
+    )
+    posted = jobs.newest_versions(spark, f"{target}/rows", schema, ["project_id", "part"])
+    return posted.withColumns({"mean_risk": F.round("mean_risk", 12), "drift_score": F.round("drift_score", 12)})

@@ -133,7 +133,7 @@ def test_number_formats_round_like_their_sources(spark, places):
 
 def test_function_key_lines(spark):
     keys = {"a@12:f": 12, "a": 1, "a@": 1, "a@x": 1, "a@ 7 :f": 7, "a@+3": 3, "a@1_0:b@9": 10, "a@-4": -4, "a@1__0": 1,
-            "a@5@6": 5, "": 1}
+            "a@5@6": 5, "": 1, "a@\t8\n:x": 8}
     rows = spark.createDataFrame([(k, v) for k, v in keys.items()], "k STRING, line INT").select(
         "k", "line", text.key_line(F.col("k")).alias("found")
     ).collect()
@@ -173,12 +173,14 @@ def test_small_strings(spark):
         text.plural(F.lit(1), "project").alias("one"), text.plural(F.lit(0), "project").alias("none"),
         text.capitalised(F.lit("running")).alias("cap"), text.capitalised(F.lit("")).alias("empty"),
         text.name_or_login(F.lit(""), F.lit("me")).alias("login"),
+        text.stripped(F.lit("\t\n key \u00a0\r\n")).alias("secret"),
         text.utc_iso(F.timestamp_seconds(F.lit(0))).alias("iso"),
         text.editor_message(F.lit("HIGH"), F.lit("c"), F.lit("n"), F.lit(0.125)).alias("editor"),
         text.hover_text(F.lit("HIGH"), F.lit("c"), F.lit("n")).alias("hover"),
         text.status_line(F.lit(0.125), F.lit("LOW")).alias("status"),
     ).first()
     assert (row.one, row.none, row.cap, row.empty, row.login) == ("1 project", "0 projects", "Running", "", "me")
+    assert row.secret == "key"
     assert row.iso.startswith("1970-01-01T00:00:00.000000")
     assert row.editor == "[HIGH] c | n | confidence 13%" and row.hover == "[HIGH] c: n" and row.status == "0.13 [LOW]"
 

@@ -9,7 +9,7 @@ from riskloom.functions import scanner
 from riskloom.operators import keyed
 from riskloom.operators.findings import scan
 from riskloom.session import checkpoint_root, shared_dir
-from riskloom.sources import files, relational, results, snapshots
+from riskloom.sources import files, models, relational, results, snapshots, store
 
 
 def test_corpus_scan(spark, tmp_path):
@@ -151,3 +151,45 @@ def test_relational_reader_is_partitioned(spark):
 def test_shared_folder_follows_the_session(spark):
     assert shared_dir(spark, "x").startswith(checkpoint_root(spark))
     assert shared_dir(spark, "x") != shared_dir(spark, "x")
+
+
+def test_analysis_is_reused_between_runs(spark, tmp_path):
+    target, schema, seen = str(tmp_path / "store"), "content_key STRING, size INT", []
+
+    def analyse(contents):
+        seen.append(sorted(r.text for r in contents.collect()))
+        return contents.select("content_key", F.length("text").alias("size"))
+
+    def run(rows, rule_set="1"):
+        sources = spark.createDataFrame(rows, "id INT, text STRING")
+        found = store.analysed(sources, "id", "text", target, schema, analyse, rule_set)
+        return {(r.id, r.size) for r in found.collect()}
+
+    first = run([(1, "a"), (2, "bb"), (3, "a")])
+    assert first == {(1, 1), (2, 2), (3, 1)} and run([(1, "a"), (2, "bb"), (3, "a")]) == first
+    assert run([(1, "a"), (4, "ccc")]) == {(1, 1), (4, 3)}
+    run([(1, "a")], rule_set="2")
+    assert seen == [["a", "bb"], [], ["ccc"], ["a"]]
+
+
+def test_table_is_built_once(spark, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert store.built_once(spark, str(tmp_path / "t"), "id BIGINT", build).count() == 3
+    assert calls == [1]
+
+
+def test_report_records(spark, tmp_path):
+    (tmp_path / "r.json").write_text(
+        '{"file_path": "a.py", "unified_risk_score": 0.5,\n "fusion_weights": [0.2, 0.3, 0.5],'
+        ' "security_findings": [{"severity": "HIGH", "line_number": 3}, {"severity": "LOW"}]}'
+    )
+    reports = models.read_records(spark, str(tmp_path / "r.json"), "reports", multiline=True)
+    assert [(r.file_path, r.severity, r.line_number) for r in models.report_findings(reports).collect()] == [
+        ("a.py", "HIGH", 3), ("a.py", "LOW", None)]
+    assert models.report_functions(reports).count() == 0

@@ -47,27 +47,35 @@ def degrees(simple: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 
 def components(simple: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Component label (smallest node) per node, by minimum exchange with label shortcuts.
+    """Component label (smallest node) per node, in a logarithmic number of rounds.
 
-    Every round takes the smallest label among neighbours, then follows the label's own label, so long
-    paths shrink geometrically. Rounds are settled to reliable storage and stop when nothing changes.
+    A round has three steps: every node hears the smallest label around it; it passes what it heard on
+    to the node its label names, so whole labelled groups merge at once; and it follows its new label's
+    own label. Without the second step a long path with shuffled names takes a round per few nodes.
+    Each round is settled, and the last one finds nothing to change.
     """
     links = settle(both_ways(simple))
     state = settle(nodes.select("graph_id", "node").distinct().withColumn("label", F.col("node")))
     for _ in range(max_rounds):
-        heard = (
-            links.join(state.withColumnRenamed("node", "other"), ["graph_id", "other"])
+        around = links.join(state.withColumnRenamed("node", "other"), ["graph_id", "other"]).select(
+            "graph_id", "node", "label"
+        )
+        own = state.withColumn("old", F.col("label"))
+        heard = settle(
+            own.unionByName(around, allowMissingColumns=True)
             .groupBy("graph_id", "node")
-            .agg(F.min("label").alias("heard"))
+            .agg(F.max("old").alias("old"), F.min("label").alias("label"))
         )
-        lowered = state.join(heard, ["graph_id", "node"], "left").select(
-            "graph_id", "node", F.col("label").alias("old"), F.least("label", "heard").alias("label")
+        passed = heard.groupBy("graph_id", F.col("old").alias("node")).agg(F.min("label").alias("passed"))
+        merged = heard.join(passed, ["graph_id", "node"], "left").select(
+            "graph_id", "node", "old", F.least("label", "passed").alias("label")
         )
-        owners = lowered.select("graph_id", F.col("node").alias("label"), F.col("label").alias("root"))
-        jumped = lowered.join(owners, ["graph_id", "label"], "left").select(
-            "graph_id", "node", "old", F.least("label", "root").alias("label")
+        owners = merged.select("graph_id", F.col("node").alias("label"), F.col("label").alias("root"))
+        after = settle(
+            merged.join(owners, ["graph_id", "label"], "left").select(
+                "graph_id", "node", "old", F.least("label", "root").alias("label")
+            )
         )
-        after = settle(jumped)
         state = after.drop("old")
         if after.where("old <> label").isEmpty():
             return state

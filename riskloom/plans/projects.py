@@ -155,9 +155,14 @@ def _halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     scans = roles.scans(spark, folder)
     day = F.floor(F.unix_timestamp(F.col("created_at").cast("timestamp")) / 86400) % 7
     key = F.concat("severity", F.lit("@"), day.cast("string"), F.lit(":"), "status").alias("function_key")
-    current = (F.col("created_at") >= F.lit(SPLIT).cast("timestamp_ntz")).alias("is_current")
-    best = scans.groupBy("project_id", key, current).agg(F.max("risk_score").alias("risk"))
-    return best.where("not is_current").drop("is_current"), best.where("is_current").drop("is_current")
+    keyed_scans = scans.select("project_id", key, "created_at", "risk_score")
+    split = F.lit(SPLIT).cast("timestamp_ntz")
+
+    def best(half: DataFrame) -> DataFrame:
+        # grouped by exactly the keys the diff joins on, so the join needs no further shuffle
+        return half.groupBy("project_id", "function_key").agg(F.max("risk_score").alias("risk"))
+
+    return best(keyed_scans.where(F.col("created_at") < split)), best(keyed_scans.where(F.col("created_at") >= split))
 
 
 @query(

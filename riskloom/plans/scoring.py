@@ -15,7 +15,7 @@ from riskloom.operators.findings import CATEGORIES, scan, security_summary
 from riskloom.plans import roles
 from riskloom.plans.projects import SPLIT, _HALVES, _halves
 from riskloom.plans.registry import query
-from riskloom.session import spread
+from riskloom.session import settle, spread
 from riskloom.sources.tables import table
 
 _GAUSS = 0.5 * (math.log(2 * math.pi) + math.log(2.0))
@@ -222,6 +222,12 @@ def message_graphs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return graphs.simple_edges(edges), nodes
 
 
+def settled_graphs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The same graphs, built once for queries that read them several times."""
+    edges, nodes = message_graphs(spark, folder)
+    return settle(edges), settle(nodes)
+
+
 SQL_GRAPHS = """states AS (
   SELECT user_id AS graph_id, ts, event_id, event_type || ':' || CASE WHEN value < 10 THEN 'a' WHEN value < 40 THEN 'b'
     ELSE 'c' END AS state FROM events),
@@ -252,7 +258,7 @@ described AS (
     FROM described JOIN (SELECT graph_id, count(DISTINCT root) AS components FROM roots GROUP BY 1) USING (graph_id)""",
 )
 def graph_descriptors(spark: SparkSession, folder: str) -> DataFrame:
-    edges, nodes = message_graphs(spark, folder)
+    edges, nodes = settled_graphs(spark, folder)
     described = graphs.descriptors(edges, nodes)
     counts = graphs.component_counts(graphs.components(edges, nodes))
     rounded = ["density", "mean_degree", "degree_variance", "energy_bound"]
@@ -293,7 +299,7 @@ def spectral_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("spectral_estimates")
 def spectral_estimates(spark: SparkSession, folder: str) -> DataFrame:
-    edges, nodes = message_graphs(spark, folder)
+    edges, nodes = settled_graphs(spark, folder)
     found = spectral.estimates(edges, nodes)
     measures = ["lambda_max", "residual_max", "lambda_2", "residual_2"]
     return found.select("graph_id", "order", *[F.round(m, 6).alias(m) for m in measures])
@@ -301,7 +307,7 @@ def spectral_estimates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("graph_feature_vectors")
 def graph_feature_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    edges, nodes = message_graphs(spark, folder)
+    edges, nodes = settled_graphs(spark, folder)
     vectors = spectral.feature_vectors(
         graphs.descriptors(edges, nodes),
         spectral.extremes(edges, nodes),

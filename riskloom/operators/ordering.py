@@ -172,12 +172,12 @@ def join_many_to_one(
     small enough to send everywhere) are split by a hash of ``ids`` into ``salts`` parts; their single
     row of ``one`` is repeated once per part. All other keys join as usual.
     """
-    counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    floor = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n // HOT_SHARE
-    floor = max(floor, hot_rows)
-    hot = [row[key] for row in counts.where(F.col("n") > floor).where(F.col(key).isNotNull()).collect()]
-    if not hot:
+    counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    size = counts.agg(F.sum("n").alias("total"), F.max("n").alias("largest")).first()
+    floor = max((size.total or 0) // HOT_SHARE, hot_rows)
+    if (size.largest or 0) <= floor:
         return many.join(one, key)
+    hot = [row[key] for row in counts.where(F.col("n") > floor).collect()]
     is_hot = F.col(key).isin(hot)
     part = F.when(is_hot, F.pmod(F.xxhash64(*ids), F.lit(salts))).otherwise(F.lit(0))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

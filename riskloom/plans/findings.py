@@ -11,7 +11,7 @@ from riskloom.operators.findings import scan
 from riskloom.operators.ordering import left_join_many, ordinals
 from riskloom.plans import roles
 from riskloom.plans.registry import query
-from riskloom.session import spread
+from riskloom.session import settle, spread
 from riskloom.sources.tables import table
 
 _HITS = "SELECT {key}, line_number::INT AS line_number, category, severity, confidence_score, node_path FROM rule_hits"
@@ -90,7 +90,8 @@ def sorted_findings_nulls_last(spark: SparkSession, folder: str) -> DataFrame:
     found = roles.findings(spark, folder).select(
         "scan_id", "category", "confidence_score", "part_id", "rule_id", "line_number", "weight"
     )
-    rows = left_join_many(scans, found, "scan_id", ["part_id", "line_number", "weight"])
+    # sizing, range sampling and sorting each read the joined rows: join once
+    rows = settle(left_join_many(scans, found, "scan_id", ["part_id", "line_number", "weight"]))
     order = reporting.table_order(rows, [("category", "desc"), ("confidence_score", "asc")])
     ties = [F.col(c).asc_nulls_last() for c in ("scan_id", "line_number", "part_id", "rule_id", "weight")]
     placed = ordinals(rows, [], [*order, *ties], "position")

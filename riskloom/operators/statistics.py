@@ -90,11 +90,12 @@ def fit_full(vectors: DataFrame, vector: str) -> Population:
 
 def mahalanobis_diagonal(vector: Column, population: Population) -> Column:
     """Distance with a diagonal covariance; a dimension without spread contributes nothing."""
-    terms = [
-        F.pow(F.get(vector, F.lit(j)).cast("double") - F.lit(mean), F.lit(2.0)) / F.lit(variance)
+    offsets = [
+        (F.get(vector, F.lit(j)).cast("double") - F.lit(mean), variance)
         for j, (mean, variance) in enumerate(zip(population.mean, population.variance, strict=True))
         if variance > 0
     ]
+    terms = [offset * offset / F.lit(variance) for offset, variance in offsets]
     return F.sqrt(reduce(add, terms)) if terms else F.lit(0.0)
 
 
@@ -120,13 +121,18 @@ def renyi_of_probabilities(power_sum: Column, entropy_sum: Column, alpha: float)
     return F.ln(power_sum) / (1 - alpha)
 
 
+def _powered(x: Column, alpha: float) -> Column:
+    """``x ** alpha``; the usual order 2 as a plain product."""
+    return x * x if alpha == 2 else F.pow(x, F.lit(float(alpha)))
+
+
 def renyi_discrete(rows: DataFrame, keys: Sequence[str], category: str, alpha: float = 2.0) -> DataFrame:
     """Rényi entropy of a category's distribution per key: two combinable aggregations."""
     counts = rows.groupBy(*keys, category).agg(F.count(F.lit(1)).alias("n"))
     # sum(p^a) = sum(n^a) / N^a and -sum(p ln p) = ln N - sum(n ln n) / N need no join back to the total
     n = F.col("n").cast("double")
     total = F.sum(n)
-    power = F.sum(F.pow(n, F.lit(float(alpha)))) / F.pow(total, F.lit(float(alpha)))
+    power = F.sum(_powered(n, alpha)) / _powered(total, alpha)
     shannon = F.ln(total) - F.sum(n * F.ln(n)) / total
     return counts.groupBy(*keys).agg(
         F.sum("n").alias("total"), renyi_of_probabilities(power, shannon, alpha).alias("renyi_entropy")
@@ -137,9 +143,9 @@ def renyi_of_vector(vector: Column, alpha: float = 2.0) -> Column:
     """Rényi entropy of one vector's absolute values taken as a distribution; 0 for a zero vector."""
     sizes = F.transform(vector, lambda x: F.abs(x.cast("double")))
     total = F.aggregate(sizes, F.lit(0.0), lambda s, x: s + x)
-    powers = F.aggregate(sizes, F.lit(0.0), lambda s, x: s + F.pow(x, F.lit(float(alpha))))
+    powers = F.aggregate(sizes, F.lit(0.0), lambda s, x: s + _powered(x, alpha))
     logs = F.aggregate(sizes, F.lit(0.0), lambda s, x: s + F.when(x > 0, x * F.ln(x)).otherwise(0.0))
-    entropy = renyi_of_probabilities(powers / F.pow(total, F.lit(float(alpha))), F.ln(total) - logs / total, alpha)
+    entropy = renyi_of_probabilities(powers / _powered(total, alpha), F.ln(total) - logs / total, alpha)
     return F.when(total > 0, entropy).otherwise(F.lit(0.0))
 
 
@@ -150,11 +156,16 @@ def _gaussian_constant(alpha: float) -> float:
 
 def renyi_differential_of_vector(vector: Column, alpha: float = 2.0) -> Column:
     """Gaussian Rényi entropy of one vector's components; null without spread."""
-    x = F.transform(vector, lambda v: v.cast("double"))
-    size = F.size(x)
-    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / size
-    squares = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
-    variance = F.try_divide(squares, size - 1)
+    # running count, mean and squared deviations: one pass, stable
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(seen: Column, value: Column) -> Column:
+        off = value.cast("double") - seen["mean"]
+        mean = seen["mean"] + off / (seen["n"] + 1)
+        squares = seen["m2"] + off * (value.cast("double") - mean)
+        return F.struct((seen["n"] + 1).alias("n"), mean.alias("mean"), squares.alias("m2"))
+
+    variance = F.aggregate(vector, start, step, lambda seen: F.try_divide(seen["m2"], seen["n"] - 1))
     return F.when(variance > 0, 0.5 * F.ln(variance) + _gaussian_constant(alpha))
 
 

@@ -30,6 +30,11 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return top.n or 0
 
 
+def _fits(df: DataFrame, keys: Sequence[str], limit: int | None) -> bool:
+    """Whether every group is small enough for one task."""
+    return largest_group(df, keys) <= (GROUP_LIMIT if limit is None else limit)
+
+
 def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Globally sort by key and order; tag rows with slice number and position, then settle them."""
     mark = F.monotonically_increasing_id()
@@ -60,10 +65,10 @@ def ordinals(
     keys: Sequence[str],
     order: Sequence[Column],
     out: str = "ordinal",
-    group_limit: int = GROUP_LIMIT,
+    group_limit: int | None = None,
 ) -> DataFrame:
     """1-based position of each row within its key, in ``order`` (which must be total)."""
-    if largest_group(df, keys) <= group_limit:
+    if _fits(df, keys, group_limit):
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     sliced = _slices(df, keys, order)
     before = _slice_offsets(sliced, keys)
@@ -79,10 +84,10 @@ def with_previous(
     keys: Sequence[str],
     order: Sequence[Column],
     columns: dict[str, str],
-    group_limit: int = GROUP_LIMIT,
+    group_limit: int | None = None,
 ) -> DataFrame:
     """Add, per ``{new: source}`` entry, the value of ``source`` in the previous row of the same key."""
-    if largest_group(df, keys) <= group_limit:
+    if _fits(df, keys, group_limit):
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[F.lag(source).over(window).alias(new) for new, source in columns.items()])
     sliced = _slices(df, keys, order)
@@ -105,7 +110,7 @@ def rolling_mean(
     column: str,
     size: int,
     out: str,
-    group_limit: int = GROUP_LIMIT,
+    group_limit: int | None = None,
     block: int = 1_000_000,
 ) -> DataFrame:
     """Mean of ``column`` over the last ``size`` rows of each key, the current row included.
@@ -114,7 +119,7 @@ def rolling_mean(
     before it, so every frame is complete within one block.
     """
     frame = (-(size - 1), 0)
-    if largest_group(df, keys) <= group_limit:
+    if _fits(df, keys, group_limit):
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
         return df.withColumn(out, F.avg(column).over(window))
     block = max(block, size)
@@ -164,7 +169,7 @@ def digest_sample(df: DataFrame, keys: Sequence[str], ids: Sequence[str], size:
 
 
 def join_many_to_one(
-    many: DataFrame, one: DataFrame, key: str, ids: Sequence[str], salts: int = 64, hot_rows: int = HOT_ROWS
+    many: DataFrame, one: DataFrame, key: str, ids: Sequence[str], salts: int = 64, hot_rows: int | None = None
 ) -> DataFrame:
     """Inner join on ``key`` where any share of ``many`` may sit on one key of ``one``.
 
@@ -174,7 +179,7 @@ def join_many_to_one(
     """
     counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     size = counts.agg(F.sum("n").alias("total"), F.max("n").alias("largest")).first()
-    floor = max((size.total or 0) // HOT_SHARE, hot_rows)
+    floor = max((size.total or 0) // HOT_SHARE, HOT_ROWS if hot_rows is None else hot_rows)
     if (size.largest or 0) <= floor:
         return many.join(one, key)
     hot = [row[key] for row in counts.where(F.col("n") > floor).collect()]
@@ -187,7 +192,7 @@ def join_many_to_one(
 
 
 def left_join_many(
-    one: DataFrame, many: DataFrame, key: str, ids: Sequence[str], hot_rows: int = HOT_ROWS
+    one: DataFrame, many: DataFrame, key: str, ids: Sequence[str], hot_rows: int | None = None
 ) -> DataFrame:
     """``one`` left join ``many`` on ``key``, safe for a hot key on the ``many`` side.
 

@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 import riskloom
 
-RUNTIME_SETTINGS = {
-    "spark.sql.session.timeZone": "UTC",
+# What results depend on: always applied.
+REQUIRED_SETTINGS = {"spark.sql.session.timeZone": "UTC"}
+# What plans gain from: applied unless the session says otherwise.
+PREFERRED_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
+# Stream state beyond the memory of the executors; a local session has no use for it.
+CLUSTER_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
@@ -30,8 +35,13 @@ def configure(spark: SparkSession) -> SparkSession:
     Python functions of this package travel to the executors by value, so they need no installation there.
     """
     cloudpickle.register_pickle_by_value(riskloom)
-    for key, value in RUNTIME_SETTINGS.items():
-        if spark.conf.get(key, None) != value:
+    for key, value in REQUIRED_SETTINGS.items():
+        spark.conf.set(key, value)
+    preferred = dict(PREFERRED_SETTINGS)
+    if not spark.sparkContext.master.startswith("local"):
+        preferred |= CLUSTER_SETTINGS
+    for key, value in preferred.items():
+        if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
     return spark
 

@@ -1,7 +1,7 @@
 """Structured Streaming jobs on the message stream: routing, trends, sessions, de-duplication, alerts, upserts.
 
-Event time carries a watermark in every stateful job, so state is dropped once it can no longer
-change. Results go to files: append results through the exactly-once file sink, changing results as
+Windows, sessions, de-duplication and the join carry a watermark, so their state is dropped once it can
+no longer change; the running unread count keeps one row per project. Results go to files: append results through the exactly-once file sink, changing results as
 one folder per batch, which a repeated batch overwrites.
 """
 

@@ -9,7 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from riskloom.session import configure  # noqa: E402
+from riskloom.session import CLUSTER_SETTINGS, configure  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -24,5 +24,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    for key, value in CLUSTER_SETTINGS.items():
+        session.conf.set(key, value)
     yield configure(session)
     session.stop()

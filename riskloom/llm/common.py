@@ -30,7 +30,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text as an array; null and wordless texts give an empty one."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import packing, token_store
-from riskloom.llm.common import documents, shared_dir
+from riskloom.llm import language, packing, quality, sharding, token_store, urls
+from riskloom.llm.common import documents, shared_dir, table
 from riskloom.llm.tokens import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,57 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), base AS (
+  SELECT doc_id, t, w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM d
+), win AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM base WHERE len(w) >= 3)
+), twice AS (
+  SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS s(k) GROUP BY doc_id
+), counted AS (
+  SELECT b.doc_id, len(w)::BIGINT AS n_words, len(l)::BIGINT AS n_lines, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+    len(list_intersect(w, [{stop}]))::BIGINT AS n_stop_words,
+    len(list_filter(w, lambda x: regexp_matches(x, '\p{L}')))::BIGINT AS n_alphabetic_words,
+    len(list_distinct(w))::BIGINT AS n_distinct_words,
+    len(list_filter(l, lambda x: substr(ltrim(x), 1, 1) IN ('-', '*', '•', '‣', '◦')))::BIGINT AS n_bullet_lines,
+    len(list_filter(l, lambda x: ends_with(rtrim(x), '...') OR ends_with(rtrim(x), '…')))::BIGINT AS n_ellipsis_lines
+  FROM base b LEFT JOIN covered c ON c.doc_id = b.doc_id
+), rated AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_length,
+    CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbols,
+    CASE WHEN n_words > 0 THEN n_alphabetic_words / n_words ELSE 0 END AS alphabetic,
+    CASE WHEN n_words > 0 THEN n_distinct_words / (sqrt(n_words) * sqrt(least(n_words, 100))) ELSE 0 END AS distinct_words,
+    CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup,
+    CASE WHEN n_lines > 0 THEN n_bullet_lines / n_lines ELSE 0 END AS bullets,
+    CASE WHEN n_lines > 0 THEN n_ellipsis_lines / n_lines ELSE 0 END AS ellipses
+  FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND mean_word_length BETWEEN 2 AND 12 AND symbols <= 0.1 AND n_stop_words >= 2 AND alphabetic >= 0.7
+    AND dup <= 0.3 AND bullets <= 0.9 AND ellipses <= 0.3 AND distinct_words >= 0.05 AS kept
+FROM rated
+""".replace("{stop}", ", ".join(f"'{w}'" for w in quality.STOP_WORDS))
+
+
+@query("op1_quality_rules", OP1_SQL)
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    judged = quality.apply_rules(documents(spark, folder))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 @query("op3_token_store")
 def op3_token_store(spark: SparkSession, folder: str) -> DataFrame:
     """Digest of every document's ids, read back from the files they were written to."""
@@ -38,3 +90,41 @@ def op3_token_store(spark: SparkSession, folder: str) -> DataFrame:
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's pieces with their places in sequences of at most 2048 tokens."""
     return packing.pack_documents(documents(spark, folder), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
+@query("op4_language_spans")
+def op4_language_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document; three quarters of the ids may be learned from."""
+    docs = documents(spark, folder)
+    model = language.fit(docs.where(~language.held_out()))
+    return language.predict(docs, model, keep=["doc_id"]).select(
+        "doc_id", language.held_out().alias("held_out"), "lang_pred", "score"
+    )
+
+
+URL_RULES = (
+    urls.UrlRule("allow", "org/"),
+    urls.UrlRule("block", "example.org/es/"),
+    urls.UrlRule("block", "example.org/en/1"),
+    urls.UrlRule("allow", "com/fr/"),
+    urls.UrlRule("block", "com/de/"),
+)
+
+
+@query("op6_url_templates")
+def op6_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return urls.judge_urls(table(spark, folder, "pages"), URL_RULES)
+
+
+@query("op10_uniform_shards")
+def op10_uniform_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document under the ``rows`` law."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = documents(spark, folder).select(
+        "doc_id", (F.length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    placed = sharding.shuffle_into_shards(rows, 24, ["doc_id", "text_crc32", "size"], "doc_id", seed=10)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import language, packing, quality, sharding, token_store, urls
+from riskloom.llm import language, packing, quality, sharding, token_store, topk, urls
 from riskloom.llm.common import documents, shared_dir, table
 from riskloom.llm.tokens import tokenizer_path
 
@@ -128,3 +128,23 @@ def op10_uniform_shards(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_zip(q.c, x.c), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v x ON x.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+
+@query("op9_pivot_top_k", OP9_SQL)
+def op9_pivot_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 rows of largest inner product for every vector whose id is divisible by 20."""
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import language, packing, quality, sharding, token_store, topk, urls
+from riskloom.llm import language, ngram_join, packing, quality, sharding, token_store, topk, urls
 from riskloom.llm.common import documents, shared_dir, table
 from riskloom.llm.tokens import tokenizer_path
 
@@ -148,3 +148,41 @@ FROM scored QUALIFY rank <= 20
 def op9_pivot_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 rows of largest inner product for every vector whose id is divisible by 20."""
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), sets AS (
+  SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS m FROM s GROUP BY doc_id
+), reps AS (
+  SELECT m, min(doc_id) AS rep FROM sets GROUP BY m
+), r AS (
+  SELECT s.doc_id, s.g, n.n FROM s JOIN n USING (doc_id) WHERE s.doc_id IN (SELECT rep FROM reps)
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id
+    AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT rep AS x, rep AS y FROM reps UNION SELECT reach.x, ways.y FROM reach JOIN ways ON reach.y = ways.x
+), label AS (
+  SELECT x, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(label.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN sets USING (doc_id) LEFT JOIN reps USING (m)
+LEFT JOIN label ON label.x = reps.rep
+"""
+
+
+@query("op8_ngram_jaccard", OP8_SQL)
+def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Size and class of every document at three words and a similarity of 0.9."""
+    return ngram_join.jaccard_classes(documents(spark, folder), 3, ngram_join.Likeness(90))

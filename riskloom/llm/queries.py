@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import language, ngram_join, packing, quality, sharding, token_store, topk, urls
-from riskloom.llm.common import documents, shared_dir, table
+from riskloom.llm import language, line_dedup, mixing, ngram_join, packing, quality, sharding, token_store, topk, urls
+from riskloom.llm.common import documents, shared_dir, stored, table
 from riskloom.llm.tokens import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,3 +186,17 @@ LEFT JOIN label ON label.x = reps.rep
 def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Size and class of every document at three words and a similarity of 0.9."""
     return ngram_join.jaccard_classes(documents(spark, folder), 3, ngram_join.Likeness(90))
+
+
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines taken out of every document: the same or a near line stands earlier."""
+    return line_dedup.removals(documents(spark, folder))
+
+
+@query("op5_mix_sources")
+def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture of all documents: 95 % of the greatest entropy, four passes over a source at most."""
+    counted = stored(mixing.token_counts(documents(spark, folder), "doc_id"), "token-counts")
+    plan = mixing.mixing_plan(counted, mixing.Target(evenness=0.95, repetitions=4.0), seed=5)
+    return mixing.mixed_sequence(counted, plan, block_tokens=1 << 20, seed=5)

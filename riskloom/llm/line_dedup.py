@@ -235,8 +235,13 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) ->
     return joined.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
 
 
-def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
-    """The documents with their repeated lines taken out; those left without a single word go."""
+def without_repeats(
+    docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, length_column: str | None = None
+) -> DataFrame:
+    """The documents with their repeated lines taken out; those left without a single word go.
+
+    ``length_column`` is set anew for texts that changed.
+    """
     gone = stored(repeated_lines(docs, min_chars, edits), "removed-lines").toDF("_document", "_removed")
 
     def rest(lines: Column) -> Column:
@@ -246,5 +251,8 @@ def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = ED
     joined = docs.join(gone, document_key() == gone["_document"], "left")
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rest))
     rebuilt = joined.withColumn("text", text)
+    if length_column:
+        kept = F.when(F.col("_removed").isNull(), F.col(length_column)).otherwise(F.char_length("text"))
+        rebuilt = rebuilt.withColumn(length_column, kept.cast(docs.schema[length_column].dataType))
     emptied = F.col("_removed").isNotNull() & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return rebuilt.where(~emptied).select(*docs.columns)

@@ -102,7 +102,7 @@ def list_keys(shingles: np.ndarray, zones: Zones) -> np.ndarray:
             continue
         at = np.searchsorted(shingles, zones.cuts(zone))
         stops = np.append(at[1:], len(shingles))
-        keys = mix((sums[stops] - sums[at]) ^ (np.arange(len(at), dtype=np.uint64) * _RANGE) ^ (np.uint64(zone + 1) * _ZONE))
+        keys = mix((sums[stops] - sums[at]) ^ (np.arange(len(at), dtype=np.uint64) * _RANGE) ^ (np.full(len(at), zone + 1, np.uint64) * _ZONE))
         full = stops > at
         found.append(keys if len(keys) - full.sum() > SPARE else keys[full])
     return np.concatenate(found)

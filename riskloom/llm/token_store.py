@@ -81,7 +81,7 @@ def read_at(levels: list[bytes], marks: list[bytes], ranks: list[bytes], places:
             break
         line = bits.reshape(-1, step)[places // RANK_BITS]
         before = np.clip(places % RANK_BITS - 8 * np.arange(step)[:, None], 0, 8).T  # bits of each byte that count
-        inside = np.bitwise_count(line & ((1 << before) - 1).astype(np.uint8)).sum(axis=1)
+        inside = np.bitwise_count(line & ((1 << before) - 1).astype(np.uint8)).sum(axis=1, dtype=np.int64)
         places = np.frombuffer(rank, "<u4")[places // RANK_BITS].astype(np.int64) + inside
     return found
 

@@ -70,7 +70,7 @@ class Encoder:
     def _clear(self) -> None:
         self.numbers = _Numbers()
         self.flat, self.ends = np.empty(1 << 16, np.uint32), np.zeros(1, np.int64)
-        self.edge = np.zeros(0, bool)
+        self.edge = np.zeros(0, np.int8)
 
     def _piece(self, piece: str) -> list[int]:
         """Ids of one piece; a plain word goes straight to the merges."""

@@ -6,6 +6,7 @@ that works on small aggregates.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,11 +16,21 @@ from riskloom.operators.ordering import digest, digest_ordinals, digest_sample
 
 FOLDS = 5
 ITERATIONS = 1_000
-BOOTSTRAP_UNITS = 1_024
 CONFIDENCE = 0.95
 CELLS = ("tp", "fp", "fn", "tn")
-# Upper bounds of the Poisson(1) distribution function at 0, 1, 2, 3 and 4.
-POISSON_STEPS = (0.3679, 0.7358, 0.9197, 0.9810, 0.9963)
+
+
+def _poisson_steps(rest: float = 1e-12) -> tuple[float, ...]:
+    """Distribution function of Poisson(1) at 0, 1, 2, ..., until less than ``rest`` is left."""
+    steps, term, total = [], math.exp(-1), 0.0
+    while 1 - total >= rest:
+        total += term
+        steps.append(total)
+        term /= len(steps)
+    return tuple(steps)
+
+
+POISSON_STEPS = _poisson_steps()
 
 
 def cells(truth: Column, predicted: Column) -> list[Column]:
@@ -80,13 +91,14 @@ def stratified_folds(rows: DataFrame, label: str, key: str, folds: int = FOLDS)
 
 
 def balanced_sample(rows: DataFrame, label: str, key: str, size: int) -> DataFrame:
-    """``size`` rows of every label, the first in digest order."""
-    return digest_sample(rows, [label], [key], size)
+    """The same number of rows of every label, the first in digest order: ``size``, or what the rarest label has."""
+    rarest = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
+    return digest_sample(rows, [label], [key], min(size, rarest or 0))
 
 
 def _uniform(*columns: str) -> Column:
     """A number in [0, 1) from a digest: equal in every engine and on every retry."""
-    return F.conv(F.substring(digest(*columns), 1, 8), 16, 10).cast("bigint") / 4294967296.0
+    return F.conv(F.substring(digest(*columns), 1, 12), 16, 10).cast("bigint") / float(1 << 48)
 
 
 def _poisson_weight(uniform: Column) -> Column:
@@ -99,17 +111,20 @@ def _poisson_weight(uniform: Column) -> Column:
 def bootstrap(rows: DataFrame, key: str, truth: str, predicted: str, iterations: int = ITERATIONS) -> DataFrame:
     """Bootstrap intervals of the four ratios.
 
-    Rows are dealt by digest into ``BOOTSTRAP_UNITS`` units and reduced to the four counts per unit;
-    the iterations re-weigh units with Poisson(1) draws. The work after the first aggregation is
-    units x iterations whatever the table size, and units of random rows are independent draws.
+    Every row has a Poisson(1) weight of its own in every iteration, from a digest of both. The weights are summed
+    on the map side, so ``iterations`` rows of four sums leave each task, whatever the size of the table.
     """
-    unit = F.pmod(F.conv(F.substring(digest(key), 1, 8), 16, 10).cast("bigint"), F.lit(BOOTSTRAP_UNITS))
-    units = rows.groupBy(unit.alias("unit")).agg(*cells(F.col(truth), F.col(predicted)))
-    spread_units = units.repartition("unit")
-    drawn = spread_units.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
+    hit = F.coalesce(F.col(predicted), F.lit(False))
+    cell = F.when(F.col(truth), F.when(hit, F.lit("tp")).otherwise(F.lit("fn"))).otherwise(
+        F.when(hit, F.lit("fp")).otherwise(F.lit("tn"))
+    )
+    given = rows.where(F.col(truth).isNotNull()).select(F.col(key).alias("_key"), cell.alias("_cell"))
+    drawn = given.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
     # the draw is a column of its own, so its digest is computed once per row
-    weighed = drawn.withColumn("_u", _uniform("unit", "iteration")).withColumn("_w", _poisson_weight(F.col("_u")))
-    sums = weighed.groupBy("iteration").agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in CELLS])
+    weighed = drawn.withColumn("_u", _uniform("_key", "iteration")).withColumn("_w", _poisson_weight(F.col("_u")))
+    sums = weighed.groupBy("iteration").agg(
+        *[F.sum(F.when(F.col("_cell") == c, F.col("_w")).otherwise(F.lit(0))).alias(c) for c in CELLS]
+    )
     measured = ratios(*[F.col(c) for c in CELLS])
     named = F.explode(
         F.array(*[F.struct(F.lit(name).alias("metric"), value.alias("value")) for name, value in measured.items()])

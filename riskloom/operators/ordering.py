@@ -1,10 +1,8 @@
 """Order-dependent operators that never need a whole group in one task.
 
-A plain ``Window.partitionBy(key)`` sorts each key's rows in a single task. That is the fastest plan
-while groups are moderate, so every operator here first measures the largest group (one map-side
-combined count over the key column). Beyond ``GROUP_LIMIT`` rows it goes by slices instead: the rows
-are range-partitioned on key *and* order, so a hot key is spread over many slices, and only one small
-summary row per slice is combined across slices.
+A plain ``Window.partitionBy(key)`` sorts each key's rows in a single task. Here rows are range-partitioned on key *and*
+order, so a hot key is spread over many slices; work runs within slices, and only one small summary row per slice is
+combined across slices. There is one path for every size of table and group.
 """
 
 from __future__ import annotations
@@ -16,23 +14,8 @@ from pyspark.sql import functions as F
 
 from riskloom.session import settle
 
-GROUP_LIMIT = 500_000
 SLICE_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
-HOT_SHARE = 1_000  # a key above 1/HOT_SHARE of all rows is hot, so at most HOT_SHARE keys are
-HOT_ROWS = 100_000  # and a key below this many rows never is
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group of ``keys`` (0 for an empty table)."""
-    if not keys:
-        return df.count()
-    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
-    return top.n or 0
-
-
-def _fits(df: DataFrame, keys: Sequence[str], limit: int | None) -> bool:
-    """Whether every group is small enough for one task."""
-    return largest_group(df, keys) <= (GROUP_LIMIT if limit is None else limit)
+BLOCK_ROWS = 1_000_000  # consecutive rows of a key that share a rolling window's partition
 
 
 def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -60,36 +43,19 @@ def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return condition
 
 
-def ordinals(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    out: str = "ordinal",
-    group_limit: int | None = None,
-) -> DataFrame:
+def ordinals(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "ordinal") -> DataFrame:
     """1-based position of each row within its key, in ``order`` (which must be total)."""
-    if _fits(df, keys, group_limit):
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     sliced = _slices(df, keys, order)
     before = _slice_offsets(sliced, keys)
     local = Window.partitionBy("_slice", *keys).orderBy("_pos")
     ranked = sliced.withColumn("_rank", F.row_number().over(local))
-    joined = ranked.join(F.broadcast(before), same_key(ranked, before, ["_slice", *keys]), "left")
+    joined = ranked.join(before, same_key(ranked, before, ["_slice", *keys]), "left")
     kept = [ranked[c] for c in df.columns]
     return joined.select(*kept, (F.col("_rank") + F.coalesce("_before", F.lit(0))).cast("bigint").alias(out))
 
 
-def with_previous(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    columns: dict[str, str],
-    group_limit: int | None = None,
-) -> DataFrame:
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: dict[str, str]) -> DataFrame:
     """Add, per ``{new: source}`` entry, the value of ``source`` in the previous row of the same key."""
-    if _fits(df, keys, group_limit):
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[F.lag(source).over(window).alias(new) for new, source in columns.items()])
     sliced = _slices(df, keys, order)
     local = Window.partitionBy("_slice", *keys).orderBy("_pos")
     values = F.struct(*[F.col(source).alias(new) for new, source in columns.items()])
@@ -98,36 +64,25 @@ def with_previous(
     across = Window.partitionBy(*keys).orderBy("_slice")
     # one row per slice boundary a key crosses
     carried = tails.withColumn("_carry", F.lag("_tail").over(across)).where("_carry is not null").drop("_tail")
-    joined = inside.join(F.broadcast(carried), same_key(inside, carried, ["_slice", *keys]), "left")
+    joined = inside.join(carried, same_key(inside, carried, ["_slice", *keys]), "left")
     previous = F.coalesce("_prev", "_carry")
     return joined.select(*[inside[c] for c in df.columns], *[previous[new].alias(new) for new in columns])
 
 
 def rolling_mean(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    column: str,
-    size: int,
-    out: str,
-    group_limit: int | None = None,
-    block: int = 1_000_000,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], column: str, size: int, out: str, block: int = BLOCK_ROWS
 ) -> DataFrame:
     """Mean of ``column`` over the last ``size`` rows of each key, the current row included.
 
-    Hot keys are cut into blocks of consecutive rows; each block also receives the ``size - 1`` rows
-    before it, so every frame is complete within one block.
+    Keys are cut into blocks of consecutive rows; each block also receives the ``size - 1`` rows before it, so every
+    frame is complete within one block.
     """
-    frame = (-(size - 1), 0)
-    if _fits(df, keys, group_limit):
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
-        return df.withColumn(out, F.avg(column).over(window))
     block = max(block, size)
-    numbered = ordinals(df, keys, order, "_ord", group_limit)
+    numbered = ordinals(df, keys, order, "_ord")
     home = F.floor((F.col("_ord") - 1) / block)
     spill = F.floor((F.col("_ord") + (size - 2)) / block)
     blocks = numbered.withColumn("_home", home).withColumn("_block", F.explode(F.sequence(home, spill)))
-    window = Window.partitionBy(*keys, "_block").orderBy("_ord").rowsBetween(*frame)
+    window = Window.partitionBy(*keys, "_block").orderBy("_ord").rowsBetween(-(size - 1), 0)
     framed = blocks.withColumn(out, F.avg(column).over(window)).where("_home = _block")
     return framed.drop("_ord", "_home", "_block")
 
@@ -168,36 +123,24 @@ def digest_sample(df: DataFrame, keys: Sequence[str], ids: Sequence[str], size:
     return kept.drop("_digest", "_prefix", "_rank")
 
 
-def join_many_to_one(
-    many: DataFrame, one: DataFrame, key: str, ids: Sequence[str], salts: int = 64, hot_rows: int | None = None
-) -> DataFrame:
+def join_many_to_one(many: DataFrame, one: DataFrame, key: str, ids: Sequence[str], salts: int = 16) -> DataFrame:
     """Inner join on ``key`` where any share of ``many`` may sit on one key of ``one``.
 
-    Keys holding more than 1/``HOT_SHARE`` of the rows (so fewer than ``HOT_SHARE`` of them, a list
-    small enough to send everywhere) are split by a hash of ``ids`` into ``salts`` parts; their single
-    row of ``one`` is repeated once per part. All other keys join as usual.
+    Every key is split by a hash of ``ids`` into ``salts`` parts, and ``one`` repeated once per part: no count of the keys
+    is needed, and a key with a third of the rows meets its partner in ``salts`` tasks, which adaptive skew handling
+    splits further.
     """
-    counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    size = counts.agg(F.sum("n").alias("total"), F.max("n").alias("largest")).first()
-    floor = max((size.total or 0) // HOT_SHARE, HOT_ROWS if hot_rows is None else hot_rows)
-    if (size.largest or 0) <= floor:
-        return many.join(one, key)
-    hot = [row[key] for row in counts.where(F.col("n") > floor).collect()]
-    is_hot = F.col(key).isin(hot)
-    part = F.when(is_hot, F.pmod(F.xxhash64(*ids), F.lit(salts))).otherwise(F.lit(0))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted = many.withColumn("_salt", part.cast("int"))
-    repeated = one.withColumn("_salt", F.explode(copies))
+    part = F.pmod(F.xxhash64(*ids), F.lit(salts)).cast("int")
+    salted = many.withColumn("_salt", part)
+    repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [key, "_salt"]).drop("_salt")
 
 
-def left_join_many(
-    one: DataFrame, many: DataFrame, key: str, ids: Sequence[str], hot_rows: int | None = None
-) -> DataFrame:
+def left_join_many(one: DataFrame, many: DataFrame, key: str, ids: Sequence[str]) -> DataFrame:
     """``one`` left join ``many`` on ``key``, safe for a hot key on the ``many`` side.
 
     An outer join cannot split its non-preserved side, so matches and unmatched rows are built apart.
     """
-    matched = join_many_to_one(many, one, key, ids, hot_rows=hot_rows)
+    matched = join_many_to_one(many, one, key, ids)
     unmatched = one.join(many.select(key).distinct(), key, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)

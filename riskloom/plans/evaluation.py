@@ -126,16 +126,16 @@ def stratified_folds(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(evaluation.metrics(dealt, ["fold"], "truth", "p"))
 
 
-_STEPS = " + ".join(f"(u >= {s})::INT" for s in evaluation.POISSON_STEPS)
+_STEPS = " + ".join(f"(u >= {s!r}::DOUBLE)::INT" for s in evaluation.POISSON_STEPS)
 
 
 @query(
     "bootstrap_ci",
-    f"""WITH rows AS (SELECT ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {evaluation.BOOTSTRAP_UNITS} AS unit,
-      toxic = 1 AS truth, quality = 0 AS p FROM labels),
-    units AS (SELECT unit, {_CELLS} FROM rows GROUP BY 1),
-    drawn AS (SELECT *, ('0x' || substr(md5(unit || ':' || i), 1, 8))::BIGINT / 4294967296.0 AS u
-      FROM units, range({evaluation.ITERATIONS}) r(i)),
+    f"""WITH rows AS (SELECT doc_id, toxic = 1 AS truth, quality = 0 AS p FROM labels),
+    cells AS (SELECT doc_id, (truth AND p)::INT AS tp, (NOT truth AND p)::INT AS fp, (truth AND NOT p)::INT AS fn,
+      (NOT truth AND NOT p)::INT AS tn FROM rows),
+    drawn AS (SELECT *, ('0x' || substr(md5(doc_id || ':' || i), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+      FROM cells, range({evaluation.ITERATIONS}) r(i)),
     sums AS (SELECT i, sum(tp * ({_STEPS})) AS tp, sum(fp * ({_STEPS})) AS fp, sum(fn * ({_STEPS})) AS fn,
       sum(tn * ({_STEPS})) AS tn FROM drawn GROUP BY 1),
     measured AS (SELECT tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall,
@@ -162,9 +162,11 @@ def tool_agreement(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "balanced_sample",
-    """SELECT doc_id, label FROM (SELECT doc_id, CASE toxic WHEN 1 THEN 'VULNERABLE' ELSE 'BENIGN' END AS label,
-        row_number() OVER (PARTITION BY toxic = 1 ORDER BY md5(doc_id::VARCHAR), doc_id) AS rn
-      FROM labels JOIN documents USING (doc_id)) WHERE rn <= 250""",
+    """WITH known AS (SELECT doc_id, CASE toxic WHEN 1 THEN 'VULNERABLE' ELSE 'BENIGN' END AS label
+      FROM labels JOIN documents USING (doc_id)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(doc_id::VARCHAR), doc_id) AS rn FROM known)
+    SELECT doc_id, label FROM placed
+    WHERE rn <= (SELECT least(250, min(n)) FROM (SELECT count(*) AS n FROM known GROUP BY label))""",
 )
 def balanced_sample(spark: SparkSession, folder: str) -> DataFrame:
     known = table(spark, folder, "documents").select("doc_id")

@@ -221,22 +221,22 @@ def missing_baselines(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "project_id_collisions",
-    """SELECT safe_id, count(DISTINCT repo) AS ids, min(repo) AS first_id, max(repo) AS last_id
-    FROM (SELECT lower(replace(url, '/', '-')) AS repo,
-                 left(regexp_replace(url, '[^\\p{L}\\p{N}_-]', '_', 'g'), 24) AS safe_id FROM pages)
-    GROUP BY 1 HAVING count(DISTINCT repo) > 1""",
+    """SELECT regexp_replace(url, '[^\\p{L}\\p{N}_-]', '_', 'g') AS safe_id, count(DISTINCT url) AS urls,
+      count(DISTINCT lower(replace(url, '/', '-'))) AS repos, min(url) AS first_url, max(url) AS last_url
+    FROM pages GROUP BY 1""",
 )
 def project_id_collisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every safe id with the number of different urls (and repository ids) that fall on it; more than one collide."""
     url = F.col("url")
-    ids = table(spark, folder, "pages").select(
-        text.repo_id(url).alias("repo"), F.substring(text.safe_id(url), 1, 24).alias("safe_id")
+    ids = table(spark, folder, "pages").select("url", text.repo_id(url).alias("repo"), text.safe_id(url).alias("safe_id"))
+    # distinct urls first, so that a hot id is combined before it is grouped
+    pairs = ids.groupBy("safe_id", "repo", "url").agg(F.lit(1).alias("one"))
+    repos = pairs.groupBy("safe_id", "repo").agg(
+        F.count(F.lit(1)).alias("n"), F.min("url").alias("low"), F.max("url").alias("high")
     )
-    # distinct pairs first, so that a hot id is combined before it is grouped
-    pairs = ids.groupBy("safe_id", "repo").agg(F.lit(1).alias("one"))
-    groups = pairs.groupBy("safe_id").agg(
-        F.count(F.lit(1)).alias("ids"), F.min("repo").alias("first_id"), F.max("repo").alias("last_id")
+    return repos.groupBy("safe_id").agg(
+        F.sum("n").alias("urls"), F.count(F.lit(1)).alias("repos"), F.min("low").alias("first_url"), F.max("high").alias("last_url")
     )
-    return groups.where("ids > 1")
 
 
 _STAMP = "2024-06-01 00:00:00"

@@ -1,4 +1,4 @@
-"""Slice-wise paths give what the plain window gives, and salted joins what plain joins give."""
+"""Slices give what a plain window gives, and salted joins what plain joins give."""
 
 from __future__ import annotations
 
@@ -32,21 +32,24 @@ def _same(a, b):
 
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_ordinals_by_slices(rows, keys):
-    plain = ordering.ordinals(rows, keys, _order(), "n", group_limit=10_000)
-    _same(plain, ordering.ordinals(rows, keys, _order(), "n", group_limit=5))
+    window = Window.partitionBy(*keys).orderBy(*_order())
+    plain = rows.withColumn("n", F.row_number().over(window).cast("bigint"))
+    _same(plain, ordering.ordinals(rows, keys, _order(), "n"))
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_previous_by_slices(rows, keys):
     wanted = {"before": "x", "before_id": "id"}
-    plain = ordering.with_previous(rows, keys, _order(), wanted, group_limit=10_000)
-    _same(plain, ordering.with_previous(rows, keys, _order(), wanted, group_limit=5))
+    window = Window.partitionBy(*keys).orderBy(*_order())
+    plain = rows.select("*", *[F.lag(source).over(window).alias(new) for new, source in wanted.items()])
+    _same(plain, ordering.with_previous(rows, keys, _order(), wanted))
 
 
 @pytest.mark.parametrize("size", [1, 2, 7])
 def test_rolling_by_blocks(rows, size):
-    plain = ordering.rolling_mean(rows, ["k"], _order(), "x", size, "r", group_limit=10_000)
-    cut = ordering.rolling_mean(rows, ["k"], _order(), "x", size, "r", group_limit=5, block=8)
+    window = Window.partitionBy("k").orderBy(*_order()).rowsBetween(-(size - 1), 0)
+    plain = rows.withColumn("r", F.avg("x").over(window))
+    cut = ordering.rolling_mean(rows, ["k"], _order(), "x", size, "r", block=8)
     rounded = [df.withColumn("r", F.round("r", 9)) for df in (plain, cut)]
     _same(*rounded)
 
@@ -66,14 +69,14 @@ def test_digest_sample_is_the_head_of_digest_order(rows):
 def test_salted_join_equals_plain_join(spark, rows):
     one = spark.createDataFrame([(k, f"name{k}") for k in range(20)], "k BIGINT, name STRING")
     many = rows.withColumn("k", F.col("k").cast("bigint"))
-    _same(many.join(one, "k"), ordering.join_many_to_one(many, one, "k", ["id"], salts=4, hot_rows=10))
+    _same(many.join(one, "k"), ordering.join_many_to_one(many, one, "k", ["id"], salts=4))
 
 
 def test_left_join_keeps_unmatched_rows_once(spark, rows):
     one = spark.createDataFrame([(k, f"name{k}") for k in range(20)], "k BIGINT, name STRING")
     many = rows.withColumn("k", F.col("k").cast("bigint"))
     expected = one.join(many, "k", "left")
-    _same(expected, ordering.left_join_many(one, many, "k", ["id"], hot_rows=10))
+    _same(expected, ordering.left_join_many(one, many, "k", ["id"]))
 
 
 def test_empty_input(spark, rows):

@@ -72,7 +72,7 @@ def test_components_of_a_shuffled_path_need_few_rounds(spark):
     pairs = [(1, a, b) for a, b in zip(names[:399], names[1:400], strict=True)] + [(1, a, b) for a, b in zip(names[400:-1], names[401:], strict=True)]
     simple = graphs.simple_edges(spark.createDataFrame(pairs, "graph_id BIGINT, src BIGINT, dst BIGINT"))
     members = spark.createDataFrame([(1, n) for n in names], "graph_id BIGINT, node BIGINT")
-    found = graphs.components(simple, members, max_rounds=14).groupBy("label").count().collect()
+    found = graphs.components(simple, members).groupBy("label").count().collect()
     assert {(r.label, r["count"]) for r in found} == {(min(names[:400]), 400), (min(names[400:]), 200)}
 
 

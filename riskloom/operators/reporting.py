@@ -1,7 +1,7 @@
 """Report rows and documents: SARIF, JSON reports, Markdown tables, editor diagnostics.
 
-A document holds a bounded number of rows. A longer list goes on in further documents of the same
-artifact (``part`` 0, 1, ...), so a hot artifact is spread over tasks and no row is lost.
+A document is a list of pieces ``(key, ordinal, piece)``: its head, one piece per row, its foot. Pieces in order, put
+together, are the document. An artifact of any size has one document, and no task holds all of it.
 """
 
 from __future__ import annotations
@@ -10,26 +10,33 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from riskloom.functions import levels, text
 from riskloom.operators.ordering import ordinals
 
-DOCUMENT_ROWS = 10_000
 SARIF_VERSION = "2.1.0"
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 TOOL_NAME = "riskloom"
 TOOL_VERSION = "0.1.0"
 DEFAULT_URI = "analyzed-file"
 COMMENT_MARKER = "<!-- riskloom-report -->"
+# The wording of a comment is an output contract.
+COMMENT_TITLE = "Risk analysis"
+COMMENT_COLUMNS = ("| File | Risk Score | Tier | Findings |", "|------|-----------|------|----------|")
+DRIFT_WORDS = ("**Drift:** ", " from baseline")
+
+
+def collated(name: Column) -> Column:
+    """Text as a reader sorts it: accents and case count only between words that are otherwise equal."""
+    return F.collate(name.cast("string"), "UNICODE")
 
 
 def table_order(rows: DataFrame, columns: Sequence[tuple[str, str]]) -> list[Column]:
-    """Sort keys of a data table: nulls last either way, numbers as numbers, all else as lower-case text."""
-    numeric = {"double", "float", "bigint", "int", "smallint", "tinyint"}
-    types = dict(rows.dtypes)
+    """Sort keys of a data table: nulls last either way, numbers as numbers, all else as text in the reader's order."""
     order = []
     for name, direction in columns:
-        key = F.col(name) if types[name] in numeric else F.lower(F.col(name).cast("string"))
+        key = F.col(name) if isinstance(rows.schema[name].dataType, NumericType) else collated(F.col(name))
         order.append(key.asc_nulls_last() if direction == "asc" else key.desc_nulls_last())
     return order
 
@@ -45,7 +52,7 @@ def security_results(findings: DataFrame, artifact: str) -> DataFrame:
         artifact,
         F.lit(0).alias("section"),
         F.col("category").alias("rule"),
-        text.start_line(F.col("line_number")).alias("line"),
+        text.start_line(F.col("line_number")).cast("bigint").alias("line"),
         levels.report_level(F.col("severity")).alias("level"),
         text.finding_message(F.col("category"), F.col("node_path"), F.col("confidence_score")).alias("message"),
     )
@@ -58,7 +65,7 @@ def function_results(functions: DataFrame, artifact: str) -> DataFrame:
         artifact,
         F.lit(1).alias("section"),
         F.lit("structural-anomaly").alias("rule"),
-        text.key_line(key).cast("int").alias("line"),
+        text.key_line(key).alias("line"),
         F.lit("warning").alias("level"),
         text.function_anomaly_message(key, z, F.col("mahalanobis_distance")).alias("message"),
     )
@@ -71,7 +78,7 @@ def module_results(modules: DataFrame, artifact: str) -> DataFrame:
         artifact,
         F.lit(2).alias("section"),
         F.lit("structural-anomaly").alias("rule"),
-        F.lit(1).alias("line"),
+        F.lit(1).cast("bigint").alias("line"),
         F.lit("warning").alias("level"),
         text.module_anomaly_message(z, F.col("mahalanobis_distance")).alias("message"),
     )
@@ -115,41 +122,45 @@ def _sarif_result(uri: Column) -> Column:
     )
 
 
-def _listed(rows: DataFrame, key: str, order: Sequence[Column], item: Column, size: int) -> DataFrame:
-    """Ordered lists of ``item`` per (key, part), at most ``size`` long."""
-    placed = ordinals(rows, [key], order, "_at").withColumn("part", F.floor((F.col("_at") - 1) / size))
-    listed = placed.groupBy(key, "part").agg(F.collect_list(F.struct("_at", item.alias("item"))).alias("_items"))
-    return listed.select(key, "part", F.transform(F.array_sort("_items"), lambda i: i["item"]).alias("items"))
+_HEAD, _FOOT = -1, 1 << 30
 
 
-def sarif_documents(
-    artifacts: DataFrame,
-    results: DataFrame,
-    artifact: str,
-    order: Sequence[Column],
-    size: int = DOCUMENT_ROWS,
-) -> DataFrame:
-    """SARIF documents ``(artifact, part, document)``; an artifact without results keeps an empty list.
+def _pieces(rows: DataFrame, ends: DataFrame, key: str, order: Sequence[Column], joint: str) -> DataFrame:
+    """Number heads, rows and feet together; rows after the first start with ``joint``.
 
-    Lists become documents where they were built; only the bare keys take part in the search for
-    artifacts without results.
+    ``rows (key, section, piece, ...)`` has the columns of ``order``; ``ends (key, section, piece)`` holds the heads
+    (section -1) and feet.
     """
+    together = rows.unionByName(ends, allowMissingColumns=True)
+    numbered = ordinals(together, [key], [F.col("section"), *order], "ordinal")
+    inner = (F.col("section") > _HEAD) & (F.col("section") < _FOOT) & (F.col("ordinal") > 2)
+    return numbered.select(
+        key, "ordinal", F.concat(F.when(inner, F.lit(joint)).otherwise(F.lit("")), F.col("piece")).alias("piece")
+    )
+
+
+def _ends(keys: DataFrame, head: Column, foot: Column) -> DataFrame:
+    """The first and the last piece of every document."""
+    both = F.array(
+        F.struct(F.lit(_HEAD).alias("section"), head.alias("piece")),
+        F.struct(F.lit(_FOOT).alias("section"), foot.alias("piece")),
+    )
+    return keys.select(keys.columns[0], F.explode(both).alias("e")).select(keys.columns[0], "e.section", "e.piece")
+
+
+def sarif_documents(artifacts: DataFrame, results: DataFrame, artifact: str, order: Sequence[Column]) -> DataFrame:
+    """SARIF documents as pieces ``(artifact, ordinal, piece)``; an artifact without results keeps an empty list."""
     uri = F.coalesce(F.nullif(F.col(artifact).cast("string"), F.lit("")), F.lit(DEFAULT_URI))
-    lists = _listed(results, artifact, order, _sarif_result(uri), size)
-    filled = lists.select(artifact, F.col("part").cast("int").alias("part"), F.to_json("items").alias("_results"))
-    clean = artifacts.select(artifact).join(results.select(artifact).distinct(), artifact, "left_anti")
-    empty = clean.select(artifact, F.lit(0).alias("part"), F.lit("[]").alias("_results"))
+    rows = results.withColumn("piece", F.to_json(_sarif_result(uri)))
     driver = F.struct(F.lit(TOOL_NAME).alias("name"), F.lit(TOOL_VERSION).alias("version"))
-    head = F.to_json(F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit(SARIF_VERSION).alias("version")))
-    document = F.concat(
-        F.substring(head, F.lit(1), F.length(head) - 1),
+    schema = F.to_json(F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit(SARIF_VERSION).alias("version")))
+    head = F.concat(
+        F.substring(schema, F.lit(1), F.length(schema) - 1),
         F.lit(',"runs":[{"tool":'),
         F.to_json(F.struct(driver.alias("driver"))),
-        F.lit(',"results":'),
-        F.col("_results"),
-        F.lit("}]}"),
+        F.lit(',"results":['),
     )
-    return filled.unionByName(empty).select(artifact, "part", document.alias("document"))
+    return _pieces(rows, _ends(artifacts.select(artifact), head, F.lit("]}]}")), artifact, order, ",")
 
 
 def report_json(reports: DataFrame, pretty: bool = False) -> Column:
@@ -168,31 +179,25 @@ def comment_row() -> Column:
 
 
 def drift_line(trend: Column, score: Column) -> Column:
+    before, after = DRIFT_WORDS
     return F.concat(
-        F.lit("**Drift:** "), trend, F.lit(" "), levels.trend_arrow(trend), F.lit(" "),
-        text.fixed(score, 4), F.lit(" from baseline"),
+        F.lit(before), trend, F.lit(" "), levels.trend_arrow(trend), F.lit(" "), text.fixed(score, 4), F.lit(after)
     )
 
 
+def comment_head(title: str = COMMENT_TITLE) -> str:
+    """What stands above the rows of a comment."""
+    return "\n".join([f"## {title}", "", *COMMENT_COLUMNS])
+
+
 def markdown_comments(
-    results: DataFrame,
-    drift: DataFrame,
-    key: str,
-    order: Sequence[Column],
-    size: int = DOCUMENT_ROWS,
-    title: str = "Risk analysis",
+    results: DataFrame, drift: DataFrame, key: str, order: Sequence[Column], title: str = COMMENT_TITLE
 ) -> DataFrame:
-    """Markdown bodies ``(key, part, body)``: a table of results, a drift line if known, the marker last."""
-    lists = _listed(results, key, order, comment_row(), size)
-    drifts = drift.select(key, drift_line(F.coalesce("trend", F.lit("UNKNOWN")),
-                                          F.coalesce("score", F.lit(0.0))).alias("_drift"))
-    joined = lists.join(drifts, key, "left")
-    header = [f"## {title}", "", "| File | Risk Score | Tier | Findings |", "|------|-----------|------|----------|"]
-    body = F.concat_ws(
-        "\n",
-        F.lit("\n".join(header)),
-        F.concat_ws("\n", "items"),
-        F.concat(F.lit("\n"), F.col("_drift")),
-        F.lit("\n" + COMMENT_MARKER),
+    """Markdown comments as pieces ``(key, ordinal, piece)``: a table of results, a drift line if known, the marker last."""
+    rows = results.withColumn("section", F.lit(0)).withColumn("piece", F.concat(F.lit("\n"), comment_row()))
+    line = drift_line(F.coalesce("trend", F.lit("UNKNOWN")), F.coalesce("score", F.lit(0.0)))
+    keys = results.select(key).distinct().join(drift.select(key, line.alias("_drift")), key, "left")
+    foot = F.concat(
+        F.coalesce(F.concat(F.lit("\n\n"), F.col("_drift")), F.lit("")), F.lit("\n\n" + COMMENT_MARKER)
     )
-    return joined.select(key, F.col("part").cast("int").alias("part"), body.alias("body"))
+    return _pieces(rows, _ends(keys, F.lit(comment_head(title)), foot), key, order, "")

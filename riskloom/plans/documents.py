@@ -92,7 +92,7 @@ def _scan_results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     found = roles.findings(spark, folder).withColumn("severity", F.upper("severity"))
     security = reporting.security_results(found, "scan_id")
     key = F.concat(F.col("node_path"), F.lit("@"), F.col("line_number").cast("string"), F.lit(":x"))
-    functions = found.where("line_number >= 6").select(
+    functions = found.select(
         "scan_id",
         key.alias("function_key"),
         (F.col("confidence_score") * 3).alias("renyi_z_score"),
@@ -113,7 +113,7 @@ _SQL_RESULT_ROWS = """result_rows AS (
   UNION ALL
   SELECT scan_id, 1, 'structural-anomaly', line_number, 'warning', 'Structural anomaly in ' || node_path || '@'
     || line_number || ':x (Anomaly Z=' || printf('%.2f', confidence_score * 3) || ', Mahalanobis='
-    || printf('%.2f', confidence_score) || ')' FROM findings WHERE line_number >= 6 AND NOT confidence_score * 3 < 1.5
+    || printf('%.2f', confidence_score) || ')' FROM findings WHERE NOT confidence_score * 3 < 1.5
   UNION ALL
   SELECT scan_id, 2, 'structural-anomaly', 1, 'warning', 'Module-level structural anomaly (Anomaly Z='
     || printf('%.2f', risk_score * 2) || ', Mahalanobis=' || printf('%.2f', risk_score) || ')'
@@ -123,18 +123,21 @@ _SQL_RESULT_ROWS = """result_rows AS (
 @query(
     "sarif_documents",
     f"""WITH {roles.SQL_SCANS}, {roles.SQL_FINDINGS}, {_SQL_RESULT_ROWS},
-    lists AS (SELECT scan_id, string_agg('{{"ruleId":"' || rule || '","level":"' || level || '","message":{{"text":"'
-        || message || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || scan_id
-        || '"}},"region":{{"startLine":' || line || '}}}}}}]}}', ',' ORDER BY section, line, rule, level, message) AS items
-      FROM result_rows GROUP BY 1)
-    SELECT scan_id, 0 AS part, '{{"$schema":"{reporting.SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":'
-      || '{{"name":"{reporting.TOOL_NAME}","version":"{reporting.TOOL_VERSION}"}}}},"results":[' || coalesce(items, '')
-      || ']}}]}}' AS document
-    FROM scans LEFT JOIN lists USING (scan_id)""",
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY section, line, rule, level, message) AS i
+      FROM result_rows),
+    counts AS (SELECT scan_id, count(*) AS n FROM result_rows GROUP BY 1)
+    SELECT scan_id, 1 AS ordinal, '{{"$schema":"{reporting.SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":'
+      || '{{"name":"{reporting.TOOL_NAME}","version":"{reporting.TOOL_VERSION}"}}}},"results":[' AS piece FROM scans
+    UNION ALL
+    SELECT scan_id, i + 1, CASE WHEN i > 1 THEN ',' ELSE '' END || '{{"ruleId":"' || rule || '","level":"' || level
+      || '","message":{{"text":"' || message || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"'
+      || scan_id || '"}},"region":{{"startLine":' || line || '}}}}}}]}}' FROM numbered
+    UNION ALL
+    SELECT scan_id, coalesce(n, 0) + 2, ']}}]}}' FROM scans LEFT JOIN counts USING (scan_id)""",
 )
 def sarif_documents(spark: SparkSession, folder: str) -> DataFrame:
     scans, results = _scan_results(spark, folder)
-    order = [F.col(c) for c in ("section", "line", "rule", "level", "message")]
+    order = [F.col(c) for c in ("line", "rule", "level", "message")]
     return reporting.sarif_documents(scans, results, "scan_id", order)
 
 
@@ -166,24 +169,32 @@ def report_json(spark: SparkSession, folder: str) -> DataFrame:
     return reports.select("scan_id", reporting.report_json(reports.drop("scan_id")).alias("report"))
 
 
+# Pieces of the comments on ``numbered (project_id, i, scan_id, risk_score, n)`` and ``drifted (project_id, trend, score)``.
+SQL_COMMENT_PIECES = f"""ends AS (SELECT project_id, count(*) AS rows FROM numbered GROUP BY 1)
+    SELECT project_id, 1 AS ordinal, '{reporting.comment_head()}' AS piece FROM ends
+    UNION ALL
+    SELECT project_id, i + 1, chr(10) || '| `scan/' || scan_id || '` | ' || printf('%.4f', risk_score) || ' | '
+      || CASE {roles.SQL_TIER.format('risk_score')} WHEN 'CRITICAL' THEN '🔴' WHEN 'HIGH' THEN '🟠' WHEN 'MEDIUM' THEN '🟡'
+         ELSE '🟢' END || ' ' || {roles.SQL_TIER.format('risk_score')} || ' | ' || coalesce(n, 0) || ' |' FROM numbered
+    UNION ALL
+    SELECT project_id, rows + 2, coalesce(chr(10) || chr(10) || '{reporting.DRIFT_WORDS[0]}' || trend || ' ' || CASE trend
+        WHEN 'STABLE' THEN '→' WHEN 'IMPROVED' THEN '↓' ELSE '↑' END || ' ' || printf('%.4f', score)
+        || '{reporting.DRIFT_WORDS[1]}', '') || chr(10) || chr(10) || '{reporting.COMMENT_MARKER}'
+    FROM ends LEFT JOIN drifted USING (project_id)"""
+
+
 @query(
     "pr_markdown",
-    f"""WITH {roles.SQL_SCANS}, means AS (
+    f"""WITH {roles.SQL_SCANS}, {roles.SQL_FINDINGS}, means AS (
       SELECT project_id, avg(risk_score) FILTER (created_at >= TIMESTAMP '{SPLIT}') - avg(risk_score) FILTER
         (created_at < TIMESTAMP '{SPLIT}') AS change FROM scans GROUP BY 1),
     drifted AS (SELECT project_id, CASE WHEN abs(change) < 0.05 THEN 'STABLE' WHEN change < 0 THEN 'IMPROVED'
         WHEN abs(change) >= 0.5 THEN 'FRACTURED' ELSE 'DEGRADED' END AS trend, abs(change) AS score FROM means
       WHERE change IS NOT NULL),
-    lists AS (SELECT project_id, string_agg('| `scan/' || scan_id || '` | ' || printf('%.4f', risk_score) || ' | '
-        || CASE {roles.SQL_TIER.format('risk_score')} WHEN 'CRITICAL' THEN '🔴' WHEN 'HIGH' THEN '🟠' WHEN 'MEDIUM' THEN '🟡'
-           ELSE '🟢' END || ' ' || {roles.SQL_TIER.format('risk_score')} || ' | ' || length(severity) || ' |',
-        chr(10) ORDER BY scan_id) AS items FROM scans GROUP BY 1)
-    SELECT project_id, 0 AS part, '## Risk analysis' || chr(10) || chr(10) || '| File | Risk Score | Tier | Findings |'
-      || chr(10) || '|------|-----------|------|----------|' || chr(10) || items
-      || coalesce(chr(10) || chr(10) || '**Drift:** ' || trend || ' ' || CASE trend WHEN 'STABLE' THEN '→'
-           WHEN 'IMPROVED' THEN '↓' ELSE '↑' END || ' ' || printf('%.4f', score) || ' from baseline', '')
-      || chr(10) || chr(10) || '{reporting.COMMENT_MARKER}' AS body
-    FROM lists LEFT JOIN drifted USING (project_id)""",
+    counts AS (SELECT scan_id, count(*) AS n FROM findings GROUP BY 1),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY scan_id) AS i
+      FROM scans LEFT JOIN counts USING (scan_id)),
+    {SQL_COMMENT_PIECES}""",
 )
 def pr_markdown(spark: SparkSession, folder: str) -> DataFrame:
     from riskloom.operators.drift import drift
@@ -200,13 +211,14 @@ def pr_markdown(spark: SparkSession, folder: str) -> DataFrame:
         "*", none.alias("key_distance"), none.alias("vector_change")
     )
     drifts = drift(paired).select("project_id", F.col("risk_trend").alias("trend"), F.col("drift_score").alias("score"))
-    rows = scans.select(
+    counts = roles.findings(spark, folder).groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings_count"))
+    rows = scans.join(counts, "scan_id", "left").select(
         "project_id",
         "scan_id",
         F.concat(F.lit("scan/"), F.col("scan_id").cast("string")).alias("file_path"),
         "risk_score",
         risk_tier(F.col("risk_score")).alias("risk_tier"),
-        F.length("severity").alias("findings_count"),
+        F.coalesce("findings_count", F.lit(0)).alias("findings_count"),
     )
     return reporting.markdown_comments(rows, drifts, "project_id", [F.col("scan_id")])
 

@@ -13,10 +13,10 @@ from riskloom.operators import keyed, reporting
 
 FINDING = "uri STRING, category STRING, severity STRING, node_path STRING, confidence_score DOUBLE, line_number INT"
 REPORT = "uri STRING, function_key STRING, mahalanobis_distance DOUBLE, renyi_z_score DOUBLE"
-ORDER = ["section", "line", "message"]
+ORDER = ["line", "message"]
 
 
-def sarif(spark, threats=(), functions=(), module_z=0.0, uri="app.py", size=10_000):
+def sarif(spark, threats=(), functions=(), module_z=0.0, uri="src/main.py"):
     artifacts = spark.createDataFrame([(uri,)], "uri STRING")
     results = (
         reporting.security_results(spark.createDataFrame([(uri, *t) for t in threats], FINDING), "uri")
@@ -28,53 +28,55 @@ def sarif(spark, threats=(), functions=(), module_z=0.0, uri="app.py", size=10_0
             )
         )
     )
-    documents = reporting.sarif_documents(artifacts, results, "uri", [F.col(c) for c in ORDER], size)
-    return [json.loads(r.document) for r in documents.orderBy("part").collect()]
+    pieces = reporting.sarif_documents(artifacts, results, "uri", [F.col(c) for c in ORDER]).orderBy("ordinal").collect()
+    assert [r.ordinal for r in pieces] == list(range(1, len(pieces) + 1))
+    return json.loads("".join(r.piece for r in pieces))
 
 
 def test_empty_report_keeps_its_skeleton(spark):
-    (document,) = sarif(spark)
+    document = sarif(spark)
     assert document["version"] == "2.1.0" and "$schema" in document and len(document["runs"]) == 1
     run = document["runs"][0]
     assert run["tool"]["driver"]["name"] == reporting.TOOL_NAME and run["results"] == []
 
 
 def test_findings_become_results(spark):
-    threats = [("sql-injection", "CRITICAL", "cursor.execute", 0.95, 10), ("path-traversal", "MEDIUM", 'open("x")', 0.80, 0)]
-    results = sarif(spark, threats)[0]["runs"][0]["results"]
-    assert [(r["ruleId"], r["level"]) for r in results] == [("path-traversal", "warning"), ("sql-injection", "error")]
+    threats = [("weak-hash", "CRITICAL", "md5(salt)", 0.625, 31), ("dynamic-eval", "MEDIUM", 'eval("y")', 0.375, 0)]
+    results = sarif(spark, threats)["runs"][0]["results"]
+    assert [(r["ruleId"], r["level"]) for r in results] == [("dynamic-eval", "warning"), ("weak-hash", "error")]
     regions = [r["locations"][0]["physicalLocation"] for r in results]
-    assert [r["region"]["startLine"] for r in regions] == [1, 10]
-    assert regions[0]["artifactLocation"]["uri"] == "app.py"
-    assert results[0]["message"]["text"] == 'path-traversal: open("x") (confidence=0.80)'
+    assert [r["region"]["startLine"] for r in regions] == [1, 31]
+    assert regions[0]["artifactLocation"]["uri"] == "src/main.py"
+    assert results[0]["message"]["text"] == 'dynamic-eval: eval("y") (confidence=0.38)'
 
 
 def test_anomaly_gates(spark):
-    functions = [("high@12:f", 5.0, 2.0), ("low@3:f", 1.0, 0.5), ("odd", 1.0, float("nan"))]
-    results = sarif(spark, functions=functions)[0]["runs"][0]["results"]
+    functions = [("far@17:g", 7.5, 3.25), ("near@4:g", 0.75, 1.25), ("odd", 1.5, float("nan")), ("big@99999999999:g", 1.0, 2.0)]
+    results = sarif(spark, functions=functions)["runs"][0]["results"]
     texts = {r["message"]["text"]: r for r in results}
     assert set(texts) == {
-        "Structural anomaly in high@12:f (Anomaly Z=2.00, Mahalanobis=5.00)",
-        "Structural anomaly in odd (Anomaly Z=NaN, Mahalanobis=1.00)",
+        "Structural anomaly in far@17:g (Anomaly Z=3.25, Mahalanobis=7.50)",
+        "Structural anomaly in odd (Anomaly Z=NaN, Mahalanobis=1.50)",
+        "Structural anomaly in big@99999999999:g (Anomaly Z=2.00, Mahalanobis=1.00)",
     }
-    first = texts["Structural anomaly in high@12:f (Anomaly Z=2.00, Mahalanobis=5.00)"]
+    first = texts["Structural anomaly in far@17:g (Anomaly Z=3.25, Mahalanobis=7.50)"]
     assert first["ruleId"] == "structural-anomaly"
-    assert first["locations"][0]["physicalLocation"]["region"]["startLine"] == 12
-    module = sarif(spark, module_z=2.5)[0]["runs"][0]["results"]
+    assert first["locations"][0]["physicalLocation"]["region"]["startLine"] == 17
+    big = texts["Structural anomaly in big@99999999999:g (Anomaly Z=2.00, Mahalanobis=1.00)"]
+    assert big["locations"][0]["physicalLocation"]["region"]["startLine"] == 99999999999
+    module = sarif(spark, module_z=2.25)["runs"][0]["results"]
     assert [r["message"]["text"][:12] for r in module] == ["Module-level"]
-    assert sarif(spark, module_z=float("nan"))[0]["runs"][0]["results"] == []
+    assert sarif(spark, module_z=float("nan"))["runs"][0]["results"] == []
 
 
-def test_long_lists_go_on_in_further_documents(spark):
-    threats = [("eval", "LOW", f"n{i}", 0.5, i + 1) for i in range(25)]
-    documents = sarif(spark, threats, size=10)
-    sizes = [len(d["runs"][0]["results"]) for d in documents]
-    lines = [r["locations"][0]["physicalLocation"]["region"]["startLine"] for d in documents for r in d["runs"][0]["results"]]
-    assert sizes == [10, 10, 5] and lines == list(range(1, 26))
+def test_an_artifact_has_one_document(spark):
+    threats = [("eval", "LOW", f"n{i}", 0.5, i + 1) for i in range(250)]
+    results = sarif(spark, threats)["runs"][0]["results"]
+    assert [r["locations"][0]["physicalLocation"]["region"]["startLine"] for r in results] == list(range(1, 251))
 
 
 def test_missing_uri_has_a_default(spark):
-    assert sarif(spark, [("eval", "HIGH", "n", 0.5, 1)], uri="")[0]["runs"][0]["results"][0]["locations"][0][
+    assert sarif(spark, [("eval", "HIGH", "n", 0.5, 1)], uri="")["runs"][0]["results"][0]["locations"][0][
         "physicalLocation"]["artifactLocation"]["uri"] == "analyzed-file"
 
 
@@ -84,22 +86,22 @@ RESULT = "pr INT, file_path STRING, risk_score DOUBLE, risk_tier STRING, finding
 def comment(spark, rows, drift=()):
     results = spark.createDataFrame(rows, RESULT)
     drifts = spark.createDataFrame(list(drift), "pr INT, trend STRING, score DOUBLE")
-    bodies = reporting.markdown_comments(results, drifts, "pr", [F.col("file_path")]).collect()
-    return {r.pr: r.body for r in bodies}
+    pieces = reporting.markdown_comments(results, drifts, "pr", [F.col("file_path")]).orderBy("pr", "ordinal").collect()
+    return {pr: "".join(r.piece for r in pieces if r.pr == pr) for pr in {r.pr for r in pieces}}
 
 
 def test_comment_table(spark):
-    bodies = comment(spark, [(1, "app.py", 0.85, "HIGH", 3), (1, "b.py", 0.125, None, 0)])
+    bodies = comment(spark, [(1, "a/run.py", 0.6875, "HIGH", 12), (1, "b.py", 0.125, None, 0)])
     lines = bodies[1].split("\n")
     assert lines[0].startswith("## ") and lines[1] == "" and lines[2].startswith("| File |")
-    assert lines[4] == "| `app.py` | 0.8500 | 🟠 HIGH | 3 |"
+    assert lines[4] == "| `a/run.py` | 0.6875 | 🟠 HIGH | 12 |"
     assert lines[5] == "| `b.py` | 0.1250 | ⚪ UNKNOWN | 0 |"
     assert lines[6:] == ["", reporting.COMMENT_MARKER]
 
 
 def test_comment_drift_line(spark):
-    bodies = comment(spark, [(1, "app.py", 0.85, "HIGH", 3), (2, "b.py", 0.1, "LOW", 0)], [(1, "DEGRADED", 0.45)])
-    assert bodies[1].split("\n")[-4:] == ["", "**Drift:** DEGRADED ↑ 0.4500 from baseline", "", reporting.COMMENT_MARKER]
+    bodies = comment(spark, [(1, "a/run.py", 0.6875, "HIGH", 12), (2, "b.py", 0.1, "LOW", 0)], [(1, "DEGRADED", 0.3125)])
+    assert bodies[1].split("\n")[-4:] == ["", "**Drift:** DEGRADED ↑ 0.3125 from baseline", "", reporting.COMMENT_MARKER]
     assert "Drift" not in bodies[2]
 
 
@@ -194,6 +196,11 @@ def test_pretty_and_compact_reports(spark):
 
 def test_table_order(spark):
     rows = spark.createDataFrame([(1, "b"), (2, None), (3, "A"), (None, "c")], "n INT, s STRING")
+    more = spark.createDataFrame([("zeta", "9.50"), ("école", "100.00"), ("Eclair", "10.50"), ("eclair", None)], "s STRING, d STRING")
+    more = more.select("s", F.col("d").cast("decimal(8,2)").alias("d"))
+    listed_more = lambda c: [r[c] for r in more.orderBy(*reporting.table_order(more, [(c, "asc")])).collect()]
+    assert listed_more("s") == ["eclair", "Eclair", "école", "zeta"]
+    assert [float(x) if x else None for x in listed_more("d")] == [9.5, 10.5, 100.0, None]
 
     def listed(column, direction):
         return [r[column] for r in rows.orderBy(*reporting.table_order(rows, [(column, direction)])).collect()]

@@ -7,6 +7,7 @@ text at a time and keeps no state, so Spark spreads the texts as it likes.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ Scanner = Callable[[str], Iterable[Finding]]
 
 def rule_scanner(rules: Sequence[Rule] = RULES) -> Scanner:
     """The rule table as a plug-in."""
-    table = [(r.category, r.severity, r.confidence, re.compile(r.pattern, re.ASCII)) for r in rules]
+    table = [(r.category, r.severity, r.confidence, re.compile(r.portable_pattern, re.ASCII)) for r in rules]
 
     def scan(text: str) -> Iterator[Finding]:
         for number, line in enumerate(text.split("\n"), 1):
@@ -34,19 +35,22 @@ def rule_scanner(rules: Sequence[Rule] = RULES) -> Scanner:
 
 
 def register(spark: SparkSession, name: str, scanner: Scanner) -> None:
-    """Make a scanner callable as a table function of one text."""
+    """Make a scanner callable as a table function of one text, fed and read in Arrow batches."""
 
     class Scan:
         def eval(self, text: str):
             if text is not None:
                 yield from scanner(text)
 
-    spark.udtf.register(name, udtf(Scan, returnType=FINDING))
+    spark.udtf.register(name, udtf(Scan, returnType=FINDING, useArrow=True))
 
 
 def scan_with(files: DataFrame, name: str, key: str, text: str) -> DataFrame:
     """Findings of every file by a registered scanner."""
-    files.createOrReplaceTempView(f"{name}_input")
-    return files.sparkSession.sql(
-        f"SELECT f.{key}, s.* FROM {name}_input f, LATERAL {name}(f.{text}) s"
-    )
+    view = f"{name}_{uuid.uuid4().hex}"
+    files.createOrReplaceTempView(view)
+    try:
+        # the plan holds the files themselves from here on, so the name can go
+        return files.sparkSession.sql(f"SELECT f.{key}, s.* FROM {view} f, LATERAL {name}(f.{text}) s")
+    finally:
+        files.sparkSession.catalog.dropTempView(view)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,9 @@ class Rule:
 
     ``hints`` are lower-case literals; every match contains at least one. A line without any of them
     skips the pattern, and a plain substring search costs a fraction of a pattern search.
+
+    ``\\s`` is one of the six ASCII spaces and ``\\b`` the edge of a run of ASCII letters, digits and ``_`` wherever the rule
+    runs; ``jvm_pattern`` and ``portable_pattern`` say so to engines that mean more, or less, by them.
     """
 
     category: str
@@ -25,11 +28,23 @@ class Rule:
     pattern: str
     hints: tuple[str, ...] = ()
 
+    @property
+    def portable_pattern(self) -> str:
+        """For engines where ``\\b`` is ASCII already."""
+        return self.pattern.replace(r"\s", r"[ \t\n\r\f\x0B]")
+
+    @property
+    def jvm_pattern(self) -> str:
+        """For Spark, where ``\\b`` also knows other letters."""
+        word = "[0-9A-Za-z_]"
+        edge = f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))"
+        return self.portable_pattern.replace(r"\b", edge)
+
 
 RULES: tuple[Rule, ...] = (
     Rule(
         "sql-injection", "CRITICAL", 0.9,
-        r"(?i)(select|insert|update|delete)\s.{0,200}(from|into|set)\s.{0,200}[\"']\s*(\+|%|\.format)",
+        r"(?is)(select|insert|update|delete)\s.*(from|into|set)\s.*[\"']\s*(\+|%|\.format)",
         ("select", "insert", "update", "delete"),
     ),
     Rule(
@@ -122,7 +137,7 @@ def lines_of(files: DataFrame, key: str, text: str) -> DataFrame:
 
 def _matches(rule: Rule) -> Column:
     """Whether a line matches a rule, by its hints first."""
-    match = F.col("line").rlike(rule.pattern)
+    match = F.col("line").rlike(rule.jvm_pattern)
     if not rule.hints:
         return match
     return reduce(or_, [F.col("_lower").contains(hint) for hint in rule.hints]) & match
@@ -140,19 +155,35 @@ def _rule_attributes(rules: Sequence[Rule]) -> Column:
                 F.lit(r.category).alias("category"),
                 F.lit(r.severity).alias("severity"),
                 F.lit(r.confidence).alias("confidence_score"),
-                F.lit(r.pattern).alias("pattern"),
+                F.lit(r.jvm_pattern).alias("pattern"),
             )
             for r in rules
         ]
     )
 
 
-def scan(files: DataFrame, key: str, text: str, rules: Sequence[Rule] = RULES) -> DataFrame:
+RULE_TABLE = "category STRING, severity STRING, confidence DOUBLE, pattern STRING, hints ARRAY<STRING>"
+
+
+def rule_table(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Rules as a table."""
+    return spark.createDataFrame([(r.category, r.severity, r.confidence, r.pattern, list(r.hints)) for r in rules], RULE_TABLE)
+
+
+def rules_of(table: DataFrame) -> tuple[Rule, ...]:
+    """Rules of a table ``(category, severity, confidence, pattern, hints)``; a rule table is small, like a program."""
+    rows = table.select(*[field.split()[0] for field in RULE_TABLE.split(", ")]).collect()
+    return tuple(Rule(r.category, r.severity, r.confidence, r.pattern, tuple(r.hints or ())) for r in rows)
+
+
+def scan(files: DataFrame, key: str, text: str, rules: Sequence[Rule] | DataFrame = RULES) -> DataFrame:
     """Findings ``(key, line_number, category, severity, confidence_score, node_path)`` of whole texts.
 
     Narrow and stateless: no shuffle, one pass over the text, patterns compiled once per task.
-    ``node_path`` is the matched fragment.
+    ``node_path`` is the matched fragment. ``rules`` may be a table.
     """
+    if isinstance(rules, DataFrame):
+        rules = rules_of(rules)
     lines = lines_of(files, key, text).withColumn("_lower", F.lower("line"))
     hits = lines.select(key, "line_number", "line", F.explode(_matching_rules(rules)).alias("_rule"))
     ruled = hits.select(key, "line_number", "line", F.get(_rule_attributes(rules), F.col("_rule")).alias("_r"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,13 +57,25 @@ def split_required(records: DataFrame, required: Sequence[str]) -> tuple[DataFra
     return records.where(complete), records.where(~complete)
 
 
-def upsert(target: DataFrame, incoming: DataFrame, key: str, updated: Sequence[str], stamp: Column) -> DataFrame:
+def upsert(
+    target: DataFrame,
+    incoming: DataFrame,
+    key: str,
+    updated: Sequence[str],
+    stamp: Column,
+    new: Mapping[str, Column] | None = None,
+) -> DataFrame:
     """Target after an upsert by ``key``.
 
     A match takes the ``updated`` columns and the update stamp and keeps its id and creation moment;
-    a new key is inserted with both moments set to ``stamp``. Missing target columns become null.
+    a new key is inserted with both moments set to ``stamp``. ``new`` gives further columns of inserted rows, such as
+    their id, as Columns over ``key``; target columns that nothing names become null there.
     """
-    t, i = target.alias("t"), incoming.withColumn("_in", F.lit(True)).alias("i")
+    # of several records of one key the one whose updated fields are greatest counts, so a key is written once
+    fields = F.struct(*[F.col(c) for c in updated], *[F.col(c) for c in incoming.columns if c not in (key, *updated)])
+    once = incoming.groupBy(key).agg(F.max(fields).alias("_r")).select(key, "_r.*")
+    once = once.withColumns({f"_new_{name}": value for name, value in (new or {}).items()})
+    t, i = target.alias("t"), once.withColumn("_in", F.lit(True)).alias("i")
     joined = t.join(i, F.col(f"t.{key}") == F.col(f"i.{key}"), "full_outer")
     matched = F.col("i._in").isNotNull()
     inserted = F.col(f"t.{key}").isNull()
@@ -78,6 +90,8 @@ def upsert(target: DataFrame, incoming: DataFrame, key: str, updated: Sequence[s
             columns.append(F.when(matched, stamp).otherwise(old).alias(name))
         elif name == "created_at":
             columns.append(F.when(inserted, stamp).otherwise(old).alias(name))
+        elif new and name in new:
+            columns.append(F.when(inserted, F.col(f"_new_{name}")).otherwise(old).alias(name))
         else:
             columns.append(old.alias(name))
     action = F.when(inserted, F.lit("insert")).when(matched, F.lit("update")).otherwise(F.lit("keep"))

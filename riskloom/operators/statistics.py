@@ -9,8 +9,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pandas as pd
@@ -19,8 +17,6 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.levels import ANOMALY_Z
 
-MAX_WIDTH = 512  # widest vector whose width x width matrices may come to the driver
-
 
 @dataclass(frozen=True)
 class Population:
@@ -45,16 +41,27 @@ def dimension_stats(vectors: DataFrame, vector: str, keys: Sequence[str] = ()) -
     )
 
 
-def fit(vectors: DataFrame, vector: str) -> Population:
-    """Per-dimension mean and sample variance of the whole table."""
-    rows = dimension_stats(vectors, vector).where(F.col("dim") < MAX_WIDTH + 1).orderBy("dim").collect()
-    if len(rows) > MAX_WIDTH:
-        raise ValueError(f"vectors are wider than {MAX_WIDTH}")
+def _population(rows: Sequence) -> Population:
     count = rows[0].n if rows else 0
     spread = tuple(0.0 if r.variance is None else r.variance for r in rows)
     return Population(count, tuple(r.mean for r in rows), spread)
 
 
+def fit(vectors: DataFrame, vector: str) -> Population:
+    """Per-dimension mean and sample variance of the whole table; as many numbers as a vector has."""
+    return _population(dimension_stats(vectors, vector).orderBy("dim").collect())
+
+
+def fit_with(vectors: DataFrame, vector: str, measure: Column) -> tuple[Population, float | None, float | None]:
+    """Population, and mean and sample deviation of one more measure of each row, from one pass."""
+    doubles = F.transform(vector, lambda x: x.cast("double"))
+    longer = vectors.select(F.concat(F.array(measure), doubles).alias("_longer"))
+    first, *rows = dimension_stats(longer, "_longer").orderBy("dim").collect() or [None]
+    if first is None:
+        return _population([]), None, None
+    return _population(rows), first.mean, None if first.variance is None else math.sqrt(first.variance)
+
+
 def _outer_sums(vector: str, mean: np.ndarray):
     """Per partition: the sum of outer products of the centred vectors, one row per matrix row."""
 
@@ -69,6 +76,11 @@ def _outer_sums(vector: str, mean: np.ndarray):
     return run
 
 
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sum of the partial arrays of one matrix row."""
+    return pd.DataFrame({"row": rows["row"].iloc[:1], "sums": [np.sum(np.stack(rows["sums"].to_numpy()), axis=0)]})
+
+
 def fit_full(vectors: DataFrame, vector: str) -> Population:
     """Population with the pseudo-inverse of its full covariance matrix.
 
@@ -80,23 +92,31 @@ def fit_full(vectors: DataFrame, vector: str) -> Population:
         return Population(base.count, base.mean, base.variance, np.zeros((base.width, base.width)))
     mean = np.array(base.mean)
     partial = vectors.select(vector).mapInPandas(_outer_sums(vector, mean), "row INT, sums ARRAY<DOUBLE>")
-    cells = partial.select("row", F.posexplode("sums").alias("col", "s"))
-    totals = cells.groupBy("row", "col").agg(F.sum("s").alias("s")).collect()
+    # one array per task and matrix row meets its like; cells are never rows of their own
+    totals = partial.groupBy("row").applyInPandas(_added, "row INT, sums ARRAY<DOUBLE>").collect()
     covariance = np.zeros((base.width, base.width))
-    for cell in totals:
-        covariance[cell.row, cell.col] = cell.s / (base.count - 1)
+    for total in totals:
+        covariance[total.row] = np.array(total.sums) / (base.count - 1)
     return Population(base.count, base.mean, base.variance, np.linalg.pinv(covariance, hermitian=True))
 
 
+def covariance_cells(vectors: DataFrame, vector: str) -> DataFrame:
+    """(i, j, covariance) of every pair of dimensions; width rows are collected from each task, not cells."""
+    base = fit(vectors, vector)
+    partial = vectors.select(vector).mapInPandas(_outer_sums(vector, np.array(base.mean)), "row INT, sums ARRAY<DOUBLE>")
+    totals = partial.groupBy("row").applyInPandas(_added, "row INT, sums ARRAY<DOUBLE>")
+    cells = totals.select(F.col("row").alias("i"), F.posexplode("sums").alias("j", "s"))
+    return cells.select("i", "j", F.try_divide(F.col("s"), F.lit(float(base.count - 1))).alias("covariance"))
+
+
 def mahalanobis_diagonal(vector: Column, population: Population) -> Column:
     """Distance with a diagonal covariance; a dimension without spread contributes nothing."""
-    offsets = [
-        (F.get(vector, F.lit(j)).cast("double") - F.lit(mean), variance)
-        for j, (mean, variance) in enumerate(zip(population.mean, population.variance, strict=True))
-        if variance > 0
-    ]
-    terms = [offset * offset / F.lit(variance) for offset, variance in offsets]
-    return F.sqrt(reduce(add, terms)) if terms else F.lit(0.0)
+    if not population.width:
+        return F.lit(0.0)
+    means, variances = F.lit(list(population.mean)), F.lit(list(population.variance))
+    squares = F.zip_with(vector, means, lambda x, mean: F.pow(x.cast("double") - mean, F.lit(2.0)))
+    terms = F.zip_with(squares, variances, lambda square, v: F.when(v > 0, square / v).otherwise(F.lit(0.0)))
+    return F.sqrt(F.aggregate(terms, F.lit(0.0), lambda total, term: total + term))
 
 
 def mahalanobis_full(vector: Column, population: Population) -> Column:
@@ -126,16 +146,19 @@ def _powered(x: Column, alpha: float) -> Column:
     return x * x if alpha == 2 else F.pow(x, F.lit(float(alpha)))
 
 
-def renyi_discrete(rows: DataFrame, keys: Sequence[str], category: str, alpha: float = 2.0) -> DataFrame:
-    """Rényi entropy of a category's distribution per key: two combinable aggregations."""
+def renyi_discrete(
+    rows: DataFrame, keys: Sequence[str], category: str, alpha: float = 2.0, shannon: str | None = None
+) -> DataFrame:
+    """Rényi entropy of a category's distribution per key (and Shannon's, if named): two combinable aggregations."""
     counts = rows.groupBy(*keys, category).agg(F.count(F.lit(1)).alias("n"))
     # sum(p^a) = sum(n^a) / N^a and -sum(p ln p) = ln N - sum(n ln n) / N need no join back to the total
     n = F.col("n").cast("double")
     total = F.sum(n)
     power = F.sum(_powered(n, alpha)) / _powered(total, alpha)
-    shannon = F.ln(total) - F.sum(n * F.ln(n)) / total
+    first = F.ln(total) - F.sum(n * F.ln(n)) / total
+    named = [first.alias(shannon)] if shannon else []
     return counts.groupBy(*keys).agg(
-        F.sum("n").alias("total"), renyi_of_probabilities(power, shannon, alpha).alias("renyi_entropy")
+        F.sum("n").alias("total"), renyi_of_probabilities(power, first, alpha).alias("renyi_entropy"), *named
     )
 
 
@@ -192,7 +215,8 @@ def anomaly_score(z: Column) -> Column:
 
 def function_reports(vectors: DataFrame, key: str, vector: str, alpha: float = 2.0) -> DataFrame:
     """Anomaly report of every function vector against its population."""
-    population = fit(vectors, vector)
+    entropy = F.col("renyi_entropy_discrete")
+    population, mean, spread = fit_with(vectors, vector, renyi_of_vector(F.col(vector), alpha))
     measured = vectors.withColumns(
         {
             "mahalanobis_distance": mahalanobis_diagonal(F.col(vector), population),
@@ -200,7 +224,5 @@ def function_reports(vectors: DataFrame, key: str, vector: str, alpha: float = 2
             "renyi_entropy_differential": renyi_differential_of_vector(F.col(vector), alpha),
         }
     )
-    entropy = F.col("renyi_entropy_discrete")
-    stats = measured.agg(F.avg(entropy).alias("m"), F.stddev_samp(entropy).alias("s")).first()
-    scored = measured.withColumn("renyi_z_score", z_score(entropy, stats.m, stats.s))
+    scored = measured.withColumn("renyi_z_score", z_score(entropy, mean, spread))
     return scored.withColumn("anomaly_score", anomaly_score(F.col("renyi_z_score")))

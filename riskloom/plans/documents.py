@@ -12,22 +12,31 @@ from riskloom.plans import roles
 from riskloom.plans.projects import SPLIT
 from riskloom.plans.registry import query
 from riskloom.plans.scoring import SQL_RESULTS, SUMMARY_SQL, corpus_results, rounded_summary
-from riskloom.session import shared_dir
+from riskloom.session import settle, shared_dir
 from riskloom.sources import results as result_files
 from riskloom.sources import snapshots
+from riskloom.sources.tables import table
 
 
 @query(
     "csv_roundtrip_summary",
     f"""WITH {SQL_RESULTS.replace('results AS (SELECT doc_id, source, risk_score,',
                                  "results AS (SELECT doc_id, source, CAST(printf('%.4f', risk_score) AS DOUBLE) AS risk_score,")
-        }, kept AS (SELECT * FROM results WHERE source <> 'src0') {SUMMARY_SQL.replace('FROM results', 'FROM kept')}""",
+        } {SUMMARY_SQL}""",
 )
 def csv_roundtrip_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Every file's result, and an ERROR row for each file of the same tree that is no UTF-8; those leave the summary.
+
+    Damaged copies of the pages stand for the unreadable files: their text cut inside a character.
+    """
     path = F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path")
     rows = corpus_results(spark, folder).select("*", path)
-    failed = rows.where("source = 'src0'").select("file_path")
-    written = result_files.with_errors(rows.where("source <> 'src0'"), failed)
+    raw = F.concat(F.col("html").cast("binary"), F.unhex(F.lit("C3")))
+    pages = table(spark, folder, "pages").select(
+        F.concat(F.lit("damaged/"), F.col("page_id").cast("string")).alias("file_path"), raw.alias("content")
+    )
+    failed = pages.where(~F.is_valid_utf8(F.col("content").cast("string"))).select("file_path")
+    written = settle(result_files.with_errors(rows, failed))
     target = shared_dir(spark, "results-csv")
     result_files.write_csv(written, target)
     return rounded_summary(rollups.corpus_summary(result_files.read_csv(spark, target)))

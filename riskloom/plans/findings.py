@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import levels, text
 from riskloom.operators import reporting, rollups
-from riskloom.operators.findings import scan
+from riskloom.operators.findings import rule_table, scan
 from riskloom.operators.ordering import left_join_many, ordinals
 from riskloom.plans import roles
 from riskloom.plans.registry import query
@@ -22,7 +22,7 @@ _HITS = "SELECT {key}, line_number::INT AS line_number, category, severity, conf
     f"WITH {roles.sql_rule_findings('documents', 'doc_id', 'text')} {_HITS.format(key='doc_id')}",
 )
 def rule_findings(spark: SparkSession, folder: str) -> DataFrame:
-    return scan(roles.files(spark, folder), "doc_id", "text")
+    return scan(roles.files(spark, folder), "doc_id", "text", rule_table(spark))
 
 
 @query(
@@ -228,15 +228,22 @@ def editor_rows(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "severity_buckets",
     f"""WITH {roles.SQL_FINDINGS}
-    SELECT scan_id, upper(severity) AS severity, greatest(0, line_number - 1) AS line, count(*) AS decorations
-    FROM findings WHERE severity <> 'info' GROUP BY ALL""",
+    SELECT scan_id, upper(severity) AS severity, greatest(0, line_number - 1) AS line,
+      '[' || upper(severity) || '] ' || category || ': ' || node_path AS hover,
+      row_number() OVER (PARTITION BY scan_id, upper(severity) ORDER BY greatest(0, line_number - 1),
+        '[' || upper(severity) || '] ' || category || ': ' || node_path, part_id, rule_id) AS place
+    FROM findings WHERE severity <> 'info'""",
 )
 def severity_buckets(spark: SparkSession, folder: str) -> DataFrame:
-    found = roles.findings(spark, folder).where("severity <> 'info'")
-    line = text.editor_line(F.col("line_number")).alias("line")
-    return found.groupBy("scan_id", F.upper("severity").alias("severity"), line).agg(
-        F.count(F.lit(1)).alias("decorations")
-    )
+    """Decorations of every bucket (scan and severity) in line order, each with its hover text."""
+    found = roles.findings(spark, folder).where("severity <> 'info'").withColumn("severity", F.upper("severity"))
+    shown = found.select(
+        "scan_id", "severity", text.editor_line(F.col("line_number")).alias("line"),
+        text.hover_text(F.col("severity"), F.col("category"), F.col("node_path")).alias("hover"), "part_id", "rule_id",
+    )
+    order = [F.col(c) for c in ("line", "hover", "part_id", "rule_id")]
+    placed = ordinals(shown, ["scan_id", "severity"], order, "place")
+    return placed.select("scan_id", "severity", "line", "hover", "place")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import levels, text
 from riskloom.operators import keyed, rollups
-from riskloom.operators.ordering import rolling_mean, with_previous
+from riskloom.operators.ordering import ordinals, rolling_mean, with_previous
 from riskloom.plans import roles
 from riskloom.plans.registry import query
 from riskloom.sources.tables import table
@@ -246,16 +246,20 @@ _STAMP = "2024-06-01 00:00:00"
     "upsert_dimension",
     f"""WITH target AS (
       SELECT c_custkey AS user_id, c_custkey * 2 AS github_id, lower(c_name) AS username, c_name AS name,
+             lower(c_name) || '@old.example' AS email, 'avatar/' || c_custkey AS avatar_url,
              c_acctbal >= 0 AS is_active, '2020-01-01 00:00:00' AS created_at, '2020-01-01 00:00:00' AS updated_at
       FROM customer),
     incoming AS (
       SELECT s_suppkey * 3 AS github_id, lower(s_name) AS username,
              coalesce(nullif(CASE WHEN s_acctbal < 1000 THEN '' ELSE s_name END, ''), lower(s_name)) AS name,
+             CASE WHEN s_acctbal >= 0 THEN lower(s_name) || '@new.example' END AS email, 'avatar/s' || s_suppkey AS avatar_url,
              true AS is_active
       FROM supplier WHERE s_suppkey * 3 <> 0 AND s_nationkey <> 5)
-    SELECT t.user_id, coalesce(t.github_id, i.github_id) AS github_id,
+    SELECT coalesce(t.user_id, -i.github_id) AS user_id, coalesce(t.github_id, i.github_id) AS github_id,
       CASE WHEN i.github_id IS NOT NULL THEN i.username ELSE t.username END AS username,
       CASE WHEN i.github_id IS NOT NULL THEN i.name ELSE t.name END AS name,
+      CASE WHEN i.github_id IS NOT NULL THEN i.email ELSE t.email END AS email,
+      CASE WHEN i.github_id IS NOT NULL THEN i.avatar_url ELSE t.avatar_url END AS avatar_url,
       CASE WHEN i.github_id IS NOT NULL THEN i.is_active ELSE t.is_active END AS is_active,
       CASE WHEN t.github_id IS NULL THEN '{_STAMP}' ELSE t.created_at END AS created_at,
       CASE WHEN i.github_id IS NOT NULL THEN '{_STAMP}' ELSE t.updated_at END AS updated_at,
@@ -263,11 +267,14 @@ _STAMP = "2024-06-01 00:00:00"
     FROM target t FULL JOIN incoming i ON t.github_id = i.github_id""",
 )
 def upsert_dimension(spark: SparkSession, folder: str) -> DataFrame:
+    """Users after a log-in of others: six fields follow the record, new users get an id apart from the serial ones."""
     target = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("user_id"),
         (F.col("c_custkey") * 2).alias("github_id"),
         F.lower("c_name").alias("username"),
         F.col("c_name").alias("name"),
+        F.concat(F.lower("c_name"), F.lit("@old.example")).alias("email"),
+        F.concat(F.lit("avatar/"), F.col("c_custkey").cast("string")).alias("avatar_url"),
         (F.col("c_acctbal") >= 0).alias("is_active"),
         F.lit("2020-01-01 00:00:00").alias("created_at"),
         F.lit("2020-01-01 00:00:00").alias("updated_at"),
@@ -278,10 +285,13 @@ def upsert_dimension(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("s_suppkey") * 3).alias("github_id"),
         login.alias("username"),
         text.name_or_login(given, login).alias("name"),
+        F.when(F.col("s_acctbal") >= 0, F.concat(login, F.lit("@new.example"))).alias("email"),
+        F.concat(F.lit("avatar/s"), F.col("s_suppkey").cast("string")).alias("avatar_url"),
         F.lit(True).alias("is_active"),
     )
     accepted, _ = keyed.split_required(records, ["github_id", "username"])
-    return keyed.upsert(target, accepted, "github_id", ["username", "name", "is_active"], F.lit(_STAMP))
+    updated = ["username", "name", "email", "avatar_url", "is_active"]
+    return keyed.upsert(target, accepted, "github_id", updated, F.lit(_STAMP), {"user_id": -F.col("github_id")})
 
 
 @query(
@@ -317,6 +327,17 @@ def notifications(spark: SparkSession, folder: str) -> DataFrame:
     return counted.orderBy(F.desc("newest_at"))
 
 
+@query(
+    "notification_list",
+    """SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS position FROM events""",
+)
+def notification_list(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message with its place in its user's list, newest first."""
+    messages = table(spark, folder, "events").select("user_id", "event_id", "ts")
+    placed = ordinals(messages, ["user_id"], [F.desc("ts"), F.desc("event_id")], "position")
+    return placed.select("user_id", "event_id", "position")
+
+
 @query(
     "json_props",
     """SELECT event_type, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) // 10 AS decile,

@@ -114,8 +114,8 @@ def sql_rule_findings(source: str, key: str, text: str, rules: tuple[Rule, ...]
     """CTEs ``lines`` and ``rule_hits``: the rule table against every line, one branch per rule."""
     branches = "\n  UNION ALL ".join(
         f"SELECT {key}, line_number, {_quoted(r.category)} AS category, {_quoted(r.severity)} AS severity, "
-        f"{r.confidence}::DOUBLE AS confidence_score, regexp_extract(line, {_quoted(r.pattern)}, 0) AS node_path "
-        f"FROM lines WHERE regexp_matches(line, {_quoted(r.pattern)})"
+        f"{r.confidence}::DOUBLE AS confidence_score, regexp_extract(line, {_quoted(r.portable_pattern)}, 0) AS node_path "
+        f"FROM lines WHERE regexp_matches(line, {_quoted(r.portable_pattern)})"
         for r in rules
     )
     return f"""lines AS MATERIALIZED (

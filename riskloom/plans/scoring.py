@@ -87,13 +87,10 @@ def mahalanobis_full(spark: SparkSession, folder: str) -> DataFrame:
 )
 def renyi_discrete(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("user_id", "event_type")
-    second = stats.renyi_discrete(events, ["user_id"], "event_type", 2.0)
-    first = stats.renyi_discrete(events, ["user_id"], "event_type", 1).select(
-        "user_id", F.col("renyi_entropy").alias("shannon")
-    )
-    spread_of = second.agg(F.avg("renyi_entropy").alias("m"), F.stddev_samp("renyi_entropy").alias("s")).first()
+    entropies = settle(stats.renyi_discrete(events, ["user_id"], "event_type", 2.0, shannon="shannon"))
+    spread_of = entropies.agg(F.avg("renyi_entropy").alias("m"), F.stddev_samp("renyi_entropy").alias("s")).first()
     z = stats.z_score(F.col("renyi_entropy"), spread_of.m, spread_of.s)
-    return second.join(first, "user_id").select(
+    return entropies.select(
         "user_id",
         "total",
         F.round("renyi_entropy", 6).alias("renyi_2"),
@@ -113,6 +110,19 @@ def renyi_gaussian_diag(spark: SparkSession, folder: str) -> DataFrame:
     return entropy.withColumn("renyi_entropy", F.round("renyi_entropy", 6))
 
 
+@query(
+    "covariance_matrix",
+    """WITH cells AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
+    SELECT a.dim::INT AS i, b.dim::INT AS j, round(covar_samp(a.x, b.x), 6) AS covariance
+    FROM cells a JOIN cells b USING (vec_id) GROUP BY ALL""",
+)
+def covariance_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """Sample covariance of every pair of dimensions, summed as one matrix per task."""
+    cells = stats.covariance_cells(functions(spark, folder), "embedding")
+    # a covariance below the rounding may have either sign
+    return cells.select("i", "j", (F.round("covariance", 6) + F.lit(0.0)).alias("covariance"))
+
+
 @query(
     "anomaly_gates_nan",
     """WITH z AS (SELECT vec_id, CASE WHEN embedding[2] < -0.1 THEN 'nan'::DOUBLE ELSE embedding[1]::DOUBLE * 15 END AS z
@@ -188,23 +198,25 @@ def profile_projection(spark: SparkSession, folder: str) -> DataFrame:
     """WITH cells AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1) % 14 AS pos
       FROM embeddings),
     folded AS (SELECT vec_id, label, pos, sum(x) AS x FROM cells GROUP BY ALL),
-    pools AS (SELECT label, pos, avg(x) AS a, stddev_pop(x) AS s, min(x) AS lo, max(x) AS hi FROM folded
-      WHERE label < 8 GROUP BY ALL)
+    pools AS (SELECT label, pos, avg(x) AS a, stddev_pop(x) AS s, min(x) AS lo, max(x) AS hi FROM folded GROUP BY ALL),
+    wanted AS (SELECT l.label, m.x AS module FROM (SELECT DISTINCT label FROM embeddings) l, (SELECT 1) m(x)
+      UNION ALL SELECT -1 - quality, 1 FROM (SELECT DISTINCT quality FROM labels))
     SELECT label, pos::INT AS pos, round(a, 6) AS value FROM pools
     UNION ALL SELECT label, (pos + 14)::INT, round(s, 6) FROM pools
     UNION ALL SELECT label, (pos + 28)::INT, round(lo, 6) FROM pools
     UNION ALL SELECT label, (pos + 42)::INT, round(hi, 6) FROM pools
-    UNION ALL SELECT label, i::INT, ((label + 1) * (i % 14 + 1))::DOUBLE
-      FROM (SELECT DISTINCT label FROM embeddings WHERE label >= 8), range(56) r(i)""",
+    UNION ALL SELECT label, i::INT, CASE label WHEN -1 THEN 0 ELSE (i % 3 + 1)::DOUBLE END
+      FROM wanted, range(56) r(i) WHERE label < 0""",
 )
 def vector_pool_pad(spark: SparkSession, folder: str) -> DataFrame:
+    """Pooled vectors of every file with functions; files without any take their module vector or zeros."""
     vectors = functions(spark, folder)
-    narrow = vectors.where("label < 8").select(
-        "label", fusion.folded(F.col("embedding"), fusion.FUNCTION_WIDTH).alias("v")
-    )
+    narrow = vectors.select("label", fusion.folded(F.col("embedding"), fusion.FUNCTION_WIDTH).alias("v"))
     pooled = fusion.pooled_vectors(narrow, "label", "v")
-    module = F.transform(F.sequence(F.lit(1), F.lit(14)), lambda i: ((F.col("label") + 1) * i).cast("double"))
-    files = vectors.select("label").distinct().withColumn("module", module)
+    no_module = F.array().cast("array<double>")
+    bare = table(spark, folder, "labels").select((-1 - F.col("quality")).alias("label")).distinct()
+    module = F.when(F.col("label") < -1, F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))).otherwise(no_module)
+    files = vectors.select("label").distinct().unionByName(bare).withColumn("module", module)
     padded = files.join(pooled, "label", "left").select(
         "label", fusion.padded_vector(F.col("aggregate_56d"), F.col("module")).alias("v")
     )
@@ -329,16 +341,19 @@ _THREAT_SQL = ", ".join(
     f"""WITH {roles.SQL_FINDINGS}, named AS (
       SELECT scan_id, upper(severity) AS severity, {_CATEGORY_LIST}[(rule_id % {len(CATEGORIES)} + 1)::INT] AS category,
              confidence_score FROM findings)
-    SELECT scan_id, {_THREAT_SQL}, count(*)::DOUBLE AS total, count(DISTINCT category)::DOUBLE AS distinct_categories,
-      round(avg(confidence_score), 6) AS mean_confidence, max(confidence_score) AS max_confidence
-    FROM named GROUP BY 1""",
+    SELECT o_orderkey AS scan_id, {_THREAT_SQL}, count(category)::DOUBLE AS total,
+      count(DISTINCT category)::DOUBLE AS distinct_categories, round(coalesce(avg(confidence_score), 0), 6) AS mean_confidence,
+      coalesce(max(confidence_score), 0) AS max_confidence
+    FROM orders LEFT JOIN named ON scan_id = o_orderkey GROUP BY 1""",
 )
 def threat_vector(spark: SparkSession, folder: str) -> DataFrame:
     category = F.get(F.array(*[F.lit(c) for c in CATEGORIES]), (F.col("rule_id") % len(CATEGORIES)).cast("int"))
     found = roles.findings(spark, folder).select(
         "scan_id", F.upper("severity").alias("severity"), category.alias("category"), "confidence_score"
     )
-    threats = fusion.threat_columns(found, ["scan_id"])
+    # counted first: one row per scan meets one row per scan
+    threats = roles.scans(spark, folder).select("scan_id").join(fusion.threat_columns(found, ["scan_id"]), "scan_id", "left")
+    threats = threats.na.fill(0.0)
     return threats.withColumn("mean_confidence", F.round("mean_confidence", 6))
 
 
@@ -448,17 +463,17 @@ _LENGTH = " + ".join(f"b.{s} ** 2" for s in levels.SEVERITIES)
     sides AS (SELECT project_id, created_at >= TIMESTAMP '{SPLIT}' AS is_current, avg(risk_score) AS risk, {_VECTOR}
       FROM scans GROUP BY ALL),
     paired AS (SELECT project_id, c.risk - b.risk AS change, key_distance,
-        CASE WHEN b.risk IS NULL OR c.risk IS NULL THEN NULL WHEN {_MOVED} = 0 THEN 0 WHEN {_LENGTH} = 0 THEN 1
+        CASE WHEN {_MOVED} = 0 THEN 0 WHEN {_LENGTH} = 0 THEN 1
              ELSE tanh(sqrt({_MOVED}) / sqrt({_LENGTH})) END AS vector_change
-      FROM (SELECT * FROM sides WHERE NOT is_current) b FULL JOIN (SELECT * FROM sides WHERE is_current) c
+      FROM (SELECT * FROM sides WHERE NOT is_current) b JOIN (SELECT * FROM sides WHERE is_current) c
       USING (project_id) JOIN diffs USING (project_id)),
-    scored AS (SELECT *, CASE WHEN change IS NULL THEN key_distance
-        ELSE 0.4 * abs(change) + 0.3 * key_distance + 0.3 * vector_change END AS score FROM paired)
+    scored AS (SELECT *, 0.4 * abs(change) + 0.3 * key_distance + 0.3 * vector_change AS score FROM paired)
     SELECT project_id, round(score, 6) AS drift_score,
       CASE WHEN score < 0.05 THEN 'STABLE' WHEN change < 0 THEN 'IMPROVED' WHEN score >= 0.5 THEN 'FRACTURED'
            ELSE 'DEGRADED' END AS risk_trend FROM scored""",
 )
 def drift_trend(spark: SparkSession, folder: str) -> DataFrame:
+    """Drift of projects that have a baseline and a current half; nothing can drift without both."""
     baseline, current = _halves(spark, folder)
     distance = drifts.jaccard_distance(
         keyed.snapshot_diff(baseline, current, ["project_id", "function_key"], "risk"), ["project_id"]
@@ -475,7 +490,8 @@ def drift_trend(spark: SparkSession, folder: str) -> DataFrame:
         *[F.max(F.when(cond, F.col("vector"))).alias(f"vector_{name}") for name, cond in half.items()],
     )
     change = drifts.relative_change(F.col("vector_before"), F.col("vector_after")).alias("vector_change")
-    parts = paired.join(distance, "project_id").select(
+    both = paired.where("risk_before is not null and risk_after is not null")
+    parts = both.join(distance, "project_id").select(
         "project_id", "risk_before", "risk_after", "key_distance", change
     )
     scored = drifts.drift(parts)

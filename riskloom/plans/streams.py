@@ -1,6 +1,7 @@
 """Streaming queries, each run over all available messages and compared with its batch form.
 
-Append results hold what the final watermark has closed, so the checks compare up to that moment.
+Trends go on changing, so they are written as versions; sessions and joins only append, so a heartbeat after the last
+message closes them all. Upserts run over several files in no order, one file a batch.
 """
 
 from __future__ import annotations
@@ -9,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.levels import risk_tier
-from riskloom.operators import reporting
 from riskloom.plans import roles
+from riskloom.plans.documents import SQL_COMMENT_PIECES
 from riskloom.plans.projects import SPLIT
 from riskloom.plans.registry import query
-from riskloom.session import shared_dir
-from riskloom.sources.messages import events_stream, table_stream
+from riskloom.session import settle, shared_dir
+from riskloom.sources.messages import HEARTBEAT, events_stream, table_stream, with_heartbeat
 from riskloom.sources.tables import table
 from riskloom.streaming import jobs
-from riskloom.streaming.review import review_batch
+from riskloom.streaming.review import posted, review_job
 
 # Views and purchases of one project are hours apart in the data; the limit is a parameter of the job.
 LIMIT_SECONDS = 6 * 3_600
@@ -29,6 +30,27 @@ def _appended(spark: SparkSession, results: DataFrame, name: str, partition_by:
     return spark.read.schema(results.schema).parquet(f"{target}/rows")
 
 
+def _versions(spark: SparkSession, results: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    target = shared_dir(spark, name)
+    jobs.versions_to(results, f"{target}/rows", f"{target}/progress").awaitTermination()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in results.schema)
+    return jobs.newest_versions(spark, f"{target}/rows", schema, keys)
+
+
+def _closing(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Messages with a heartbeat two days after the last one."""
+    last = table(spark, folder, "events").agg(F.max("ts").cast("timestamp") + F.expr("INTERVAL 2 DAYS")).first()[0]
+    return with_heartbeat(events_stream(spark, folder), shared_dir(spark, name), last, user_id=-1)
+
+
+def _in_pieces(spark: SparkSession, folder: str, name: str, parts: int = 4) -> DataFrame:
+    """A table as a stream of several files that are in no order, one file a batch."""
+    target = shared_dir(spark, f"pieces-{name}")
+    rows = table(spark, folder, name)
+    rows.repartition(parts, F.xxhash64(*rows.columns)).write.parquet(f"{target}/{name}.parquet")
+    return table_stream(spark, target, name, files_per_batch=1)
+
+
 def _text(column: str, pattern: str = "yyyy-MM-dd HH:mm:ss"):
     return F.date_format(column, pattern).alias(column)
 
@@ -47,11 +69,11 @@ def _windows(spark: SparkSession, rows: DataFrame) -> DataFrame:
     "stream_tumbling",
     f"""WITH windows AS (SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
       event_type, count(*) AS n, avg(value) AS a, max(value) AS m FROM events GROUP BY ALL)
-    SELECT {_WINDOW_COLUMNS} FROM windows WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    SELECT {_WINDOW_COLUMNS} FROM windows""",
 )
 def stream_tumbling(spark: SparkSession, folder: str) -> DataFrame:
     trend = jobs.windowed(events_stream(spark, folder), "1 day")
-    return _windows(spark, _appended(spark, trend, "stream-tumbling"))
+    return _windows(spark, _versions(spark, trend, "stream-tumbling", ["window_start", "window_end", "event_type"]))
 
 
 @query(
@@ -60,11 +82,11 @@ def stream_tumbling(spark: SparkSession, folder: str) -> DataFrame:
       FROM events, range(7) r(k)),
     windows AS (SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, event_type, count(*) AS n,
       avg(value) AS a, max(value) AS m FROM spread GROUP BY ALL)
-    SELECT {_WINDOW_COLUMNS} FROM windows WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    SELECT {_WINDOW_COLUMNS} FROM windows""",
 )
 def stream_sliding(spark: SparkSession, folder: str) -> DataFrame:
     trend = jobs.windowed(events_stream(spark, folder), "7 days", "1 day")
-    return _windows(spark, _appended(spark, trend, "stream-sliding"))
+    return _windows(spark, _versions(spark, trend, "stream-sliding", ["window_start", "window_end", "event_type"]))
 
 
 @query(
@@ -76,13 +98,11 @@ def stream_sliding(spark: SparkSession, folder: str) -> DataFrame:
       sum(value) AS total FROM numbered GROUP BY ALL)
     SELECT user_id, strftime(session_start, '%Y-%m-%d %H:%M:%S') AS session_start,
       strftime(session_end, '%Y-%m-%d %H:%M:%S') AS session_end, n, round(total, 6) AS total
-    FROM sessions WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""",
+    FROM sessions""",
 )
 def stream_session(spark: SparkSession, folder: str) -> DataFrame:
-    found = _appended(spark, jobs.sessions(events_stream(spark, folder)), "stream-session")
-    last = table(spark, folder, "events").agg(F.max("ts").cast("timestamp").alias("t")).first().t
-    closed = found.where(F.col("session_end") <= F.lit(last) - F.expr("INTERVAL 2 HOURS"))
-    return closed.select(
+    closed = _appended(spark, jobs.sessions(_closing(spark, folder, "session-beat")), "stream-session")
+    return closed.where("user_id >= 0").select(
         "user_id", _text("session_start"), _text("session_end"), "n", F.round("total", 6).alias("total")
     )
 
@@ -118,26 +138,18 @@ def stream_route(spark: SparkSession, folder: str) -> DataFrame:
     "stream_stuck_scans",
     f"""WITH views AS (SELECT * FROM events WHERE event_type = 'view'),
     purchases AS (SELECT * FROM events WHERE event_type = 'purchase'),
-    horizon AS (SELECT least((SELECT max(ts) FROM views), (SELECT max(ts) FROM purchases))
-      - to_seconds({LIMIT_SECONDS} + 3600 + 60) AS t)
-    SELECT v.event_id AS started_id, v.user_id, p.event_id AS completed_id, p.event_id IS NULL AS stuck
-    FROM views v LEFT JOIN purchases p ON p.user_id = v.user_id AND p.ts >= v.ts
-      AND p.ts <= v.ts + to_seconds({LIMIT_SECONDS})
-    WHERE v.ts <= (SELECT t FROM horizon)""",
+    firsts AS (SELECT v.event_id, v.user_id, min(row(p.ts, p.event_id)) FILTER (p.event_id IS NOT NULL) AS first
+      FROM views v LEFT JOIN purchases p ON p.user_id = v.user_id AND p.ts >= v.ts
+        AND p.ts <= v.ts + to_seconds({LIMIT_SECONDS}) GROUP BY ALL)
+    SELECT event_id AS started_id, user_id, first[2] AS completed_id, first IS NULL AS stuck FROM firsts""",
 )
 def stream_stuck_scans(spark: SparkSession, folder: str) -> DataFrame:
-    started = events_stream(spark, folder).where("event_type = 'view'")
-    completed = events_stream(spark, folder).where("event_type = 'purchase'")
+    """Every started scan with its first completion within the limit; one without is stuck."""
+    started = _closing(spark, folder, "start-beat").where(F.col("event_type").isin("view", HEARTBEAT))
+    completed = _closing(spark, folder, "end-beat").where(F.col("event_type").isin("purchase", HEARTBEAT))
     joined = jobs.unfinished(started, completed, LIMIT_SECONDS)
-    rows = _appended(spark, joined, "stream-stuck")
-    ends = table(spark, folder, "events").where("event_type in ('view', 'purchase')").groupBy("event_type").agg(
-        F.max("ts").cast("timestamp").alias("t")
-    )
-    last = ends.agg(F.min("t").alias("t")).first().t
-    horizon = F.lit(last) - F.expr(f"INTERVAL {LIMIT_SECONDS + 3600 + 60} SECONDS")
-    return rows.where(F.col("started_at") <= horizon).select(
-        "started_id", "user_id", "completed_id", F.col("completed_id").isNull().alias("stuck")
-    )
+    rows = jobs.first_completions(_appended(spark, joined, "stream-stuck"))
+    return rows.select("started_id", "user_id", "completed_id", F.col("completed_id").isNull().alias("stuck"))
 
 
 @query(
@@ -146,14 +158,17 @@ def stream_stuck_scans(spark: SparkSession, folder: str) -> DataFrame:
     FROM conversations GROUP BY 1""",
 )
 def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    pushes = table_stream(spark, folder, "conversations")
+    pushes = _in_pieces(spark, folder, "conversations")
     target = shared_dir(spark, "stream-upsert")
     job = jobs.versions_to(
         pushes, f"{target}/rows", f"{target}/progress", "append", jobs.latest_in_batch("conv_id", "turn")
     )
     job.awaitTermination()
     schema = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
-    current = jobs.newest_versions(spark, f"{target}/rows", schema, ["conv_id"])
+    # the last turn counts, whichever batch brought it
+    current = jobs.newest_versions(spark, f"{target}/rows", schema, ["conv_id"], ["turn"])
+    jobs.compact(current, f"{target}/rows", f"{target}/compacted")
+    current = jobs.newest_versions(spark, f"{target}/compacted", schema, ["conv_id"], ["turn"])
     return current.select("conv_id", "turn", F.md5("text").alias("text_md5"), "role")
 
 
@@ -171,56 +186,39 @@ def stream_unread(spark: SparkSession, folder: str) -> DataFrame:
     return current.withColumn("newest_at", _text("newest_at"))
 
 
-_PR_TIER = roles.SQL_TIER.format("risk_score")
-
-
 @query(
     "stream_pr_review",
-    f"""WITH {roles.SQL_SCANS},
-    pushed AS (SELECT * FROM scans WHERE created_at >= TIMESTAMP '{SPLIT}'),
+    f"""WITH {roles.SQL_SCANS}, {roles.SQL_FINDINGS}, counts AS (SELECT scan_id, count(*) AS n FROM findings GROUP BY 1),
+    pushed AS (SELECT * FROM scans LEFT JOIN counts USING (scan_id) WHERE created_at >= TIMESTAMP '{SPLIT}'),
     baselines AS (SELECT project_id, avg(risk_score) AS before FROM scans WHERE created_at < TIMESTAMP '{SPLIT}' GROUP BY 1),
-    rated AS (SELECT project_id, count(*) AS files, sum(length(severity))::BIGINT AS total_findings,
+    rated AS (SELECT project_id, count(*) AS files, sum(coalesce(n, 0))::BIGINT AS total_findings,
       avg(risk_score) AS mean_risk FROM pushed GROUP BY 1),
     drifted AS (SELECT r.*, abs(mean_risk - before) AS score, CASE WHEN before IS NULL THEN NULL
         WHEN abs(mean_risk - before) < 0.05 THEN 'STABLE' WHEN mean_risk < before THEN 'IMPROVED'
         WHEN abs(mean_risk - before) >= 0.5 THEN 'FRACTURED' ELSE 'DEGRADED' END AS trend
       FROM rated r LEFT JOIN baselines USING (project_id)),
-    lists AS (SELECT project_id, string_agg('| `' || path || '` | ' || printf('%.4f', risk_score) || ' | '
-        || CASE {_PR_TIER} WHEN 'CRITICAL' THEN '🔴' WHEN 'HIGH' THEN '🟠' WHEN 'MEDIUM' THEN '🟡' ELSE '🟢' END
-        || ' ' || {_PR_TIER} || ' | ' || length(severity) || ' |', chr(10) ORDER BY path) AS items
-      FROM (SELECT *, 'scan/' || lpad(scan_id::VARCHAR, 12, '0') AS path FROM pushed) GROUP BY 1)
-    SELECT project_id, 0 AS part, files, total_findings, round(mean_risk, 12) AS mean_risk,
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY scan_id) AS i FROM pushed),
+    pieces AS (WITH {SQL_COMMENT_PIECES})
+    SELECT project_id, ordinal, piece, files, total_findings, round(mean_risk, 12) AS mean_risk,
       {roles.SQL_TIER.format('mean_risk')} AS risk_tier, round(CASE WHEN trend IS NOT NULL THEN score END, 12) AS drift_score,
-      trend AS risk_trend,
-      '## Risk analysis' || chr(10) || chr(10) || '| File | Risk Score | Tier | Findings |'
-      || chr(10) || '|------|-----------|------|----------|' || chr(10) || items
-      || coalesce(chr(10) || chr(10) || '**Drift:** ' || trend || ' ' || CASE trend WHEN 'STABLE' THEN '→'
-           WHEN 'IMPROVED' THEN '↓' ELSE '↑' END || ' ' || printf('%.4f', score) || ' from baseline', '')
-      || chr(10) || chr(10) || '{reporting.COMMENT_MARKER}' AS body
-    FROM drifted JOIN lists USING (project_id)""",
+      trend AS risk_trend FROM pieces JOIN drifted USING (project_id)""",
 )
 def stream_pr_review(spark: SparkSession, folder: str) -> DataFrame:
     split = F.lit(SPLIT).cast("timestamp_ntz")
     baselines = roles.scans(spark, folder).where(F.col("created_at") < split).groupBy("project_id").agg(
         F.avg("risk_score").alias("risk_before")
     )
-    pushed = roles.scan_rows(table_stream(spark, folder, "orders")).where(F.col("created_at") >= split)
-    padded = F.lpad(F.col("scan_id").cast("string"), 12, "0")
-    files = pushed.select(
+    counts = roles.findings(spark, folder).groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings_count"))
+    pushed = roles.scan_rows(_in_pieces(spark, folder, "orders")).where(F.col("created_at") >= split)
+    files = pushed.join(settle(counts), "scan_id", "left").select(
         "project_id",
-        F.concat(F.lit("scan/"), padded).alias("file_path"),
+        "scan_id",
+        F.concat(F.lit("scan/"), F.col("scan_id").cast("string")).alias("file_path"),
         "risk_score",
         risk_tier(F.col("risk_score")).alias("risk_tier"),
-        F.length("severity").alias("findings_count"),
+        F.coalesce("findings_count", F.lit(0)).alias("findings_count"),
     )
     target = shared_dir(spark, "stream-review")
-    job = jobs.versions_to(
-        files, f"{target}/rows", f"{target}/progress", "append", review_batch(baselines, "project_id")
-    )
-    job.awaitTermination()
-    schema = (
-        "project_id BIGINT, part INT, body STRING, files BIGINT, total_findings BIGINT, mean_risk DOUBLE, "
-        "risk_tier STRING, drift_score DOUBLE, risk_trend STRING"
-    )
-    posted = jobs.newest_versions(spark, f"{target}/rows", schema, ["project_id", "part"])
-    return posted.withColumns({"mean_risk": F.round("mean_risk", 12), "drift_score": F.round("drift_score", 12)})
+    review_job(files, settle(baselines), "project_id", target, ["scan_id"]).awaitTermination()
+    rounded = {"mean_risk": F.round("mean_risk", 12), "drift_score": F.round("drift_score", 12)}
+    return posted(spark, target, "project_id", "BIGINT").withColumns(rounded)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -49,8 +48,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
-    On a cluster it must be named by ``spark.checkpoint.dir`` (or set on the context); only a
-    local-mode session, where driver and executors share one disk, may fall back to a fresh folder.
+    On a cluster it must be named by ``spark.checkpoint.dir`` (or set on the context); only a local-mode session, where
+    driver and executors share one disk, may fall back to a folder below the warehouse.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -60,7 +59,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if configured is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="riskloom-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir')}/riskloom-work"
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 

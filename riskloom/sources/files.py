@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from urllib.parse import urlsplit
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +18,12 @@ LANGUAGES = {
 }
 
 
-def _qualified(spark: SparkSession, root: str) -> str:
-    """``root`` as the file system itself spells it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return system.makeQualified(path).toString().rstrip("/")
+def _below(path: Column, root: str) -> Column:
+    """``path``, as Spark spells it, without its scheme and host and without ``root``."""
+    own = urlsplit(root).path if "://" in root else root.removeprefix("file:")
+    own = (own if own.startswith("/") else os.path.abspath(own)).rstrip("/")
+    plain = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.substring(plain, len(os.path.normpath(own) if own else "") + 2, 2_147_483_647)
 
 
 def read_corpus(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
@@ -36,11 +40,10 @@ def read_corpus(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFr
         .load(root)
         .select("path", "content")
     )
-    prefix = len(_qualified(spark, root)) + 2
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n")
     return raw.select(
-        F.substring("path", prefix, 2_147_483_647).alias("path"),
+        _below(F.col("path"), root).alias("path"),
         F.when(valid, text).alias("text"),
         valid.alias("valid"),
     )

@@ -25,6 +25,24 @@ def events_stream(spark: SparkSession, folder: str, files_per_batch: int | None
     return table_stream(spark, folder, "events", files_per_batch).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+HEARTBEAT = "heartbeat"
+
+
+def with_heartbeat(messages: DataFrame, path: str, moment, **values) -> DataFrame:
+    """Messages followed by one of type ``heartbeat`` at ``moment``, written below ``path``.
+
+    A window or session closes when the watermark passes it; the heartbeat moves the watermark past the last real message.
+    Other columns are null or as ``values`` say; a stream that is joined needs its keys there, for rows with a null key
+    are left out before they reach the watermark.
+    """
+    spark = messages.sparkSession
+    others = [f for f in messages.schema if f.name not in ("ts", "event_type")]
+    nulls = [F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in others]
+    beat = spark.range(1).select(F.lit(moment).cast("timestamp").alias("ts"), F.lit(HEARTBEAT).alias("event_type"), *nulls)
+    beat.select(*messages.columns).write.mode("overwrite").parquet(path)
+    return messages.unionByName(spark.readStream.schema(messages.schema).parquet(path))
+
+
 def kafka_stream(spark: SparkSession, servers: str, topics: str, **options: str) -> DataFrame:
     """JSON messages of Kafka topics in the same shape (needs the Kafka connector on the class path)."""
     source = configure(spark).readStream.format("kafka")

@@ -1,9 +1,9 @@
 """Baseline snapshots: saved per project, the newest version of a project wins.
 
-A save appends a version folder, split into id buckets, so it costs what is saved and never rewrites
-other projects; saving the same version again replaces it. A load reads one bucket. Function profiles
-stay rows ``(safe_id, function_key, ...)`` beside the project row: a project of any size never becomes
-one value.
+A save appends a version folder sorted by id, so it costs what is saved and never rewrites other projects; saving the same
+version again replaces it. File statistics let a load of one project skip all files and row groups but its own. ``compact``
+writes the current state as one version. Function profiles stay rows ``(safe_id, function_key, ...)`` beside the project
+row: a project of any size never becomes one value.
 """
 
 from __future__ import annotations
@@ -17,32 +17,21 @@ from riskloom.functions.text import safe_id
 from riskloom.operators.fusion import ANOMALY_WIDTH, POOLED_WIDTH, THREAT_WIDTH, vector_or_zeros
 from riskloom.session import configure
 
-BUCKETS = 16
-
-
-def _bucket(identity: Column) -> Column:
-    return F.pmod(F.crc32(identity), F.lit(BUCKETS)).cast("int")
-
-
 def save(rows: DataFrame, path: str, version: int, project: str = "project_id") -> None:
     """Save rows of projects as ``version``; safe to repeat."""
     identity = safe_id(F.col(project).cast("string"))
     tagged = rows.withColumn("safe_id", identity).withColumn("version", F.lit(version).cast("bigint"))
-    tagged = tagged.withColumn("bucket", _bucket(F.col("safe_id")))
-    # the rebalance hint gathers each bucket's rows into few files and splits an outsized bucket;
-    # sorted by id, the file statistics let a single load skip most of its bucket
-    gathered = tagged.hint("rebalance", "bucket").sortWithinPartitions("bucket", "safe_id")
-    writer = gathered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("version", "bucket").parquet(path)
+    # ranges of ids, so that a file's statistics say which projects it can hold
+    sorted_rows = tagged.repartitionByRange("safe_id").sortWithinPartitions("safe_id")
+    sorted_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    full = f"{schema}, safe_id STRING, version BIGINT, bucket INT"
-    return configure(spark).read.schema(full).parquet(path)
+    return configure(spark).read.schema(f"{schema}, safe_id STRING, version BIGINT").parquet(path)
 
 
 def _newest(stored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    values = [c for c in stored.columns if c not in (*keys, "version", "bucket")]
+    values = [c for c in stored.columns if c not in (*keys, "version")]
     newest = stored.groupBy(*keys).agg(F.max_by(F.struct(*values), "version").alias("_v"))
     return newest.select(*keys, "_v.*")
 
@@ -53,20 +42,28 @@ def load_all(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, schema: str, project_id: str) -> DataFrame:
-    """Newest row of one project, from its bucket only; an unknown project is an error."""
+    """Newest row of one project; an unknown project is an error."""
     identity = safe_id(F.lit(project_id))
-    stored = _stored(spark, path, schema).where(F.col("bucket") == _bucket(identity))
-    found = _newest(stored.where(F.col("safe_id") == identity), ["safe_id"])
+    found = _newest(_stored(spark, path, schema).where(F.col("safe_id") == identity), ["safe_id"])
     if found.isEmpty():
         raise FileNotFoundError(f"no baseline for project {project_id!r} in {path}")
     return found
 
 
-def load_functions(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Function rows of every project's newest version (a function dropped since is not resurrected)."""
-    stored = _stored(spark, path, schema)
-    newest = stored.groupBy("safe_id").agg(F.max("version").alias("version"))
-    return stored.join(newest, ["safe_id", "version"]).drop("version", "bucket")
+def load_functions(spark: SparkSession, path: str, schema: str, projects: str) -> DataFrame:
+    """Function rows of every project's newest version.
+
+    ``projects`` is where the project rows were saved: a project saved without functions has none, whatever it had before.
+    """
+    versions = _stored(spark, projects, "project_id STRING").groupBy("safe_id").agg(F.max("version").alias("version"))
+    return _stored(spark, path, schema).join(versions, ["safe_id", "version"]).drop("version")
+
+
+def compact(spark: SparkSession, path: str, schema: str, target: str) -> None:
+    """Write the newest row of every project as the only version below ``target``; ``path`` can be dropped then."""
+    last = _stored(spark, path, schema).agg(F.max("version")).first()[0]
+    if last is not None:
+        save(load_all(spark, path, schema).drop("safe_id"), target, last)
 
 
 def build(projects: DataFrame, security: DataFrame, vectors: DataFrame, risk: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,15 +13,23 @@ from riskloom.session import configure, settle
 
 
 def finished(spark: SparkSession, path: str) -> bool:
-    """Whether a table was written to its end."""
-    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+    """Whether a table was written to its end: a small table beside it says so."""
+    try:
+        return not spark.read.schema("done BOOLEAN").parquet(f"{path}.done").isEmpty()
+    except AnalysisException:
+        return False
+
+
+def finish(spark: SparkSession, path: str) -> None:
+    """Say that a table was written to its end."""
+    spark.range(1).selectExpr("true AS done").write.mode("overwrite").parquet(f"{path}.done")
 
 
 def built_once(spark: SparkSession, path: str, schema: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table read from ``path``, built and written there first if it is missing or unfinished."""
     if not finished(spark, path):
         build().write.mode("overwrite").parquet(path)
+        finish(spark, path)
     return configure(spark).read.schema(schema).parquet(path)
 
 
@@ -50,5 +59,6 @@ def analysed(
     new = settle(analyse(contents))
     if not new.isEmpty():
         new.write.mode("append").parquet(path)
+        finish(spark, path)
     results = spark.read.schema(schema).parquet(path).dropDuplicates(["content_key"])
     return keyed.select(key, "content_key").join(results, "content_key")

@@ -92,6 +92,14 @@ def unfinished(
     return joined.select("started_id", F.col("s_user").alias("user_id"), "started_at", "completed_id", "completed_at")
 
 
+def first_completions(pairs: DataFrame) -> DataFrame:
+    """Each start of stored pairs once, with its first completion or none; rows of heartbeats have no start and go."""
+    answered = F.when(F.col("completed_id").isNotNull(), F.struct("completed_at", "completed_id"))
+    first = F.min(answered).alias("_c")
+    grouped = pairs.where("started_id is not null").groupBy("started_id", "user_id", "started_at").agg(first)
+    return grouped.select("started_id", "user_id", "started_at", "_c.completed_id", "_c.completed_at")
+
+
 def unread_counts(messages: DataFrame) -> DataFrame:
     """Running unread count per project (view and click count as read)."""
     read = F.col("event_type").isin("view", "click")
@@ -127,14 +135,37 @@ def versions_to(
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def newest_versions(spark: SparkSession, path: str, schema: str, keys: Sequence[str]) -> DataFrame:
-    """Current state: each key's row of its newest batch."""
-    stored = spark.read.schema(f"{schema}, batch_id BIGINT").parquet(path)
+def _versions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, batch_id BIGINT").parquet(path)
+
+
+def newest_versions(
+    spark: SparkSession, path: str, schema: str, keys: Sequence[str], order: Sequence[str] = ()
+) -> DataFrame:
+    """Current state: each key's row that is last by the ``order`` columns (event order), then by batch."""
+    stored = _versions(spark, path, schema)
     values = [c for c in stored.columns if c not in keys and c != "batch_id"]
-    newest = stored.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
+    newest = stored.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order, "batch_id")).alias("_v"))
     return newest.select(*keys, "_v.*")
 
 
+def newest_groups(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """All rows of every key's newest batch: a batch replaces everything a key had before."""
+    stored = _versions(spark, path, schema)
+    last = stored.groupBy(key).agg(F.max("batch_id").alias("batch_id"))
+    return stored.join(last, [key, "batch_id"]).drop("batch_id")
+
+
+def compact(current: DataFrame, source: str, target: str) -> None:
+    """Write the current state as the only version below ``target``, numbered as the newest one below ``source``.
+
+    Readers move on to ``target``; jobs go on appending there, and ``source`` can be dropped.
+    """
+    spark = current.sparkSession
+    last = spark.read.parquet(source).agg(F.max("batch_id")).first()[0]
+    current.write.mode("overwrite").parquet(f"{target}/batch_id={last}")
+
+
 def latest_in_batch(key: str, order: str) -> Callable[[DataFrame], DataFrame]:
     """Reduce a batch to the last row of every key, by a combinable maximum."""
 

@@ -60,14 +60,27 @@ def test_snapshot_save_load(spark, tmp_path):
 
 
 def test_dropped_functions_stay_dropped(spark, tmp_path):
-    target, schema = str(tmp_path / "f"), "project_id STRING, function_key STRING, n INT"
-    first = spark.createDataFrame([("p", "a@1", 1), ("p", "b@2", 2), ("q", "c@3", 3)], schema)
+    target, projects = str(tmp_path / "f"), str(tmp_path / "p")
+    schema = "project_id STRING, function_key STRING, n INT"
+    first = spark.createDataFrame([("p", "a@1", 1), ("p", "b@2", 2), ("q", "c@3", 3), ("r", "d@4", 4)], schema)
     snapshots.save(first, target, 1)
+    snapshots.save(snapshot(spark, [("p", 0.1), ("q", 0.2), ("r", 0.3)]), projects, 1)
     snapshots.save(spark.createDataFrame([("p", "a@1", 5)], schema), target, 2)
-    rows = snapshots.load_functions(spark, target, schema).collect()
+    snapshots.save(snapshot(spark, [("p", 0.1), ("r", 0.3)]), projects, 2)  # r has no functions any more
+    rows = snapshots.load_functions(spark, target, schema, projects).collect()
     assert {(r.safe_id, r.function_key, r.n) for r in rows} == {("p", "a@1", 5), ("q", "c@3", 3)}
 
 
+def test_compaction_keeps_the_current_state(spark, tmp_path):
+    source, target, schema = str(tmp_path / "s"), str(tmp_path / "t"), "project_id STRING, score DOUBLE"
+    for version in (1, 2, 3):
+        snapshots.save(snapshot(spark, [("a", 0.1 * version), (f"b{version}", 0.5)]), source, version)
+    snapshots.compact(spark, source, schema, target)
+    expected = sorted(map(tuple, snapshots.load_all(spark, source, schema).collect()))
+    assert sorted(map(tuple, snapshots.load_all(spark, target, schema).collect())) == expected
+    assert [p.name for p in (tmp_path / "t").glob("version=*")] == ["version=3"]
+
+
 def test_snapshot_defaults(spark):
     ids = spark.createDataFrame([(1,)], "project_id BIGINT")
     security = spark.createDataFrame([], "project_id BIGINT, severity_counts MAP<STRING, BIGINT>, total_threats BIGINT")
@@ -100,6 +113,9 @@ def test_upsert_and_required_fields(spark):
     assert (rows[10].user_id, rows[10].username, rows[10].created_at, rows[10].updated_at) == (1, "a2", "t0", "t1")
     assert (rows[20].username, rows[20].updated_at, rows[20].action) == ("b", "t0", "keep")
     assert (rows[30].user_id, rows[30].created_at, rows[30].action) == (None, "t1", "insert")
+    twice = spark.createDataFrame([(30, "c", "C"), (30, "c", "D")], "github_id INT, username STRING, name STRING")
+    new = keyed.upsert(target, twice, "github_id", ["username", "name"], F.lit("t1"), {"user_id": -F.col("github_id")})
+    assert [(r.user_id, r.name) for r in new.where("github_id = 30").collect()] == [(-30, "D")]
 
 
 def test_latest_per_key(spark):
@@ -142,6 +158,31 @@ def test_rule_scan_edge_cases(spark):
     assert sorted((r.id, r.line_number, r.node_path) for r in rows) == [(3, 1, "eval("), (3, 3, "eval(")]
 
 
+def test_rules_and_plug_in_agree_on_odd_lines(spark):
+    gap = " x" * 200
+    texts = [
+        f'select a{gap} from t{gap} where x = "" + y', 'select a from t where x = \r "" + y\r\n', "\u2028eval(x)\u0085 eval(y)",
+        "\u00ebeval(x)", "shell\x0b=\x0bTrue", "shell\u00a0=\u00a0True", 'select a\u2028from t where x = "" % y', "_eval(x) 1.2.3.4\u0663",
+    ]
+    sources = spark.createDataFrame(list(enumerate(texts)), "id INT, text STRING")
+    scanner.register(spark, "odd_scanner", scanner.rule_scanner())
+    columns = ["id", "line_number", "category", "severity", "confidence_score", "node_path"]
+    by_rules = sorted(map(tuple, scan(sources, "id", "text").select(columns).collect()))
+    by_plug_in = sorted(map(tuple, scanner.scan_with(sources, "odd_scanner", "id", "text").select(columns).collect()))
+    assert by_rules == by_plug_in
+    assert {r[0] for r in by_rules if r[2] == "sql-injection"} == {0, 1, 6}
+    assert {r[0] for r in by_rules if r[2] == "dynamic-eval"} == {2, 3} and {r[0] for r in by_rules if r[3] == "HIGH"} == {4}
+    assert not [v.name for v in spark.catalog.listTables() if v.name.startswith("odd_scanner")]
+
+
+def test_rules_from_a_table(spark):
+    from riskloom.operators.findings import RULE_TABLE
+
+    rules = spark.createDataFrame([("todo", "LOW", 1.0, "TODO.*", None)], RULE_TABLE)
+    rows = scan(spark.createDataFrame([(1, "a\nTODO b")], "id INT, text STRING"), "id", "text", rules).collect()
+    assert [(r.line_number, r.category, r.node_path) for r in rows] == [(2, "todo", "TODO b")]
+
+
 def test_relational_reader_is_partitioned(spark):
     assert relational.RANGE_COLUMNS["scans"] == "scan_id"
     with pytest.raises(Exception, match="(?i)driver|class"):

@@ -111,6 +111,45 @@ def test_upsert_takes_the_last_push(spark, folder, tmp_path):
     assert {(r.user_id, r.event_id) for r in current.collect()} == {(r.user_id, r.event_id) for r in expected}
 
 
+def test_late_pushes_do_not_win(spark, tmp_path):
+    target, schema = str(tmp_path / "v"), "k BIGINT, turn BIGINT, v STRING"
+    for batch, rows in enumerate([[(1, 5, "five"), (2, 1, "one")], [(1, 2, "two"), (2, 3, "three")]]):
+        spark.createDataFrame(rows, schema).write.parquet(f"{target}/batch_id={batch}")
+    current = jobs.newest_versions(spark, target, schema, ["k"], ["turn"])
+    assert {tuple(r) for r in current.collect()} == {(1, 5, "five"), (2, 3, "three")}
+    jobs.compact(current, target, str(tmp_path / "w"))
+    again = jobs.newest_versions(spark, str(tmp_path / "w"), schema, ["k"], ["turn"])
+    assert {tuple(r) for r in again.collect()} == {(1, 5, "five"), (2, 3, "three")}
+
+
+def test_review_counts_all_files_of_all_batches(spark, tmp_path):
+    from riskloom.streaming.review import posted, review_job
+
+    schema = "pr BIGINT, file_path STRING, risk_score DOUBLE, risk_tier STRING, findings_count BIGINT"
+    batches = [
+        [(1, "a", 0.1, "LOW", 1), (1, "b", 0.2, "LOW", 0), (2, "z", 0.9, "CRITICAL", 4)],
+        [(1, "c", 0.1, "LOW", 2), (1, "a", 0.4, "MEDIUM", 3)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    baselines = spark.createDataFrame([(1, 0.1)], "pr BIGINT, risk_before DOUBLE")
+    review_job(stream, baselines, "pr", str(tmp_path / "out")).awaitTermination()
+    rows = posted(spark, str(tmp_path / "out"), "pr", "BIGINT").orderBy("pr", "ordinal").collect()
+    first = [r for r in rows if r.pr == 1]
+    assert [r.ordinal for r in first] == [1, 2, 3, 4, 5]
+    assert (first[0].files, first[0].risk_trend) == (3, "DEGRADED") and abs(first[0].mean_risk - 0.7 / 3) < 1e-12
+    assert [r.piece.split("`")[1] for r in first[1:4]] == ["a", "b", "c"] and "0.4000" in first[1].piece
+    assert {r.risk_trend for r in rows if r.pr == 2} == {None}
+
+
+def test_heartbeat_closes_every_session(spark, folder, tmp_path):
+    stream = messages.with_heartbeat(messages.events_stream(spark, folder), str(tmp_path / "beat"), datetime(2024, 2, 1))
+    found = run(jobs.sessions(stream), str(tmp_path / "out")).where("user_id is not null").collect()
+    expected = batch(spark, folder).groupBy(F.session_window("ts", "30 minutes").alias("s"), "user_id").count().collect()
+    assert {(r.user_id, r.session_start, r.n) for r in found} == {(r.user_id, r.s.start, r["count"]) for r in expected}
+
+
 def test_message_bodies(spark):
     body = '{"event_id": 3, "ts": "2024-01-01T00:00:00Z", "user_id": 1, "event_type": "view", "value": 2.5}'
     rows = spark.createDataFrame([(body,), ("not json",)], "b STRING").select(messages.parsed(F.col("b")).alias("m"))

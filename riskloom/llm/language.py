@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from riskloom.llm.tokens import batches_by_size
 
@@ -261,5 +261,6 @@ def predict(
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
     schema = StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double")
     if spans:
-        schema = schema.add("spans", "array<struct<lang:string,words:int,letters:bigint>>")
+        span = StructType().add("lang", "string").add("words", "int").add("letters", "long")
+        schema = schema.add("spans", ArrayType(span))
     return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(_labeller(model, kept, penalty, spans), schema)

@@ -4,7 +4,8 @@ A line (trimmed, of at least ``min_chars`` characters) goes when the same line,
 substitutions, stands earlier: in a document of smaller id, or further up. Shorter lines carry too little to compare and
 stay.
 
-The join of distinct lines is a segment-partition join. A line is cut into ``edits + 1`` segments; edits of two near lines leave
+Lines are told apart by a 64-bit hash; texts are fetched for candidates only. The join of distinct lines is a
+segment-partition join. A line is cut into ``edits + 1`` segments; edits of two near lines leave
 one segment of the shorter whole, and it stands in the longer one at a place that the lengths narrow down. Every line is
 entered under (its length, segment number, segment) and asks for the substrings at those places, for each length up to
 ``edits`` below its own. Candidates that meet under a key are verified by a banded bit-parallel automaton: one bit per
@@ -27,10 +28,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import let, stored
+from riskloom.llm.shingles import mix
+from riskloom.llm.tokens import batches_by_size
 
 MIN_CHARS, EDITS = 24, 2
 PAIR_LINES, BLOCK = 24, 512
 CELLS = 1 << 22  # characters of a batch of pairs
+SEEN_LINES = 500_000  # lines a task remembers, so as not to enter them again
 TRIMMED = " \t\r\x0b\x0c"
 
 
@@ -39,20 +43,63 @@ def document_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def comparable_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, document, line_no (from 0) and the trimmed line, where long enough to compare."""
-    lines = docs.select("doc_id", document_key().alias("document"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    trimmed = lines.withColumn("line", F.trim(F.col("line"), F.lit(TRIMMED)))
-    return trimmed.where(F.char_length("line") >= min_chars)
+class _Hashes:
+    """Hashes of stretches of text: a polynomial modulo 2**64 from running sums over the code points of many lines."""
 
+    base = np.uint64(0x9E3779B97F4A7C15)
+    inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-def segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of a segment, counted from 0; the last ones are longer by one where it does not divide."""
-    parts = edits + 1
-    short, longer = F.floor(length / parts), F.pmod(length, F.lit(parts))
-    extra = F.greatest(F.lit(0), F.lit(number) - (F.lit(parts) - longer))
-    size = short + F.when(F.lit(number) >= F.lit(parts) - longer, 1).otherwise(0)
-    return (F.lit(number) * short + extra + 1).cast("int"), size.cast("int")
+    def __init__(self, lines: list[str]):
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        n = len(codes)
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.base)]))
+        self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.inverse)]))
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((codes + np.uint64(1)) * powers[:n], out=self.sums[1:])
+        self.lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def of(self, start: np.ndarray, size: np.ndarray, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Hash of ``size`` characters from ``start`` on of each (chosen) line."""
+        at = self.starts[which] + start
+        return mix((self.sums[at + size] - self.sums[at]) * self.down[at] + size.astype(np.uint64))
+
+    def lines(self) -> np.ndarray:
+        return self.of(np.zeros_like(self.lengths), self.lengths).view(np.int64)
+
+
+def _lines_of(texts: list[str | None], min_chars: int) -> tuple[list[str], list[int], list[int]]:
+    """Trimmed lines long enough to compare, the row and the number of each."""
+    lines, rows, numbers = [], [], []
+    for row, text in enumerate(texts):
+        for number, line in enumerate(text.split("\n") if text else ()):
+            line = line.strip(TRIMMED)
+            if len(line) >= min_chars:
+                lines.append(line)
+                rows.append(row)
+                numbers.append(number)
+    return lines, rows, numbers
+
+
+def _occurrences(min_chars: int):
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            for a, b in batches_by_size(texts):
+                lines, rows, numbers = _lines_of(texts[a:b], min_chars)
+                if lines:
+                    at = pa.array(rows) if not a else pa.array([a + r for r in rows])
+                    own = [batch["doc_id"].take(at), batch["document"].take(at)]
+                    own += [pa.array(numbers, pa.int32()), pa.array(_Hashes(lines).lines())]
+                    yield pa.RecordBatch.from_arrays(own, ["doc_id", "document", "line_no", "line_id"])
+
+    return occurrences
+
+
+def line_occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
+    """doc_id, document, line_no (from 0) and line_id, a hash of the trimmed line, where long enough to compare."""
+    rows = docs.select("doc_id", document_key().alias("document"), "text")
+    return rows.mapInArrow(_occurrences(min_chars), "doc_id bigint, document bigint, line_no int, line_id bigint")
 
 
 def probe_places(edits: int) -> list[tuple[int, int, int]]:
@@ -66,16 +113,44 @@ def probe_places(edits: int) -> list[tuple[int, int, int]]:
     return places
 
 
-def keys_of(line: Column, edits: int) -> Column:
-    """Keys of a line as an array of (key, entered): entered keys are the line's own segments, the others only ask."""
-    length, entries = F.char_length(line), []
+def line_keys(lines: list[str], edits: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line number, entered) of all lines: entered keys are a line's own segments, the others only ask.
+
+    A line has ``edits + 1`` segments of equal length, the last ones longer by one where it does not divide.
+    """
+    hashes, parts, found = _Hashes(lines), edits + 1, []
     for shorter_by, number, shift in probe_places(edits):
-        start, size = segment(length - shorter_by, number, edits)
-        own = shorter_by == 0 and shift == 0
-        inside = (start + shift >= 1) & (start + shift + size - 1 <= length)
-        key = F.xxhash64((length - shorter_by).cast("int"), F.lit(number), line.substr(start + shift, size))
-        entries.append(F.when(inside, F.struct(key.alias("key"), F.lit(own).alias("entered"))))
-    return F.array_compact(F.array(*entries))
+        length = hashes.lengths - shorter_by
+        short, longer = length // parts, length % parts
+        size = short + (number >= parts - longer)
+        start = number * short + np.maximum(0, number - (parts - longer)) + shift
+        which = np.flatnonzero((length >= max(1, min_chars)) & (start >= 0) & (start + size <= hashes.lengths))
+        place = length[which].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(number + 1)
+        keys = mix(hashes.of(start[which], size[which], which) ^ mix(place))
+        found.append((keys.view(np.int64), which, np.full(len(which), shorter_by == 0 and shift == 0)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _keys(min_chars: int, edits: int):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            for a, b in batches_by_size(texts):
+                lines = list(dict.fromkeys(_lines_of(texts[a:b], min_chars)[0]))
+                if not lines:
+                    continue
+                ids = _Hashes(lines).lines()
+                fresh = [i for i, x in enumerate(ids.tolist()) if x not in seen]
+                seen.update(ids[fresh].tolist())
+                if len(seen) > SEEN_LINES:
+                    seen.clear()
+                if fresh:
+                    key, which, entered = line_keys([lines[i] for i in fresh], edits, min_chars)
+                    arrays = [pa.array(key), pa.array(ids[fresh][which]), pa.array(entered)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["key", "line_id", "entered"])
+
+    return keys
 
 
 def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,39 +216,57 @@ def _verify(edits: int):
     return verify
 
 
+def _profiles(lines: list[str]) -> np.ndarray:
+    """How many characters of each of 32 kinds a line has; an edit changes two of the counts by one at most."""
+    matrix, lengths = _codes(lines)
+    kinds = (matrix * np.uint32(2654435761)) >> np.uint32(27)
+    counts = np.zeros((len(lines), 32), np.int32)
+    row = np.repeat(np.arange(len(lines)), lengths)
+    np.add.at(counts, (row, kinds[np.arange(matrix.shape[1]) < lengths[:, None]]), 1)
+    return counts
+
+
 def _block_search(edits: int):
-    """Per line of the first block, the lines of the second that it asks for and is near to, until one is earlier."""
+    """Per line, one earlier line near it in the other block (or its own), if there is one."""
     import pandas as pd
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         low, high = group["low"].iloc[0], group["high"].iloc[0]
         lines, ids, entered = group["line"].tolist(), group["line_id"].to_numpy(), group["entered"].to_numpy(bool)
-        rank = np.lexsort([group[c].to_numpy() for c in ("at_line", "at_document", "at_doc")])
-        place = np.empty(len(rank), np.int64)
-        place[rank] = np.arange(len(rank))
-        first, second = np.flatnonzero(group["home"] == low), np.flatnonzero(group["home"] == high)
-        found = []
-        for i in (*first, *(second if low != high else ())):
-            others = second if group["home"].iloc[i] == low else first
-            met = others[(place[others] < place[i]) & (entered[others] | entered[i]) & (ids[others] != ids[i])]
-            met = met[np.abs(np.fromiter((len(lines[j]) for j in met), np.int64, len(met)) - len(lines[i])) <= edits]
-            for a in range(0, len(met), 64):
-                part = met[a : a + 64]
-                near = within_edits([lines[j] for j in part], [lines[i]] * len(part), edits)
-                if near.any():
-                    found.append((ids[part[near.argmax()]], ids[i]))
-                    break
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        home, profile = group["home"].to_numpy(), _profiles(lines)
+        order = np.lexsort([group[c].to_numpy() for c in ("at_line", "at_document", "at_doc")])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        found, todo = [], []
+
+        def settle_pairs() -> None:
+            earlier, later = (np.array(x) for x in zip(*todo, strict=True))
+            near = within_edits([lines[i] for i in earlier], [lines[i] for i in later], edits)
+            done, first = np.unique(later[near], return_index=True)
+            found.extend(zip(ids[earlier[near][first]], ids[done], strict=True))
+            todo.clear()
+
+        for i in range(len(lines)):
+            met = (home == (high if home[i] == low else low)) & (place < place[i]) & (entered | entered[i]) & (ids != ids[i])
+            met = np.flatnonzero(met)
+            apart = np.abs(profile[met] - profile[i]).sum(axis=1)
+            todo += [(j, i) for j in met[apart <= 2 * edits]]
+            if len(todo) > 20_000:
+                settle_pairs()
+        if todo:
+            settle_pairs()
+        return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates("b").astype("int64")
 
     return search
 
 
-def near_lines(distinct: DataFrame, edits: int) -> DataFrame:
+def near_lines(docs: DataFrame, firsts: DataFrame, min_chars: int, edits: int) -> DataFrame:
     """line_id of every distinct line that stands within ``edits`` of an earlier one.
 
-    ``distinct`` is a stored table of ``(line_id, line, first)`` where first is the struct (doc_id, document, line_no).
+    ``firsts`` is a stored table of ``(line_id, first)`` where first is the struct (doc_id, document, line_no). Lines go by
+    their hash until candidates are known; only then are their texts fetched, each from its first document.
     """
-    keyed = distinct.select("line_id", F.explode(keys_of(F.col("line"), edits)).alias("k")).select("k.key", "line_id", "k.entered")
+    keyed = docs.select("text").mapInArrow(_keys(min_chars, edits), "key bigint, line_id bigint, entered boolean")
     of_key = Window.partitionBy("key")
     met = keyed.select(
         "key", "line_id", "entered",
@@ -182,13 +275,17 @@ def near_lines(distinct: DataFrame, edits: int) -> DataFrame:
     ).where("_any and _low <> _high")
     live = stored(met.groupBy("key", "line_id").agg(F.max("entered").alias("entered")), "line-keys")
     sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    wanted = live.select("line_id").distinct().join(firsts, "line_id")
+    places = wanted.select("line_id", "first", F.col("first.document").alias("document"), F.col("first.line_no").alias("_no"))
+    whole = docs.select(document_key().alias("document"), "text").join(places, "document")
+    line = F.trim(F.get(F.split("text", "\n"), F.col("_no")), F.lit(TRIMMED))
+    texts = stored(whole.select("line_id", "first", line.alias("line")).dropDuplicates(["line_id"]), "line-texts")
 
     few = live.join(sizes.where(F.col("n") <= PAIR_LINES).select("key"), "key")
     one = few.where("entered").select("key", F.col("line_id").alias("x"))
     pairs = one.join(few.select("key", F.col("line_id").alias("y")), "key").where("x <> y")
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    texts = distinct.select("line_id", "line")
-    left, right = texts.toDF("a", "left"), texts.toDF("b", "right")
+    left, right = (texts.select(F.col("line_id").alias(n), F.col("line").alias(side)) for n, side in (("a", "left"), ("b", "right")))
     links = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(edits), "a bigint, b bigint")
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -197,30 +294,28 @@ def near_lines(distinct: DataFrame, edits: int) -> DataFrame:
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
         "key", "line_id", "entered", "home", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high")
     )
-    full = spread.join(distinct, "line_id").select(
+    full = spread.join(texts, "line_id").select(
         *spread.columns, "line", F.col("first.doc_id").alias("at_doc"), F.col("first.document").alias("at_document"),
         F.col("first.line_no").alias("at_line"),
     )
     full = full.na.fill(-(1 << 63), ["at_doc"])
     links = links.unionByName(full.groupBy("key", "low", "high").applyInPandas(_block_search(edits), "a bigint, b bigint"))
 
-    links = stored(links.distinct(), "line-links")
-    place = distinct.select("line_id", "first")
-    later = links.join(place.toDF("a", "first_a"), "a").join(place.toDF("b", "first_b"), "b")
+    place = texts.select("line_id", "first")
+    later = links.distinct().join(place.toDF("a", "first_a"), "a").join(place.toDF("b", "first_b"), "b")
     return later.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("line_id")).distinct()
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """document and removed (ascending line numbers) for every document that loses lines."""
-    lines = comparable_lines(docs, min_chars)
+    seen = stored(line_occurrences(docs, min_chars), "lines")
     first = F.min(F.struct("doc_id", "document", "line_no")).alias("first")
-    distinct = lines.groupBy("line").agg(first, F.count(F.lit(1)).alias("n"))
-    distinct = stored(distinct.select(F.xxhash64("line").alias("line_id"), "line", "first", "n"), "lines")
-    gone = near_lines(distinct.select("line_id", "line", "first"), edits).withColumn("gone", F.lit(True))
-    known = distinct.select("line_id", "first", "n").join(gone, "line_id", "left").where("n > 1 or gone")
+    firsts = stored(seen.groupBy("line_id").agg(first, F.count(F.lit(1)).alias("n")), "first-lines")
+    gone = near_lines(docs, firsts.select("line_id", "first"), min_chars, edits).withColumn("gone", F.lit(True))
+    known = firsts.join(gone, "line_id", "left").where("n > 1 or gone")
     known = stored(known.select("line_id", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "repeated-lines")
-    seen = lines.select(F.xxhash64("line").alias("line_id"), "document", "line_no").join(known, "line_id")
-    removed = seen.where(F.col("gone") | (F.col("document") != F.col("first.document")) | (F.col("line_no") != F.col("first.line_no")))
+    met = seen.select("line_id", "document", "line_no").join(known, "line_id")
+    removed = met.where(F.col("gone") | (F.col("document") != F.col("first.document")) | (F.col("line_no") != F.col("first.line_no")))
     return removed.groupBy("document").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 

@@ -11,9 +11,10 @@ depends on set sizes:
   list of each; a set may leave out up to two empty ranges.
 
 The boundary is the one of least expected cost over the histogram of small sizes. Sets of equal content are one node, found
-by a 128-bit hash before the join, so copies cost nothing. Members of a list are first held against its head; after those
-links, only lists that still join several components are searched further: short lists by pairs, long ones block against
-block inside tasks. No list is cut short and no pair within a component is made.
+by a 128-bit hash before the join, so copies cost nothing. Members of a list are first held against one of them, a few times
+over; after those links, only lists that still join several components are searched further: short lists by pairs, long
+ones block against block inside tasks. Pairs meet as parity sketches of 128 bytes first, which rule out most without their
+sets and never a link. No list is cut short and no pair within a component is made.
 
 Defined cases: null texts and texts without words have no shingles and link with nothing; fewer words than a shingle make
 one shingle; rows with a null doc_id get their size and a null component; rows with equal doc_id count as one document;
@@ -41,6 +42,7 @@ SPARE = 2  # ranges beyond the necessary one, so that empty ones need no list
 LIST_COST = 3.0  # what a list entry costs against a subset entry: lists of small sets hold strangers
 LARGEST_LIGHT = 40
 PAIR_LIST, BLOCK = 24, 512
+MORE_STARS = 2
 _ZONE, _RANGE, _LIGHT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0x5851F42D4C957F2D)
 
 
@@ -169,12 +171,33 @@ def _sets(size: int):
         shingler = Shingler(size)
         for batch in batches:
             for a, b, data, offsets in text_slices(batch["text"]):
-                packed = [s.tobytes() for s in shingler.sets(data, offsets)]
-                yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a), pa.array(packed, pa.binary())], ["node", "members"])
+                found = list(shingler.sets(data, offsets))
+                columns = [pa.array([s.tobytes() for s in found], pa.binary()), pa.array([sketch(s) for s in found], pa.binary())]
+                sizes = pa.array([len(s) for s in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a), *columns, sizes], ["node", "members", "sketch", "size"])
 
     return sets
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parity of the members in each of 1024 cells: two sketches differ in at most as many bits as the sets do in members."""
+    cells = np.bincount((mix(shingles) >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(cells.astype(np.uint8)).tobytes()
+
+
+def _may_link(like: Likeness):
+    def may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, 128) for c in ("sa", "sb"))
+            sizes = batch["na"].to_numpy() + batch["nb"].to_numpy()
+            mask = pa.array(np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64) <= like.differing(sizes, 0))
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
+
+    return may_link
+
+
 def _shared(left: np.ndarray, right: np.ndarray) -> int:
     """Common members of two sorted sets."""
     if len(left) > len(right):
@@ -197,30 +220,22 @@ def _verify(like: Likeness):
     return verify
 
 
-def _block_links(like: Likeness):
-    """Links between members of different components in one pair of blocks; enough of them to connect what is connected."""
+def _block_pairs(like: Likeness):
+    """Pairs of different components in one pair of blocks whose sketches leave a link possible."""
     import pandas as pd
 
-    def links(group: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(m, np.uint64) for m in group["members"]]
-        sizes, node, root = np.array([len(s) for s in sets]), group["node"].to_numpy(), group["label"].to_numpy().copy()
-        home, low, high = group["home"].to_numpy(), group["low"].iloc[0], group["high"].iloc[0]
-        _, numbers = np.unique(np.concatenate(sets), return_inverse=True)
-        starts = np.cumsum(sizes) - sizes
-        found, marks = [], np.zeros(numbers.max(initial=0) + 1, np.int32)
+    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        bits = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(len(group), 16)
+        sizes, node, root, home = (group[c].to_numpy() for c in ("size", "node", "label", "home"))
+        low, high, found = group["low"].iloc[0], group["high"].iloc[0], []
         for i in np.flatnonzero(home == low):
-            own = numbers[starts[i] : starts[i] + sizes[i]]
-            marks[own] = 1
-            shared = np.add.reduceat(marks[numbers], starts)
-            marks[own] = 0
-            hits = (home == high) & (root != root[i]) & like.linked(shared, sizes, sizes[i])
-            for j in np.flatnonzero(hits):
-                if root[j] != root[i]:
-                    found.append((node[i], node[j]))
-                    root[root == root[j]] = root[i]
-        return pd.DataFrame(found, columns=["src", "dst"]).astype("int64")
+            others = np.flatnonzero((home == high) & (root != root[i]) & ((node > node[i]) | (low != high)))
+            apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            hits = others[apart <= like.differing(sizes[others] + sizes[i], 0)]
+            found += [(min(node[i], node[j]), max(node[i], node[j])) for j in hits]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return links
+    return pairs
 
 
 def choose_boundary(counts: dict[int, int], like: Likeness) -> int:
@@ -246,9 +261,24 @@ def _labels(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _pairs_linked(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_verify(like), "src bigint, dst bigint")
+    """Links among pairs ``(a, b)``: by the sketches first, then by the sets of those that are left."""
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("node").alias(name), *[F.col(c).alias(n) for c, n in zip(columns[::2], columns[1::2], strict=True)])
+
+    near = pairs.join(side("a", "sketch", "sa", "size", "na"), "a").join(side("b", "sketch", "sb", "size", "nb"), "b")
+    near = stored(near.select("a", "b", "sa", "na", "sb", "nb").mapInArrow(_may_link(like), "a bigint, b bigint"), "near-pairs")
+    both = near.join(side("a", "members", "left"), "a").join(side("b", "members", "right"), "b")
+    return both.mapInArrow(_verify(like), "src bigint, dst bigint")
+
+
+def _open_lists(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the lists that still hold several components, with their labels and the list's size."""
+    marked = live.select("key", "node").join(labels, "node")
+    mixed = marked.groupBy("key").agg(
+        F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("n")
+    )
+    return marked.join(mixed.where("_low <> _high").select("key", "n"), "key")
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, like: Likeness = Likeness(80)) -> DataFrame:
@@ -272,32 +302,35 @@ def jaccard_classes(docs: DataFrame, words: int = 5, like: Likeness = Likeness(8
 
     wanted = live.select("node").distinct().join(classes, "node").select("node", F.col("first").alias("doc_id"))
     # a document may come in several rows: only the row with the wanted content counts
-    chosen = wanted.join(texts, "doc_id").select("node", "text").mapInArrow(_sets(words), "node bigint, members binary")
-    sets = stored(chosen.groupBy("node").agg(F.first("members").alias("members")), "shingle-sets")
+    chosen = wanted.join(texts, "doc_id").select("node", "text").mapInArrow(_sets(words), "node bigint, members binary, sketch binary, size bigint")
+    sets = stored(chosen.dropDuplicates(["node"]), "shingle-sets")
 
+    # members against one member of their list: the least node first, then the least of a component drawn by hash
     stars = live.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(_pairs_linked(stars, sets, like), "links")
     nodes = live.select("node").distinct()
     labels = stored(_labels(links, nodes), "labels")
-
-    # lists that still hold several components
-    marked = live.join(labels, "node")
-    mixed = marked.groupBy("key").agg(
-        F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("n")
-    )
-    open_lists = stored(marked.join(mixed.where("_low <> _high").select("key", "n"), "key"), "open-lists")
+    for turn in range(MORE_STARS):
+        open_lists = stored(_open_lists(live, labels), "open-lists")
+        drawn = F.struct(F.xxhash64(F.lit(turn), "label").alias("h"), "label", "node")
+        heads = open_lists.groupBy("key").agg(F.min(drawn).alias("_h")).select("key", F.col("_h.node").alias("a"), F.col("_h.label").alias("_l"))
+        met = open_lists.join(heads, "key").where("label <> _l")
+        stars = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        links = stored(links.unionByName(_pairs_linked(stars, sets, like)), "links")
+        labels = stored(_labels(links, nodes), "labels")
+
+    # what lists still hold several components: every pair of different ones
+    open_lists = stored(_open_lists(live, labels), "open-lists")
     short = open_lists.where(F.col("n") <= PAIR_LIST)
-    one, two = (short.select("key", F.col("node").alias(n), F.col("label").alias(f"label_{n}"), "head") for n in "ab")
-    pairs = one.join(two.drop("head"), "key").where("a < b and label_a <> label_b and a <> head")
-    more = _pairs_linked(pairs.select("a", "b").distinct(), sets, like)
-
+    one, two = (short.select("key", F.col("node").alias(n), F.col("label").alias(f"label_{n}")) for n in "ab")
+    pairs = one.join(two, "key").where("a < b and label_a <> label_b").select("a", "b")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = open_lists.where(F.col("n") > PAIR_LIST).withColumn("home", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = met.select("key", "node", "label", "home", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"))
-    grouped = met.join(sets, "node").groupBy("key", "low", "high")
-    far = grouped.applyInPandas(_block_links(like), "src bigint, dst bigint")
-    links = stored(links.unionByName(more).unionByName(far).distinct(), "all-links")
+    grouped = met.join(sets.select("node", "sketch", "size"), "node").groupBy("key", "low", "high")
+    pairs = pairs.unionByName(grouped.applyInPandas(_block_pairs(like), "a bigint, b bigint")).distinct()
+    links = stored(links.unionByName(_pairs_linked(pairs, sets, like)).distinct(), "all-links")
     labels = stored(_labels(links, nodes), "all-labels")
 
     named = classes.join(labels, "node", "left").select("node", "check", "first", F.coalesce("label", "node").alias("label"))

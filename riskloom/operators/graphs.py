@@ -111,6 +111,25 @@ def descriptors(simple: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def triangle_counts(simple: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Triangles per graph (0 where there is none): every edge points to its end of higher degree, so no node has many to pair."""
+    degree = degrees(simple)
+    low = degree.select("graph_id", F.col("node").alias("src"), F.col("degree").alias("ds"))
+    high = degree.select("graph_id", F.col("node").alias("dst"), F.col("degree").alias("dd"))
+    ranked = simple.join(low, ["graph_id", "src"]).join(high, ["graph_id", "dst"])
+    upward = F.struct("ds", "src") < F.struct("dd", "dst")
+    ends = ranked.select(
+        "graph_id",
+        F.when(upward, F.col("src")).otherwise(F.col("dst")).alias("a"),
+        F.when(upward, F.col("dst")).otherwise(F.col("src")).alias("b"),
+    )
+    two = ends.join(ends.withColumnRenamed("b", "c"), ["graph_id", "a"]).where("b < c")
+    closed = two.select("graph_id", F.col("b").alias("src"), F.col("c").alias("dst")).join(simple, ["graph_id", "src", "dst"])
+    counted = closed.groupBy("graph_id").agg(F.count(F.lit(1)).alias("triangles"))
+    every = nodes.select("graph_id").distinct()
+    return every.join(counted, "graph_id", "left").na.fill(0, ["triangles"])
+
+
 def component_counts(labels: DataFrame) -> DataFrame:
     """Number of components per graph."""
     roots = labels.groupBy("graph_id", "label").agg(F.lit(1).alias("one"))

@@ -1,8 +1,9 @@
-"""Laplacian spectra of many graphs.
+"""Extreme Laplacian eigenvalues of many graphs at once, of any size.
 
-Graphs up to ``DENSE_LIMIT`` nodes (every real control-flow graph) are solved exactly, many per Arrow
-batch. Larger graphs never enter one task: their extreme eigenvalues come from restarted Krylov
-iteration over the edge table, with the residual as a measure of trust.
+The sparse matrix and the vectors are tables keyed by (graph, node), so one graph may hold any share of the rows. A cycle
+takes two vectors per graph through a run of Chebyshev polynomials of the matrix, solves a tiny projected problem per graph
+from sums over its nodes, and goes on from the best vector and the direction it moved in. A graph leaves when its
+residuals are small against its largest eigenvalue; the loop ends when the last one has left.
 """
 
 from __future__ import annotations
@@ -11,69 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.graphs import both_ways, degrees
+from riskloom.operators.ordering import join_many_to_one
 from riskloom.session import settle
 
-DENSE_LIMIT = 256
 KEPT_EIGENVALUES = 20
-KRYLOV_DEPTH = 4
-TOLERANCE = 1e-3  # residual against the largest eigenvalue; the value itself is closer by far
-
-_PROFILE = (
-    "graph_id BIGINT, block_count INT, eigenvalues ARRAY<DOUBLE>, fiedler_vector ARRAY<DOUBLE>, graph_energy DOUBLE"
-)
-
-
-def graph_sizes(nodes: DataFrame) -> DataFrame:
-    distinct = nodes.select("graph_id", "node").distinct()
-    return distinct.groupBy("graph_id").agg(F.count(F.lit(1)).alias("order"))
-
-
-def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        solved = []
-        for graph, nodes, pairs in zip(batch.graph_id, batch.nodes, batch.pairs, strict=True):
-            names = np.array(sorted(nodes), dtype=object)
-            adjacency = np.zeros((len(names), len(names)))
-            if pairs is not None and len(pairs):
-                at = {name: i for i, name in enumerate(names)}
-                ends = np.array([(at[p["src"]], at[p["dst"]]) for p in pairs])
-                adjacency[ends[:, 0], ends[:, 1]] = adjacency[ends[:, 1], ends[:, 0]] = 1.0
-            laplacian = np.diag(adjacency.sum(axis=1)) - adjacency
-            values, vectors = np.linalg.eigh(laplacian)
-            fiedler = vectors[:, 1] if len(names) > 1 else np.zeros(0)
-            energy = float(np.abs(np.linalg.eigvalsh(adjacency)).sum())
-            solved.append((graph, len(names), values.tolist(), fiedler.tolist(), energy))
-        columns = ["graph_id", "block_count", "eigenvalues", "fiedler_vector", "graph_energy"]
-        yield pd.DataFrame(solved, columns=columns)
-
-
-def dense_profiles(simple: DataFrame, nodes: DataFrame, limit: int = DENSE_LIMIT) -> DataFrame:
-    """All eigenvalues (ascending), Fiedler vector and energy of graphs up to ``limit`` nodes.
-
-    The size check comes first, so a collected node or edge list is bounded by ``limit``.
-    """
-    small = graph_sizes(nodes).where(F.col("order") <= limit).select("graph_id")
-    listed = nodes.select("graph_id", "node").distinct().join(small, "graph_id", "left_semi")
-    members = listed.groupBy("graph_id").agg(F.collect_list("node").alias("nodes"))
-    kept = simple.join(small, "graph_id", "left_semi")
-    pairs = kept.groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst")).alias("pairs"))
-    return members.join(pairs, "graph_id", "left").mapInPandas(_solve, _PROFILE)
-
-
-def projected(profiles: DataFrame) -> DataFrame:
-    """Snapshot columns of profiles: shape, the smallest eigenvalues, Fiedler vector, energy, block count."""
-    return profiles.select(
-        "graph_id",
-        F.array("block_count", "block_count").alias("laplacian_shape"),
-        F.slice(F.array_sort("eigenvalues"), 1, KEPT_EIGENVALUES).alias("eigenvalues_top20"),
-        "fiedler_vector",
-        "graph_energy",
-        "block_count",
-    )
+DEPTH = 16  # products with the matrix in a cycle; graphs of so many nodes are done in one or two
+SETTLED = 8  # products in one plan
+TOLERANCE = 1e-6  # residual against the largest eigenvalue; the value itself is closer by far
 
 
 def _matrix(simple: DataFrame, degree: DataFrame) -> DataFrame:
@@ -81,87 +30,112 @@ def _matrix(simple: DataFrame, degree: DataFrame) -> DataFrame:
     bound = degree.groupBy("graph_id").agg((2 * F.max("degree") + 1).cast("double").alias("c"))
     diagonal = degree.select("graph_id", F.col("node").alias("row"), "node", F.col("degree").cast("double").alias("w"))
     others = both_ways(simple).select("graph_id", F.col("other").alias("row"), "node", F.lit(-1.0).alias("w"))
-    cells = diagonal.unionByName(others).join(bound, "graph_id")
+    cells = join_many_to_one(diagonal.unionByName(others), bound, "graph_id", ["row", "node"])
     return cells.select("graph_id", "row", "node", (F.col("w") / F.col("c")).alias("w"), "c")
 
 
 def _extended(matrix: DataFrame, state: DataFrame, depth: int) -> DataFrame:
-    """Append the next image of both sequences: one join with the matrix and one combinable grouping.
+    """Append the next Chebyshev polynomial of M = 2 L / c - 1 to both sequences: one join, one combinable grouping.
 
     A node's own diagonal cell carries its earlier values along, so ``state`` is read once.
     """
     own = F.col("row") == F.col("node")
     carried = [f"{x}{i}" for x in "uv" for i in [*range(depth), "p", "q"]]
     kept = [F.max(F.when(own, F.col(c))).alias(c) for c in carried]
-    new = [F.sum(F.col("w") * F.col(f"{x}{depth - 1}")).alias(f"{x}{depth}") for x in "uv"]
+    images = [F.sum(F.col("w") * F.col(f"{x}{depth - 1}")).alias(f"_{x}") for x in "uv"]
     joined = matrix.join(state.drop("c"), ["graph_id", "node"])
-    return joined.groupBy("graph_id", F.col("row").alias("node")).agg(F.max("c").alias("c"), *kept, *new)
-
-
-_RITZ = (
-    "graph_id BIGINT, order BIGINT, lambda_max DOUBLE, residual_max DOUBLE, lambda_2 DOUBLE, residual_2 DOUBLE, "
-    "mix_u ARRAY<DOUBLE>, mix_v ARRAY<DOUBLE>, shift_u ARRAY<DOUBLE>, shift_v ARRAY<DOUBLE>"
-)
+    grouped = joined.groupBy("graph_id", F.col("row").alias("node")).agg(F.max("c").alias("c"), *kept, *images)
+    new = []
+    for x in "uv":
+        image = 2 * F.col(f"_{x}") - F.col(f"{x}{depth - 1}")
+        new.append((image if depth == 1 else 2 * image - F.col(f"{x}{depth - 2}")).alias(f"{x}{depth}"))
+    return grouped.select("graph_id", "node", "c", *carried, *new)
 
 
-def _ritz(sums: np.ndarray, means: np.ndarray, largest: bool) -> tuple[float, float, np.ndarray, np.ndarray]:
-    """(value, residual, mix, means) of the extreme Ritz pair of span(x, Lx, ..., L^(k-1) x, p).
+def _ritz(sums: np.ndarray, largest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, residuals, mixes) of the extreme Ritz pairs of span(T_0 x, ..., T_(k-1) x, p), all graphs stacked.
 
-    ``sums`` holds the moments ``x' L^n x``, then ``p' L^n x`` for n = 0..k, ``q' L^n x`` for n = 0..k
-    and ``p'p, p'q, q'q`` with ``q = Lp``; L is symmetric, so these fill every inner product needed.
+    A row of ``sums`` holds ``<t_i, t_i>`` for i = 0..k, ``<t_i, t_(i+1)>`` for i < k, ``<p, t_i>`` and ``<q, t_i>`` for
+    i = 0..k, and ``<p, p>, <p, q>, <q, q>``, with t_i = T_i(M) x and q = M p. Products of Chebyshev polynomials are sums of
+    two of them, so these fill every inner product needed.
     """
-    k = KRYLOV_DEPTH
-    moments, px, qx, (pp, pq, qq) = np.split(sums, [2 * k + 1, 3 * k + 2, 4 * k + 3])
-    at = np.add.outer(np.arange(k), np.arange(k))
-
-    def bordered(core, edge, corner):
-        return np.block([[core, edge[:, None]], [edge[None, :], np.array([[corner]])]])
-
-    gram = bordered(moments[at], px[:k], pp)
-    image = bordered(moments[at + 1], px[1:], pq)
-    square = bordered(moments[at + 2], qx[1:], qq)
-    size = np.diag(gram)
+    k = DEPTH
+    squares, steps, with_p, with_q, corner = np.split(sums, [k + 1, 2 * k + 1, 3 * k + 2, 4 * k + 3], axis=1)
+    moments = np.empty((len(sums), 2 * k + 1))
+    moments[:, 0::2] = 2 * squares - squares[:, :1]
+    moments[:, 1::2] = 2 * steps - steps[:, :1]
+    moments[:, 0] = squares[:, 0]
+    moments[:, 1] = steps[:, 0]
+    inner = lambda a, b: (moments[:, a + b] + moments[:, np.abs(a - b)]) / 2  # noqa: E731  <T_a x, T_b x>
+    i, j = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
+    down = lambda n: np.abs(n - 1)
+    core = inner(i, j)
+    core_m = (inner(i, j + 1) + inner(i, down(j))) / 2
+    core_mm = (inner(i + 1, j + 1) + inner(i + 1, down(j)) + inner(down(i), j + 1) + inner(down(i), down(j))) / 4
+    n = np.arange(k)
+
+    def bordered(block: np.ndarray, edge: np.ndarray, end: np.ndarray) -> np.ndarray:
+        full = np.zeros((len(sums), k + 1, k + 1))
+        full[:, :k, :k], full[:, k, :k], full[:, :k, k], full[:, k, k] = block, edge, edge, end
+        return full
+
+    gram = bordered(core, with_p[:, :k], corner[:, 0])
+    image = bordered(core_m, (with_p[:, n + 1] + with_p[:, down(n)]) / 2, corner[:, 1])
+    square = bordered(core_mm, (with_q[:, n + 1] + with_q[:, down(n)]) / 2, corner[:, 2])
+    size = np.diagonal(gram, axis1=1, axis2=2)
     scale = np.where(size > 1e-280, 1.0 / np.sqrt(np.maximum(size, 1e-300)), 0.0)
-    lengths, axes = np.linalg.eigh(gram * np.outer(scale, scale))
-    strong = lengths > 1e-11 * max(lengths[-1], 1e-300)
-    if moments[0] <= 1e-280 or not strong.any():
-        return 0.0, 0.0, np.zeros(k + 1), np.zeros(2)
-    basis = scale[:, None] * axes[:, strong] / np.sqrt(lengths[strong])
-    values, vectors = np.linalg.eigh(basis.T @ image @ basis)
+    lengths, axes = np.linalg.eigh(gram * scale[:, :, None] * scale[:, None, :])
+    strong = lengths > 1e-11 * np.maximum(lengths[:, -1:], 1e-300)
+    basis = scale[:, :, None] * axes * np.where(strong, 1.0 / np.sqrt(np.maximum(lengths, 1e-300)), 0.0)[:, None, :]
+    projected = np.swapaxes(basis, 1, 2) @ image @ basis
+    # directions too weak to tell get a value beyond the other end of the spectrum, so they are never picked
+    at = np.arange(k + 1)
+    projected[:, at, at] += np.where(strong, 0.0, -3.0 if largest else 3.0)
+    values, vectors = np.linalg.eigh(projected)
     pick = -1 if largest else 0
-    mix, value = basis @ vectors[:, pick], float(values[pick])
-    off = mix @ square @ mix - 2 * value * (mix @ image @ mix) + value * value * (mix @ gram @ mix)
-    shifts = mix * means
-    return value, float(np.sqrt(max(off, 0.0))), mix, np.array([shifts.sum(), shifts[1:].sum()])
+    value, mix = values[:, pick], np.einsum("gij,gj->gi", basis, vectors[:, :, pick])
+    quadratic = lambda m: np.einsum("gi,gij,gj->g", mix, m, mix)
+    off = quadratic(square) - 2 * value * quadratic(image) + value**2 * quadratic(gram)
+    nothing = squares[:, 0] <= 1e-280  # no vector beside the constant one
+    mix[nothing] = 0.0
+    return np.where(nothing, -1.0, value), np.where(nothing, 0.0, np.sqrt(np.maximum(off, 0.0))), mix
+
+
+_RITZ = (
+    "graph_id BIGINT, order BIGINT, lambda_max DOUBLE, residual_max DOUBLE, lambda_2 DOUBLE, residual_2 DOUBLE, "
+    "mix_u ARRAY<DOUBLE>, mix_v ARRAY<DOUBLE>, shift_u ARRAY<DOUBLE>, shift_v ARRAY<DOUBLE>"
+)
 
 
 def _ritz_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        solved = []
-        for row in batch.itertuples(index=False):
-            top = _ritz(np.array(row.sums_u), np.array(row.means_u), True)
-            low = _ritz(np.array(row.sums_v), np.array(row.means_v), False)
-            c = row.c
-            found = (top[0] * c, top[1] * c, low[0] * c, low[1] * c)
-            mixes = (top[2].tolist(), low[2].tolist(), top[3].tolist(), low[3].tolist())
-            solved.append((row.graph_id, row.order, *found, *mixes))
-        yield pd.DataFrame(solved, columns=[field.split()[0] for field in _RITZ.split(", ")])
+        if not len(batch):
+            continue
+        half = batch["c"].to_numpy() / 2
+        found = {"graph_id": batch["graph_id"], "order": batch["order"]}
+        for x, name, largest in (("u", "max", True), ("v", "2", False)):
+            value, residual, mix = _ritz(np.stack(batch[f"sums_{x}"].to_numpy()), largest)
+            shifts = mix * np.stack(batch[f"means_{x}"].to_numpy())
+            found[f"lambda_{name}"], found[f"residual_{name}"] = half * (value + 1), half * residual
+            found[f"mix_{x}"] = list(mix)
+            found[f"shift_{x}"] = list(np.stack([shifts.sum(axis=1), shifts[:, 1:].sum(axis=1)], axis=1))
+        yield pd.DataFrame(found)[[field.split()[0] for field in _RITZ.split(", ")]]
 
 
 def _pairs(state: DataFrame) -> DataFrame:
     """Extreme Ritz pairs per graph, from a fixed number of sums over its nodes."""
-    k = KRYLOV_DEPTH
+    k = DEPTH
 
-    def dot(left: str, right: str):
+    def dot(left: str, right: str) -> Column:
         return F.sum(F.col(left) * F.col(right))
 
-    def sums(x: str):
-        moments = [dot(f"{x}{n // 2}", f"{x}{n - n // 2}") for n in range(2 * k + 1)]
-        crossed = [dot(f"{x}{side}", f"{x}{n}") for side in "pq" for n in range(k + 1)]
+    def sums(x: str) -> Column:
+        own = [dot(f"{x}{i}", f"{x}{i}") for i in range(k + 1)] + [dot(f"{x}{i}", f"{x}{i + 1}") for i in range(k)]
+        crossed = [dot(f"{x}{side}", f"{x}{i}") for side in "pq" for i in range(k + 1)]
         corner = [dot(f"{x}p", f"{x}p"), dot(f"{x}p", f"{x}q"), dot(f"{x}q", f"{x}q")]
-        return F.array(*moments, *crossed, *corner).alias(f"sums_{x}")
+        return F.array(*own, *crossed, *corner).alias(f"sums_{x}")
 
-    def means(x: str):
+    def means(x: str) -> Column:
         return F.array(*[F.avg(f"{x}{i}") for i in [*range(k), "p"]]).alias(f"means_{x}")
 
     per_graph = state.groupBy("graph_id").agg(
@@ -171,30 +145,27 @@ def _pairs(state: DataFrame) -> DataFrame:
 
 
 def _restarted(state: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The best vector, the direction it moved in (with its image), per node of the given graphs."""
-    k = KRYLOV_DEPTH
-    columns = []
+    """The best vector, the direction it moved in, and that direction's image, per node of the given graphs."""
+    k, columns = DEPTH, []
     for x in "uv":
         weight = [F.get(f"mix_{x}", F.lit(i)) for i in range(k + 1)]
         moved = sum((weight[i] * F.col(f"{x}{i}") for i in range(1, k)), weight[k] * F.col(f"{x}p"))
-        image = sum((weight[i] * F.col(f"{x}{i + 1}") for i in range(1, k)), weight[k] * F.col(f"{x}q"))
+        images = (weight[i] * (F.col(f"{x}{i + 1}") + F.col(f"{x}{i - 1}")) / 2 for i in range(1, k))
+        image = sum(images, weight[k] * F.col(f"{x}q"))
         best = weight[0] * F.col(f"{x}0") + moved
+        # the constant vector, of eigenvalue 0, is taken out; its image under M is its negative
         columns += [
             (best - F.get(f"shift_{x}", F.lit(0))).alias(f"{x}0"),
             (moved - F.get(f"shift_{x}", F.lit(1))).alias(f"{x}p"),
-            image.alias(f"{x}q"),
+            (image + F.get(f"shift_{x}", F.lit(1))).alias(f"{x}q"),
         ]
-    return state.join(pairs, "graph_id").select("graph_id", "node", *columns)
+    return join_many_to_one(state, pairs, "graph_id", ["node"]).select("graph_id", "node", *columns)
 
 
-def estimates(simple: DataFrame, nodes: DataFrame, cycles: int = 5) -> DataFrame:
-    """Largest and second-smallest Laplacian eigenvalue of all graphs at once, with residuals.
+def extremes(simple: DataFrame, nodes: DataFrame, component_counts: DataFrame) -> DataFrame:
+    """(graph_id, order, lambda_2, residual_2, lambda_max, residual_max) of every graph, to ``TOLERANCE``.
 
-    Each cycle multiplies two node vectors ``KRYLOV_DEPTH`` times by L (the sparse matrix as a table),
-    solves the tiny projected problem per graph from sums over its nodes, and restarts from the best
-    vector and the direction of its last move, which gives restarts the pace of an unbroken run. The
-    mean, the direction of eigenvalue 0, is removed. A cycle is settled as one step, and graphs whose
-    residuals are small enough leave.
+    ``component_counts (graph_id, components)`` tells which graphs are split: their ``lambda_2`` is 0.
     """
     degree = degrees(simple, nodes)
     matrix = settle(_matrix(simple, degree))
@@ -203,46 +174,28 @@ def estimates(simple: DataFrame, nodes: DataFrame, cycles: int = 5) -> DataFrame
     raw = degree.select("graph_id", "node", start.alias("u0"), (start * start - start).alias("v0"))
     means = raw.groupBy("graph_id").agg(F.avg("u0").alias("mu"), F.avg("v0").alias("mv"))
     none = [F.lit(0.0).alias(f"{x}{i}") for x in "uv" for i in "pq"]
-    state = raw.join(means, "graph_id").select(
+    state = join_many_to_one(raw, means, "graph_id", ["node"]).select(
         "graph_id", "node", (F.col("u0") - F.col("mu")).alias("u0"), (F.col("v0") - F.col("mv")).alias("v0"), *none
     )
-    shown = ["graph_id", "order", "lambda_max", "residual_max", "lambda_2", "residual_2"]
+    split = component_counts.select("graph_id", (F.col("components") > 1).alias("_split"))
+    shown = ["graph_id", "order", "lambda_2", "residual_2", "lambda_max", "residual_max"]
     found = None
-    for cycle in range(1, cycles + 1):
-        for depth in range(1, KRYLOV_DEPTH + 1):
+    while True:
+        for depth in range(1, DEPTH + 1):
             state = _extended(matrix, state, depth)
-        state = settle(state)
-        pairs = settle(_pairs(state))
+            if depth % SETTLED == 0:
+                state = settle(state)
+        pairs = _pairs(state).join(split, "graph_id")
+        zero = F.lit(0.0)
+        cut = {c: F.when(F.col("_split"), zero).otherwise(F.col(c)) for c in ("lambda_2", "residual_2")}
+        pairs = settle(pairs.withColumns(cut).drop("_split"))
         rough = F.greatest("residual_max", "residual_2") > TOLERANCE * F.col("lambda_max")
-        last = cycle == cycles or pairs.where(rough).isEmpty()
-        done = pairs.select(*shown) if last else pairs.where(~rough).select(*shown)
+        done = pairs.where(~rough).select(*shown)
         found = done if found is None else found.unionByName(done)
-        if last:
+        left = pairs.where(rough)
+        if left.isEmpty():
             return found
-        state = _restarted(state, pairs.where(rough))
-    raise ValueError("cycles must be at least 1")
-
-
-def extremes(simple: DataFrame, nodes: DataFrame, limit: int = DENSE_LIMIT, cycles: int = 5) -> DataFrame:
-    """``lambda_2`` and ``lambda_max`` of every graph: exact where small, estimated with residual where large."""
-    zero = F.lit(0.0)
-    at = F.get("eigenvalues", F.lit(1))
-    exact = dense_profiles(simple, nodes, limit).select(
-        "graph_id",
-        F.col("block_count").cast("bigint").alias("order"),
-        F.coalesce(F.greatest(at, zero), zero).alias("lambda_2"),
-        zero.alias("residual_2"),
-        F.greatest(F.array_max("eigenvalues"), zero).alias("lambda_max"),
-        zero.alias("residual_max"),
-        F.lit("exact").alias("method"),
-    )
-    large = settle(graph_sizes(nodes).where(F.col("order") > limit).select("graph_id"))
-    if large.isEmpty():
-        return exact
-    wide_edges = simple.join(large, "graph_id", "left_semi")
-    wide_nodes = nodes.join(large, "graph_id", "left_semi")
-    rough = estimates(wide_edges, wide_nodes, cycles).withColumn("method", F.lit("estimate"))
-    return exact.unionByName(rough)
+        state = _restarted(state, left)
 
 
 FEATURES = (
@@ -252,10 +205,8 @@ FEATURES = (
 
 
 def feature_vectors(descriptors: DataFrame, spectra: DataFrame, component_counts: DataFrame) -> DataFrame:
-    """The 14 features per graph as one vector; ``lambda_2`` is 0 by definition when a graph is split."""
+    """The 14 features per graph as one vector."""
     joined = descriptors.join(spectra.select("graph_id", "lambda_2", "lambda_max"), "graph_id")
     joined = joined.join(component_counts, "graph_id")
-    whole = F.when(F.col("components") > 1, F.lit(0.0)).otherwise(F.col("lambda_2"))
-    features = joined.withColumn("lambda_2", whole)
     vector = F.array(*[F.col(f).cast("double") for f in FEATURES])
-    return features.select("graph_id", vector.alias("raw_feature_vector"))
+    return joined.select("graph_id", vector.alias("raw_feature_vector"))

@@ -266,15 +266,17 @@ described AS (
     roots AS (SELECT graph_id, node, min(other) AS root FROM reach GROUP BY ALL)
     SELECT graph_id, "order", size, round(density, 6) AS density, round(mean_degree, 6) AS mean_degree, max_degree,
       round(degree_variance, 6) AS degree_variance, leaves, trace_l, trace_l2, cyclomatic,
-      round(energy_bound, 6) AS energy_bound, components
-    FROM described JOIN (SELECT graph_id, count(DISTINCT root) AS components FROM roots GROUP BY 1) USING (graph_id)""",
+      round(energy_bound, 6) AS energy_bound, components, coalesce(triangles, 0) AS triangles
+    FROM described JOIN (SELECT graph_id, count(DISTINCT root) AS components FROM roots GROUP BY 1) USING (graph_id)
+    LEFT JOIN (SELECT a.graph_id, count(*) AS triangles FROM edges a JOIN edges b ON b.graph_id = a.graph_id AND b.src = a.dst
+      JOIN edges c ON c.graph_id = a.graph_id AND c.src = a.src AND c.dst = b.dst GROUP BY 1) USING (graph_id)""",
 )
 def graph_descriptors(spark: SparkSession, folder: str) -> DataFrame:
     edges, nodes = settled_graphs(spark, folder)
     described = graphs.descriptors(edges, nodes)
     counts = graphs.component_counts(graphs.components(edges, nodes))
     rounded = ["density", "mean_degree", "degree_variance", "energy_bound"]
-    joined = described.join(counts, "graph_id")
+    joined = described.join(counts, "graph_id").join(graphs.triangle_counts(edges, nodes), "graph_id")
     return joined.withColumns({c: F.round(c, 6) for c in rounded})
 
 
@@ -294,39 +296,59 @@ def modularity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("graph_id", F.round("modularity", 12).alias("modularity"))
 
 
-@query("spectral_profile")
-def spectral_profile(spark: SparkSession, folder: str) -> DataFrame:
-    edges, nodes = message_graphs(spark, folder)
-    profiles = spectral.projected(spectral.dense_profiles(edges, nodes))
-    def shown(name: str):
-        return F.concat_ws(",", F.transform(name, lambda x: F.format_number(x, 6)))
-    return profiles.select(
-        "graph_id",
-        "block_count",
-        shown("eigenvalues_top20").alias("eigenvalues_top20"),
-        F.size("fiedler_vector").alias("fiedler_size"),
-        F.round("graph_energy", 6).alias("graph_energy"),
-    )
-
-
 @query("spectral_estimates")
 def spectral_estimates(spark: SparkSession, folder: str) -> DataFrame:
+    """Second-smallest and largest Laplacian eigenvalue of every graph."""
     edges, nodes = settled_graphs(spark, folder)
-    found = spectral.estimates(edges, nodes)
-    measures = ["lambda_max", "residual_max", "lambda_2", "residual_2"]
-    return found.select("graph_id", "order", *[F.round(m, 6).alias(m) for m in measures])
+    counts = settle(graphs.component_counts(graphs.components(edges, nodes)))
+    found = spectral.extremes(edges, nodes, counts)
+    return found.select("graph_id", "order", F.round("lambda_max", 5).alias("lambda_max"), F.round("lambda_2", 5).alias("lambda_2"))
 
 
-@query("graph_feature_vectors")
+_PLAIN_FEATURES = [f for f in spectral.FEATURES if not f.startswith("lambda")]
+
+
+@query(
+    "graph_feature_vectors",
+    f"""WITH RECURSIVE {SQL_GRAPHS},
+    reach AS (SELECT graph_id, node, node AS other FROM nodes
+      UNION SELECT r.graph_id, r.node, e.other FROM reach r JOIN ends e ON e.graph_id = r.graph_id AND e.node = r.other),
+    roots AS (SELECT graph_id, node, min(other) AS root FROM reach GROUP BY ALL),
+    full_rows AS (SELECT described.*, components FROM described
+      JOIN (SELECT graph_id, count(DISTINCT root) AS components FROM roots GROUP BY 1) USING (graph_id))
+    """
+    + " UNION ALL ".join(
+        f"SELECT graph_id, {spectral.FEATURES.index(f)} AS position, '{f}' AS feature, round(\"{f}\"::DOUBLE, 6) AS value FROM full_rows"
+        for f in _PLAIN_FEATURES
+    ),
+)
 def graph_feature_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The twelve features of every graph that need no spectrum, by their place in the vector of fourteen."""
+    edges, nodes = settled_graphs(spark, folder)
+    counts = graphs.component_counts(graphs.components(edges, nodes))
+    joined = graphs.descriptors(edges, nodes).join(counts, "graph_id")
+    places = F.array(
+        *[
+            F.struct(
+                F.lit(spectral.FEATURES.index(f)).alias("position"), F.lit(f).alias("feature"),
+                F.round(F.col(f).cast("double"), 6).alias("value"),
+            )
+            for f in _PLAIN_FEATURES
+        ]
+    )
+    return joined.select("graph_id", F.explode(places).alias("p")).select("graph_id", "p.*")
+
+
+@query("graph_spectral_vectors")
+def graph_spectral_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole vector of fourteen features of every graph."""
     edges, nodes = settled_graphs(spark, folder)
+    counts = settle(graphs.component_counts(graphs.components(edges, nodes)))
     vectors = spectral.feature_vectors(
-        graphs.descriptors(edges, nodes),
-        spectral.extremes(edges, nodes),
-        graphs.component_counts(graphs.components(edges, nodes)),
+        graphs.descriptors(edges, nodes), spectral.extremes(edges, nodes, counts), counts
     )
     exploded = vectors.select("graph_id", F.posexplode("raw_feature_vector").alias("position", "value"))
-    return exploded.withColumn("value", F.round("value", 6))
+    return exploded.withColumn("value", F.round("value", 5))
 
 
 _CATEGORY_LIST = "[" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]"

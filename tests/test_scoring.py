@@ -84,40 +84,39 @@ def test_modularity_of_two_cliques(spark):
     assert math.isclose(q, 12 / 13 - 2 * (13 / 26) ** 2)
 
 
-def test_dense_profiles_match_closed_forms(edges, nodes):
-    found = {r.graph_id: r for r in spectral.dense_profiles(edges, nodes).collect()}
+@pytest.fixture(scope="module")
+def spectra(spark, edges, nodes):
+    """Extremes of the small graphs, a longer path and a wheel, all in one run."""
+    more = [(20, i, i + 1) for i in range(23)]
+    more += [(21, i, (i + 1) % 30) for i in range(30)] + [(21, 30, i) for i in range(30)]
+    longer = graphs.simple_edges(spark.createDataFrame(more, "graph_id BIGINT, src BIGINT, dst BIGINT"))
+    all_edges = edges.unionByName(longer.select([F.col(c).cast(t) for c, t in edges.dtypes]))
+    ends = longer.select("graph_id", "src").union(longer.select("graph_id", "dst")).distinct().toDF("graph_id", "node")
+    all_nodes = nodes.unionByName(ends.select([F.col(c).cast(t) for c, t in nodes.dtypes]))
+    counts = graphs.component_counts(graphs.components(all_edges, all_nodes))
+    return {r.graph_id: r for r in spectral.extremes(all_edges, all_nodes, counts).collect()}
+
+
+def test_extremes_match_numpy(spectra):
+    for g, (pairs, n) in GRAPHS.items():
+        values = np.linalg.eigvalsh(laplacian(pairs, n)[0])
+        assert abs(spectra[g].lambda_max - values[-1]) < 1e-6
+        second = values[1] if n > 1 else 0.0
+        assert abs(spectra[g].lambda_2 - second) < 1e-6, g
+
+
+def test_extremes_of_large_graphs_converge(spectra):
+    assert abs(spectra[20].lambda_2 - (2 - 2 * math.cos(math.pi / 24))) < 1e-6
+    assert abs(spectra[20].lambda_max - (2 + 2 * math.cos(math.pi / 24))) < 1e-6
+    assert abs(spectra[21].lambda_2 - (3 - 2 * math.cos(2 * math.pi / 30))) < 1e-6
+    assert abs(spectra[21].lambda_max - 31) < 1e-6
+
+
+def test_triangles_match_a_plain_count(spark, edges, nodes):
+    found = {r.graph_id: r.triangles for r in graphs.triangle_counts(edges, nodes).collect()}
     for g, (pairs, n) in GRAPHS.items():
-        lap, adjacency = laplacian(pairs, n)
-        values = np.array(found[g].eigenvalues)
-        assert len(values) == n and (values >= -1e-9).all() and (np.diff(values) >= -1e-12).all()
-        assert np.allclose(values, np.linalg.eigvalsh(lap), atol=1e-9)
-        assert math.isclose(found[g].graph_energy, np.abs(np.linalg.eigvalsh(adjacency)).sum(), abs_tol=1e-9)
-        assert len(found[g].fiedler_vector) == (n if n > 1 else 0)
-    assert np.allclose(found[3].eigenvalues, [0, 5, 5, 5, 5], atol=1e-9)
-
-
-def test_estimates_match_closed_forms(edges, nodes):
-    found = {r.graph_id: r for r in spectral.estimates(edges, nodes).collect()}
-    assert math.isclose(found[1].lambda_2, 2 - 2 * math.cos(math.pi / 6), rel_tol=1e-6)
-    assert math.isclose(found[2].lambda_2, 1.0, rel_tol=1e-6)
-    assert math.isclose(found[3].lambda_2, 5.0, rel_tol=1e-6)
-    assert math.isclose(found[3].lambda_max, 5.0, rel_tol=1e-6)
-    long = found[4]
-    assert abs(long.lambda_max - (2 + 2 * math.cos(math.pi / 40))) <= long.residual_max + 1e-9
-    assert found[6].lambda_max == 0.0 and found[6].lambda_2 == 0.0
-
-
-def test_large_graphs_are_estimated_and_small_ones_exact(edges, nodes):
-    found = {r.graph_id: r for r in spectral.extremes(edges, nodes, limit=10).collect()}
-    assert {g for g, r in found.items() if r.method == "estimate"} == {4}
-    assert set(found) == set(GRAPHS)
-    assert math.isclose(found[2].lambda_max, 4.0)
-
-
-def test_projection_keeps_the_smallest_twenty(edges, nodes):
-    row = {r.graph_id: r for r in spectral.projected(spectral.dense_profiles(edges, nodes)).collect()}[4]
-    full = np.linalg.eigvalsh(laplacian(path(40), 40)[0])
-    assert np.allclose(row.eigenvalues_top20, full[:20], atol=1e-9) and row.laplacian_shape == [40, 40]
+        adjacency = laplacian(pairs, n)[1]
+        assert found[g] == round(np.trace(adjacency @ adjacency @ adjacency) / 6)
 
 
 def test_mahalanobis_against_numpy(spark):

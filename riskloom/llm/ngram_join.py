@@ -13,7 +13,7 @@ depends on set sizes:
 The boundary is the one of least expected cost over the histogram of small sizes. Sets of equal content are one node, found
 by a 128-bit hash before the join, so copies cost nothing. Members of a list are first held against one of them, a few times
 over; after those links, only lists that still join several components are searched further: short lists by pairs, long
-ones block against block inside tasks. Pairs meet as parity sketches of 128 bytes first, which rule out most without their
+ones block against block inside tasks. Pairs meet as parity sketches (half a byte a member) first, which rule out most without their
 sets and never a link. No list is cut short and no pair within a component is made.
 
 Defined cases: null texts and texts without words have no shingles and link with nothing; fewer words than a shingle make
@@ -180,19 +180,31 @@ def _sets(size: int):
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parity of the members in each of 1024 cells: two sketches differ in at most as many bits as the sets do in members."""
-    cells = np.bincount((mix(shingles) >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+    """Parity of the members in each of many cells: two sketches differ in at most as many bits as the sets do in members.
+
+    There are four cells to a member at least, a power of two; a longer sketch folds to a shorter one half upon half.
+    """
+    bits = max(1024, 1 << (4 * len(shingles) - 1).bit_length())
+    cells = np.bincount((mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(cells.astype(np.uint8)).tobytes()
 
 
+def apart(left: bytes, right: bytes) -> int:
+    """Bits in which two sketches differ, at the length of the shorter."""
+    a, b = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in (a, b))
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def _may_link(like: Likeness):
     def may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left, right = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, 128) for c in ("sa", "sb"))
+            differences = [apart(a, b) for a, b in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True)]
             sizes = batch["na"].to_numpy() + batch["nb"].to_numpy()
-            mask = pa.array(np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64) <= like.differing(sizes, 0))
+            mask = pa.array(np.array(differences) <= like.differing(sizes, 0))
             yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
 
     return may_link
@@ -225,13 +237,16 @@ def _block_pairs(like: Likeness):
     import pandas as pd
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(len(group), 16)
+        sketches = group["sketch"].tolist()
+        folded = [np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, 16), axis=0) for x in sketches]
+        bits = np.stack(folded)
         sizes, node, root, home = (group[c].to_numpy() for c in ("size", "node", "label", "home"))
         low, high, found = group["low"].iloc[0], group["high"].iloc[0], []
         for i in np.flatnonzero(home == low):
             others = np.flatnonzero((home == high) & (root != root[i]) & ((node > node[i]) | (low != high)))
-            apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            hits = others[apart <= like.differing(sizes[others] + sizes[i], 0)]
+            most = like.differing(sizes[others] + sizes[i], 0)
+            near = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most
+            hits = [j for j, m in zip(others[near], most[near], strict=True) if apart(sketches[i], sketches[j]) <= m]
             found += [(min(node[i], node[j]), max(node[i], node[j])) for j in hits]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 

@@ -111,13 +111,14 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, sample_docs: int = 8_000, script_share: float = 0.01) -> Model:
     """Learn from ``(text, lang)`` rows where both are given."""
     given = labelled.select("text", "lang").where("lang is not null")
-    counts = given.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
-    languages = counts.count()
-    if not languages:
+    # one number per language comes to the driver, as the model itself does, so that no text is dealt out by language
+    counts = {r["lang"]: r["n"] for r in given.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
         return Model([], np.zeros((1 << BUCKET_BITS, 0)), np.zeros((len(SCRIPTS), 0), bool))
-    share = F.lit(float(sample_docs) / languages) / F.col("_rows")
+    shares = [F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, sample_docs / len(counts) / n)]
+    share = F.element_at(F.create_map(*shares), F.col("lang"))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = given.where("text is not null").join(counts, "lang").where(place < share).select("lang", "text").dropDuplicates()
+    chosen = given.where("text is not null").where(place < share).select("lang", "text").dropDuplicates()
     grams = chosen.mapInArrow(_count_grams, "lang string, bucket int, n bigint")
     # at most (buckets + scripts) rows per language
     rows = grams.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -184,6 +185,8 @@ class Scorer:
 
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of every word; ``scores`` holds the words of all texts in a row, ``counts`` of each. All texts step together."""
+    if not scores.size:
+        return np.zeros(len(scores), np.int64)
     order = np.argsort(-counts, kind="stable")
     starts = (np.cumsum(counts) - counts)[order]
     alive = np.searchsorted(-counts[order], -np.arange(1, (counts.max() if len(counts) else 0) + 1), side="right")
@@ -261,6 +264,6 @@ def predict(
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
     schema = StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double")
     if spans:
-        span = StructType().add("lang", "string").add("words", "int").add("letters", "long")
+        span = StructType().add("lang", "string").add("words", "integer").add("letters", "long")
         schema = schema.add("spans", ArrayType(span))
     return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(_labeller(model, kept, penalty, spans), schema)

@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from riskloom.llm.tokens import batches_by_size
+from riskloom.llm.tokens import batches_by_size, release_encoders
 
 BUCKET_BITS = 15
 WORD_LIMIT = 500_000  # scored words kept per task; beyond it the table starts anew
-BATCH_CHARS = 1 << 23
+BATCH_CHARS = 1 << 22
 SWITCH_PENALTY = 12.0
 UNKNOWN = "und"
 # Where a script's range of code points begins, up to the next entry; "" is no particular script.
@@ -235,6 +235,7 @@ def _labeller(model: Model, kept: list[str], penalty: float, spans: bool):
     names = model.languages
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         scorer = Scorer(model)
         for batch in batches:
             texts = batch["text"].to_pylist()

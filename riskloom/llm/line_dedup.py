@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import let, stored
 from riskloom.llm.shingles import mix
-from riskloom.llm.tokens import batches_by_size
+from riskloom.llm.tokens import batches_by_size, release_encoders
 
 MIN_CHARS, EDITS = 24, 2
 PAIR_LINES, BLOCK = 24, 512
@@ -83,6 +83,7 @@ def _lines_of(texts: list[str | None], min_chars: int) -> tuple[list[str], list[
 
 def _occurrences(min_chars: int):
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for batch in batches:
             texts = batch["text"].to_pylist()
             for a, b in batches_by_size(texts):

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import stored
 from riskloom.llm.shingles import Shingler, mix, text_slices
+from riskloom.llm.tokens import release_encoders
 from riskloom.operators.graphs import components
 
 SPARE = 2  # ranges beyond the necessary one, so that empty ones need no list
@@ -128,6 +129,7 @@ def _set_hashes(shingles: np.ndarray) -> tuple[int, int]:
 
 def _facts(size: int):
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         shingler = Shingler(size)
         for batch in batches:
             for a, b, data, offsets in text_slices(batch["text"]):

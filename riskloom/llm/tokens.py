@@ -11,6 +11,7 @@ from __future__ import annotations
 import gc
 import os
 import re
+import sys
 from collections.abc import Sequence
 from functools import lru_cache
 from itertools import chain, islice
@@ -171,6 +172,13 @@ def shared_encoder(path: str) -> Encoder:
     return kept[path]
 
 
+def release_encoders() -> None:
+    """Drop the word tables of this worker: tasks of other operators call it, so that the tables do not add up."""
+    module = sys.modules.get("tokenizers")
+    if module is not None:
+        vars(module).pop("_riskloom_encoders", None)
+
+
 def gather(flat: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenate the stretches ``flat[ends[n]:ends[n + 1]]`` of the given numbers; also their lengths."""
     lengths = ends[numbers + 1] - ends[numbers]

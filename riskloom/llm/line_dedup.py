@@ -1,11 +1,12 @@
 """Removal of lines that are, within a few edits, an earlier line of the corpus.
 
-A line (trimmed, of at least ``min_chars`` characters) goes when the same line, or one within ``edits`` insertions, deletions and
-substitutions, stands earlier: in a document of smaller id, or further up. Shorter lines carry too little to compare and
-stay.
+A line (trimmed, not empty) goes when the same line, or one within ``edits`` insertions, deletions and substitutions, stands
+earlier: in a document of smaller id, or further up. Short lines may differ in less: one edit for every ``EDIT_CHARS``
+characters of the shorter of two lines, so that lines below that go as exact repeats only. A caller that gives ``min_chars``
+leaves shorter lines alone and compares all others with the full number of edits.
 
 Lines are told apart by a 64-bit hash; texts are fetched for candidates only. The join of distinct lines is a
-segment-partition join. A line is cut into ``edits + 1`` segments; edits of two near lines leave
+segment-partition join. A line is cut into one segment more than the edits its length allows; edits of two near lines leave
 one segment of the shorter whole, and it stands in the longer one at a place that the lengths narrow down. Every line is
 entered under (its length, segment number, segment) and asks for the substrings at those places, for each length up to
 ``edits`` below its own. Candidates that meet under a key are verified by a banded bit-parallel automaton: one bit per
@@ -21,6 +22,7 @@ a null doc_id sorts first; an empty table gives no rows. All columns of the inpu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,30 @@ from riskloom.llm.common import let, stored
 from riskloom.llm.shingles import mix
 from riskloom.llm.tokens import batches_by_size, release_encoders
 
-MIN_CHARS, EDITS = 24, 2
+EDITS, EDIT_CHARS = 2, 12
 PAIR_LINES, BLOCK = 24, 512
 CELLS = 1 << 22  # characters of a batch of pairs
 SEEN_LINES = 500_000  # lines a task remembers, so as not to enter them again
 TRIMMED = " \t\r\x0b\x0c"
 
 
+@dataclass(frozen=True)
+class Reach:
+    """How many edits two lines may be apart, by the length of the shorter; lines below ``least`` are left alone."""
+
+    edits: int
+    least: int = 1
+    step: int = EDIT_CHARS  # characters to an edit; 0: all edits at any length
+
+    def of(self, lengths: np.ndarray) -> np.ndarray:
+        own = np.minimum(self.edits, lengths // self.step) if self.step else np.full(len(lengths), self.edits)
+        return np.where(lengths >= self.least, own, 0)
+
+
+def reach_of(min_chars: int | None, edits: int) -> Reach:
+    return Reach(edits) if min_chars is None else Reach(edits, max(1, min_chars), 0)
+
+
 def document_key() -> Column:
     """Identity of a document: its id and its text."""
     return F.xxhash64("doc_id", "text")
@@ -69,7 +88,7 @@ class _Hashes:
 
 
 def _lines_of(texts: list[str | None], min_chars: int) -> tuple[list[str], list[int], list[int]]:
-    """Trimmed lines long enough to compare, the row and the number of each."""
+    """Trimmed lines of at least so many characters, the row and the number of each."""
     lines, rows, numbers = [], [], []
     for row, text in enumerate(texts):
         for number, line in enumerate(text.split("\n") if text else ()):
@@ -98,7 +117,7 @@ def _occurrences(min_chars: int):
 
 
 def line_occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, document, line_no (from 0) and line_id, a hash of the trimmed line, where long enough to compare."""
+    """doc_id, document, line_no (from 0) and line_id, a hash of the trimmed line, of all lines that long."""
     rows = docs.select("doc_id", document_key().alias("document"), "text")
     return rows.mapInArrow(_occurrences(min_chars), "doc_id bigint, document bigint, line_no int, line_id bigint")
 
@@ -114,31 +133,34 @@ def probe_places(edits: int) -> list[tuple[int, int, int]]:
     return places
 
 
-def line_keys(lines: list[str], edits: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def line_keys(lines: list[str], reach: Reach) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, line number, entered) of all lines: entered keys are a line's own segments, the others only ask.
 
-    A line has ``edits + 1`` segments of equal length, the last ones longer by one where it does not divide.
+    A line that allows ``edits`` has ``edits + 1`` segments of equal length, the last ones longer by one where it does not
+    divide. Lines that allow none have no keys.
     """
-    hashes, parts, found = _Hashes(lines), edits + 1, []
-    for shorter_by, number, shift in probe_places(edits):
-        length = hashes.lengths - shorter_by
-        short, longer = length // parts, length % parts
-        size = short + (number >= parts - longer)
-        start = number * short + np.maximum(0, number - (parts - longer)) + shift
-        which = np.flatnonzero((length >= max(1, min_chars)) & (start >= 0) & (start + size <= hashes.lengths))
-        place = length[which].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(number + 1)
-        keys = mix(hashes.of(start[which], size[which], which) ^ mix(place))
-        found.append((keys.view(np.int64), which, np.full(len(which), shorter_by == 0 and shift == 0)))
+    hashes, found = _Hashes(lines), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))]
+    for edits in range(1, reach.edits + 1):
+        parts = edits + 1
+        for shorter_by, number, shift in probe_places(edits):
+            length = hashes.lengths - shorter_by
+            short, longer = length // parts, length % parts
+            size = short + (number >= parts - longer)
+            start = number * short + np.maximum(0, number - (parts - longer)) + shift
+            which = np.flatnonzero((reach.of(length) == edits) & (start >= 0) & (start + size <= hashes.lengths))
+            place = length[which].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(number + 1)
+            keys = mix(hashes.of(start[which], size[which], which) ^ mix(place))
+            found.append((keys.view(np.int64), which, np.full(len(which), shorter_by == 0 and shift == 0)))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _keys(min_chars: int, edits: int):
+def _keys(reach: Reach):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             texts = batch["text"].to_pylist()
             for a, b in batches_by_size(texts):
-                lines = list(dict.fromkeys(_lines_of(texts[a:b], min_chars)[0]))
+                lines = list(dict.fromkeys(_lines_of(texts[a:b], reach.least)[0]))
                 if not lines:
                     continue
                 ids = _Hashes(lines).lines()
@@ -147,7 +169,7 @@ def _keys(min_chars: int, edits: int):
                 if len(seen) > SEEN_LINES:
                     seen.clear()
                 if fresh:
-                    key, which, entered = line_keys([lines[i] for i in fresh], edits, min_chars)
+                    key, which, entered = line_keys([lines[i] for i in fresh], reach)
                     arrays = [pa.array(key), pa.array(ids[fresh][which]), pa.array(entered)]
                     yield pa.RecordBatch.from_arrays(arrays, ["key", "line_id", "entered"])
 
@@ -175,6 +197,16 @@ def within_edits(left: list[str], right: list[str], edits: int) -> np.ndarray:
     return found
 
 
+def near(left: list[str], right: list[str], reach: Reach) -> np.ndarray:
+    """Whether each pair of lines is within the edits that the shorter one allows."""
+    shorter = np.fromiter((min(len(a), len(b)) for a, b in zip(left, right, strict=True)), np.int64, len(left))
+    allowed, found = reach.of(shorter), np.zeros(len(left), bool)
+    for edits in np.unique(allowed).tolist():
+        part = np.flatnonzero(allowed == edits)
+        found[part] = within_edits([left[i] for i in part], [right[i] for i in part], edits)
+    return found
+
+
 def _automaton(left: list[str], right: list[str], edits: int) -> np.ndarray:
     """Bit ``d`` of ``state[e]``: the text so far matches the pattern up to ``d - edits`` further on with at most e errors."""
     pattern, m = _codes(left)
@@ -208,10 +240,10 @@ def _automaton(left: list[str], right: list[str], edits: int) -> np.ndarray:
     return found
 
 
-def _verify(edits: int):
+def _verify(reach: Reach):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask = pa.array(within_edits(batch["left"].to_pylist(), batch["right"].to_pylist(), edits), pa.bool_())
+            mask = pa.array(near(batch["left"].to_pylist(), batch["right"].to_pylist(), reach), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
 
     return verify
@@ -227,7 +259,7 @@ def _profiles(lines: list[str]) -> np.ndarray:
     return counts
 
 
-def _block_search(edits: int):
+def _block_search(reach: Reach):
     """Per line, one earlier line near it in the other block (or its own), if there is one."""
     import pandas as pd
 
@@ -242,16 +274,16 @@ def _block_search(edits: int):
 
         def settle_pairs() -> None:
             earlier, later = (np.array(x) for x in zip(*todo, strict=True))
-            near = within_edits([lines[i] for i in earlier], [lines[i] for i in later], edits)
-            done, first = np.unique(later[near], return_index=True)
-            found.extend(zip(ids[earlier[near][first]], ids[done], strict=True))
+            close = near([lines[i] for i in earlier], [lines[i] for i in later], reach)
+            done, first = np.unique(later[close], return_index=True)
+            found.extend(zip(ids[earlier[close][first]], ids[done], strict=True))
             todo.clear()
 
         for i in range(len(lines)):
             met = (home == (high if home[i] == low else low)) & (place < place[i]) & (entered | entered[i]) & (ids != ids[i])
             met = np.flatnonzero(met)
             apart = np.abs(profile[met] - profile[i]).sum(axis=1)
-            todo += [(j, i) for j in met[apart <= 2 * edits]]
+            todo += [(j, i) for j in met[apart <= 2 * reach.edits]]
             if len(todo) > 20_000:
                 settle_pairs()
         if todo:
@@ -261,13 +293,13 @@ def _block_search(edits: int):
     return search
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame, min_chars: int, edits: int) -> DataFrame:
-    """line_id of every distinct line that stands within ``edits`` of an earlier one.
+def near_lines(docs: DataFrame, firsts: DataFrame, reach: Reach) -> DataFrame:
+    """line_id of every distinct line that stands within ``reach`` of an earlier one.
 
     ``firsts`` is a stored table of ``(line_id, first)`` where first is the struct (doc_id, document, line_no). Lines go by
     their hash until candidates are known; only then are their texts fetched, each from its first document.
     """
-    keyed = docs.select("text").mapInArrow(_keys(min_chars, edits), "key bigint, line_id bigint, entered boolean")
+    keyed = docs.select("text").mapInArrow(_keys(reach), "key bigint, line_id bigint, entered boolean")
     of_key = Window.partitionBy("key")
     met = keyed.select(
         "key", "line_id", "entered",
@@ -287,7 +319,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, min_chars: int, edits: int) -
     pairs = one.join(few.select("key", F.col("line_id").alias("y")), "key").where("x <> y")
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left, right = (texts.select(F.col("line_id").alias(n), F.col("line").alias(side)) for n, side in (("a", "left"), ("b", "right")))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(edits), "a bigint, b bigint")
+    links = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify(reach), "a bigint, b bigint")
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     many = live.join(sizes.where(F.col("n") > PAIR_LINES), "key")
@@ -300,19 +332,20 @@ def near_lines(docs: DataFrame, firsts: DataFrame, min_chars: int, edits: int) -
         F.col("first.line_no").alias("at_line"),
     )
     full = full.na.fill(-(1 << 63), ["at_doc"])
-    links = links.unionByName(full.groupBy("key", "low", "high").applyInPandas(_block_search(edits), "a bigint, b bigint"))
+    links = links.unionByName(full.groupBy("key", "low", "high").applyInPandas(_block_search(reach), "a bigint, b bigint"))
 
     place = texts.select("line_id", "first")
     later = links.distinct().join(place.toDF("a", "first_a"), "a").join(place.toDF("b", "first_b"), "b")
     return later.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("line_id")).distinct()
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int | None = None, edits: int = EDITS) -> DataFrame:
     """document and removed (ascending line numbers) for every document that loses lines."""
-    seen = stored(line_occurrences(docs, min_chars), "lines")
+    reach = reach_of(min_chars, edits)
+    seen = stored(line_occurrences(docs, reach.least), "lines")
     first = F.min(F.struct("doc_id", "document", "line_no")).alias("first")
     firsts = stored(seen.groupBy("line_id").agg(first, F.count(F.lit(1)).alias("n")), "first-lines")
-    gone = near_lines(docs, firsts.select("line_id", "first"), min_chars, edits).withColumn("gone", F.lit(True))
+    gone = near_lines(docs, firsts.select("line_id", "first"), reach).withColumn("gone", F.lit(True))
     known = firsts.join(gone, "line_id", "left").where("n > 1 or gone")
     known = stored(known.select("line_id", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "repeated-lines")
     met = seen.select("line_id", "document", "line_no").join(known, "line_id")
@@ -320,7 +353,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDI
     return removed.groupBy("document").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
-def removals(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
+def removals(docs: DataFrame, min_chars: int | None = None, edits: int = EDITS) -> DataFrame:
     """doc_id, n_lines, n_removed and removed line numbers of every row."""
     gone = stored(repeated_lines(docs, min_chars, edits), "removed-lines")
     rows = docs.select(
@@ -332,7 +365,7 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) ->
 
 
 def without_repeats(
-    docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, length_column: str | None = None
+    docs: DataFrame, min_chars: int | None = None, edits: int = EDITS, length_column: str | None = None
 ) -> DataFrame:
     """The documents with their repeated lines taken out; those left without a single word go.
 

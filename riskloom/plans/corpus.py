@@ -12,6 +12,8 @@ from riskloom.session import shared_dir
 from riskloom.sources import files, store
 from riskloom.sources.tables import table
 
+PART_ROWS = 2_000  # documents of a part: far below the 2 GB that one value can hold
+
 
 @query(
     "corpus_scan",
@@ -26,26 +28,32 @@ from riskloom.sources.tables import table
 def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
     """A folder of files read back: relative paths, labels from the layout, files that are no UTF-8 kept without text.
 
-    The documents are written out first, one file per source; French ones in a second tree with one byte a letter.
+    The documents are written out first, one file per source; French ones in a second tree with one byte a letter. A file is a
+    folder of parts of at most ``PART_ROWS`` documents each, however large the source is; it is valid when all its parts are.
     """
     root = shared_dir(spark, "corpus")
     docs = table(spark, folder, "documents").select("source", "lang", F.col("text").alias("value"))
-    by_source = docs.repartition("source")
-    by_source.where("lang <> 'fr'").select("source", "value").write.partitionBy("source").text(f"{root}/plain")
-    french = by_source.where("lang = 'fr'").select("source", F.regexp_replace("value", "\n", " ").alias("value"))
-    french.write.partitionBy("source").options(encoding="ISO-8859-1", quote="").csv(f"{root}/latin")
+    docs.where("lang <> 'fr'").select("source", "value").write.partitionBy("source").option(
+        "maxRecordsPerFile", PART_ROWS
+    ).text(f"{root}/plain")
+    french = docs.where("lang = 'fr'").select("source", F.regexp_replace("value", "\n", " ").alias("value"))
+    french.write.partitionBy("source").options(encoding="ISO-8859-1", quote="", maxRecordsPerFile=PART_ROWS).csv(f"{root}/latin")
     # part files of either writer, whatever their suffix
     found = files.read_corpus(spark, root, "part-*")
     labelled = found.select(
-        "valid", "text", "path", files.category_of(F.col("path")).alias("category"),
+        "valid", "text", F.col("path").startswith("plain/").alias("plain"), files.category_of(F.col("path")).alias("category"),
         files.language_of(F.col("path")).alias("language"),
     )
-    plain = F.col("path").startswith("plain/")
-    return labelled.groupBy("category", "language").agg(
+    whole = labelled.groupBy("category", "language", "plain").agg(
+        F.bool_and("valid").alias("valid"),
+        F.sum(F.when(F.col("plain"), F.size(F.split("text", "\n")) - 1)).alias("lines"),
+        F.sum(F.when(F.col("plain"), F.char_length("text"))).alias("chars"),
+    )
+    return whole.groupBy("category", "language").agg(
         F.count(F.lit(1)).alias("files"),
         F.count_if("valid").alias("valid_files"),
-        F.coalesce(F.sum(F.when(plain, F.size(F.split("text", "\n")) - 1)), F.lit(0)).cast("bigint").alias("text_lines"),
-        F.coalesce(F.sum(F.when(plain, F.char_length("text"))), F.lit(0)).cast("bigint").alias("text_chars"),
+        F.coalesce(F.sum("lines"), F.lit(0)).cast("bigint").alias("text_lines"),
+        F.coalesce(F.sum("chars"), F.lit(0)).cast("bigint").alias("text_chars"),
     )
 
 

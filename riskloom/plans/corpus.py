@@ -28,12 +28,13 @@ PART_ROWS = 2_000  # documents of a part: far below the 2 GB that one value can
 def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
     """A folder of files read back: relative paths, labels from the layout, files that are no UTF-8 kept without text.
 
-    The documents are written out first, one file per source; French ones in a second tree with one byte a letter. A file is a
-    folder of parts of at most ``PART_ROWS`` documents each, however large the source is; it is valid when all its parts are.
+    The documents are written out first, one file per source; French ones in a second tree with one byte a letter, those without
+    a language with the rest. A file is a folder of parts of at most ``PART_ROWS`` documents each, however large the source
+    is; it is valid when all its parts are.
     """
     root = shared_dir(spark, "corpus")
     docs = table(spark, folder, "documents").select("source", "lang", F.col("text").alias("value"))
-    docs.where("lang <> 'fr'").select("source", "value").write.partitionBy("source").option(
+    docs.where("not (lang <=> 'fr')").select("source", "value").write.partitionBy("source").option(
         "maxRecordsPerFile", PART_ROWS
     ).text(f"{root}/plain")
     french = docs.where("lang = 'fr'").select("source", F.regexp_replace("value", "\n", " ").alias("value"))

@@ -35,3 +35,10 @@ def test_no_part_holds_a_whole_source(spark, tmp_path, monkeypatch, read_parts):
     parts = read_parts[0][0].where("path like 'plain/%'").collect()
     assert max(r.text.count("\n") for r in parts) <= 20  # two lines a document
     assert sum(r.text.count("\n") for r in parts) == 400
+
+
+def test_documents_without_a_language_are_scanned(spark, tmp_path):
+    rows = [(1, "a\nb", "en", "x"), (2, "é", "fr", "x"), (3, "no\nlanguage\né", None, "x"), (4, "none", None, "alone")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["corpus_scan"](spark, str(tmp_path)).collect()}
+    assert got == {("source=x", "other", 2, 1, 5, 18), ("source=alone", "other", 1, 1, 1, 5)}

@@ -169,14 +169,18 @@ def _signatures(size: int, like: Likeness, boundary: int):
 
 
 def _sets(size: int):
+    """Sets of the texts whose content is the wanted one."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
             for a, b, data, offsets in text_slices(batch["text"]):
-                found = list(shingler.sets(data, offsets))
+                wanted = batch["node"].slice(a, b - a).to_pylist()
+                rows = [(n, s) for n, s in zip(wanted, shingler.sets(data, offsets), strict=True) if len(s) and _set_hashes(s)[0] == n]
+                nodes, found = pa.array([n for n, _ in rows], pa.int64()), [s for _, s in rows]
                 columns = [pa.array([s.tobytes() for s in found], pa.binary()), pa.array([sketch(s) for s in found], pa.binary())]
                 sizes = pa.array([len(s) for s in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a), *columns, sizes], ["node", "members", "sketch", "size"])
+                yield pa.RecordBatch.from_arrays([nodes, *columns, sizes], ["node", "members", "sketch", "size"])
 
     return sets
 
@@ -318,7 +322,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, like: Likeness = Likeness(8
     live = stored(live, "lists")
 
     wanted = live.select("node").distinct().join(classes, "node").select("node", F.col("first").alias("doc_id"))
-    # a document may come in several rows: only the row with the wanted content counts
+    # a document may come in several rows: only rows with the wanted content are taken
     chosen = wanted.join(texts, "doc_id").select("node", "text").mapInArrow(_sets(words), "node bigint, members binary, sketch binary, size bigint")
     sets = stored(chosen.dropDuplicates(["node"]), "shingle-sets")
 
@@ -347,7 +351,12 @@ def jaccard_classes(docs: DataFrame, words: int = 5, like: Likeness = Likeness(8
     met = met.select("key", "node", "label", "home", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"))
     grouped = met.join(sets.select("node", "sketch", "size"), "node").groupBy("key", "low", "high")
     pairs = pairs.unionByName(grouped.applyInPandas(_block_pairs(like), "a bigint, b bigint")).distinct()
-    links = stored(links.unionByName(_pairs_linked(pairs, sets, like)).distinct(), "all-links")
+    # the texts of a document that comes with several are connected
+    several = given.groupBy("doc_id").agg(F.min("node").alias("src"), F.max("node").alias("_last")).where("src <> _last")
+    same = given.join(several.select("doc_id", "src"), "doc_id").where("node <> src").select("src", F.col("node").alias("dst"))
+    same = stored(same.distinct(), "same-documents")
+    links = stored(links.unionByName(_pairs_linked(pairs, sets, like)).unionByName(same).distinct(), "all-links")
+    nodes = nodes.unionByName(same.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
     labels = stored(_labels(links, nodes), "all-labels")
 
     named = classes.join(labels, "node", "left").select("node", "check", "first", F.coalesce("label", "node").alias("label"))

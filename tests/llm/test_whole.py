@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import random
 
-from riskloom.llm import line_dedup
-from tests.llm.test_joins import distance, mutate
+from riskloom.llm import line_dedup, ngram_join
+from riskloom.llm.ngram_join import Likeness
+from tests.llm.test_joins import brute_classes, distance, mutate
 
 
 def brute_lines(rows):
@@ -44,3 +45,21 @@ def test_short_lines_are_removed(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "PAIR_LINES", 2)  # small: the block search is used
     monkeypatch.setattr(line_dedup, "BLOCK", 8)
     assert {(r["doc_id"], i) for r in line_dedup.removals(docs).collect() for i in r["removed"]} == expected
+
+
+def twofold_ids():
+    """Ids that come with two texts; one of them, or both, have near copies under other ids."""
+    rng, rows = random.Random(9), []
+    for i in range(12):
+        a, b = ([f"{n}{i}x{rng.randrange(10**6)}" for _ in range(60)] for n in "ab")
+        rows += [(1000 + i, " ".join(a)), (1000 + i, " ".join(b)), (2000 + i, " ".join([*a[:-1], "end"]))]
+        if i % 2:
+            rows.append((500 + i, " ".join([*b[:-1], "end"])))
+    return rows
+
+
+def test_ids_with_two_texts(spark):
+    rows = twofold_ids()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = ngram_join.jaccard_classes(docs, 5, Likeness(80)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_classes(rows, 5, 80))

@@ -32,11 +32,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
+    """One row, that of smallest id, of each group linked by five-word shingles at a similarity of 0.8.
+
+    Rows go by a key of id and text, so rows without an id and several texts of one id take part on their own, and of equal
+    rows one stays. An id comes before none.
+    """
     configure(spark)
-    classes = ngram_join.jaccard_classes(docs, 5, ngram_join.Likeness(80))
-    copies = classes.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(stored(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.select("doc_id", line_dedup.document_key().alias("row"), "text")
+    classes = ngram_join.jaccard_classes(rows.select(F.col("row").alias("doc_id"), "text"), 5, ngram_join.Likeness(80))
+    classes = classes.select(F.col("doc_id").alias("row"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    least = rows.select("doc_id", "row").distinct().join(classes, "row").groupBy("component_id").agg(F.min(order).alias("least"))
+    kept = stored(least.select(F.col("least.row").alias("_row")), "kept")
+    # equal rows are merged before they are dealt out
+    single = docs.withColumn("_row", line_dedup.document_key()).dropDuplicates(["_row"])
+    return single.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+import corpus_pipeline
 from riskloom.llm import line_dedup, ngram_join
+from riskloom.llm.common import table
 from riskloom.llm.ngram_join import Likeness
+from tests.llm.conftest import DOCUMENTS
 from tests.llm.test_joins import brute_classes, distance, mutate
 
 
@@ -63,3 +67,32 @@ def test_ids_with_two_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = ngram_join.jaccard_classes(docs, 5, Likeness(80)).collect()
     assert sorted(map(tuple, got)) == sorted(brute_classes(rows, 5, 80))
+
+
+def test_one_row_of_each_class_stays(spark):
+    rng = random.Random(4)
+    a, b, c, d = ([f"{n}{rng.randrange(10**6)}" for _ in range(40)] for n in "abcd")
+    texts = [(1, a)] * 50 + [(2, [*a[:-1], "end"])] + [(None, b)] * 20 + [(None, [*b[:-1], "end"])] * 2 + [(None, [*a[:-1], "last"])]
+    texts += [(7, c), (7, d), (9, [*c[:-1], "end"]), (3, ["one"])] + [(4, [])] * 2
+    rows = [(i, " ".join(words), "en", "s", 1) for i, words in texts]
+    docs = spark.createDataFrame(rows, DOCUMENTS).repartition(5)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert Counter(r["doc_id"] for r in got) == Counter([1, None, 7, 7, 3, 4])
+    assert {r["text"] for r in got if r["doc_id"] == 7} == {" ".join(c), " ".join(d)}
+
+
+def test_line_and_copy_stages_by_counts(spark, odd_docs):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").where("doc_id > 20 and length(text) < 20000")
+    docs = docs.unionByName(odd_docs.where("length(text) < 20000"))
+    first = [tuple(r) for r in docs.collect()]
+    second = corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(first, docs.schema), "").collect()
+    gone, expected = brute_lines(first), Counter()
+    for doc_id, text, *_ in first:
+        lines = [x for i, x in enumerate(text.split("\n")) if (doc_id, text, i) not in gone]
+        if "".join(lines).strip() or len(lines) == len(text.split("\n")):
+            expected["\n".join(lines), doc_id] += 1
+    assert Counter((r["text"], r["doc_id"]) for r in second) == expected
+    third = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(second, docs.schema), "").collect()
+    distinct = sorted({(r["doc_id"], r["text"]) for r in second}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    classes = brute_classes([(i, text) for i, (_, text) in enumerate(distinct)], 5, 80)
+    assert Counter(r["doc_id"] for r in third) == Counter(distinct[i][0] for i, _, c in classes if c == i)

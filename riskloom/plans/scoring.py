@@ -305,6 +305,46 @@ def spectral_estimates(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("graph_id", "order", F.round("lambda_max", 5).alias("lambda_max"), F.round("lambda_2", 5).alias("lambda_2"))
 
 
+@query(
+    "low_spectrum",
+    f"""WITH {SQL_GRAPHS}
+    SELECT graph_id, least(count(*), 20)::BIGINT AS kept, round(sum(d)::DOUBLE, 4) AS value_sum,
+      round(sum(d * d + d)::DOUBLE, 3) AS square_sum FROM degrees GROUP BY 1 HAVING count(*) <= 20""",
+)
+def low_spectrum(spark: SparkSession, folder: str) -> DataFrame:
+    """The smallest eigenvalues of every graph, held against its traces where they are all there are."""
+    edges, nodes = settled_graphs(spark, folder)
+    low = spectral.low_spectrum(edges, nodes)
+    orders = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("order"))
+    sums = low.groupBy("graph_id").agg(
+        F.max("rank").cast("bigint").alias("kept"),
+        F.round(F.sum("value"), 4).alias("value_sum"),
+        F.round(F.sum(F.col("value") * F.col("value")), 3).alias("square_sum"),
+    )
+    return sums.join(orders.where(F.col("order") <= spectral.KEPT_EIGENVALUES).select("graph_id"), "graph_id")
+
+
+@query("low_eigenvalues")
+def low_eigenvalues(spark: SparkSession, folder: str) -> DataFrame:
+    """(graph_id, rank, value) of the 20 smallest eigenvalues of every graph."""
+    edges, nodes = settled_graphs(spark, folder)
+    return spectral.low_spectrum(edges, nodes).select("graph_id", "rank", F.round("value", 5).alias("value"))
+
+
+@query("fiedler_vectors")
+def fiedler_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """(graph_id, node, value): the second eigenvector of every graph."""
+    edges, nodes = settled_graphs(spark, folder)
+    return spectral.fiedler_vectors(edges, nodes).withColumn("value", F.round("value", 6))
+
+
+@query("graph_energy")
+def graph_energy(spark: SparkSession, folder: str) -> DataFrame:
+    """(graph_id, order, energy, error) of every graph."""
+    edges, nodes = settled_graphs(spark, folder)
+    return spectral.energies(edges, nodes).withColumns({c: F.round(c, 5) for c in ("energy", "error")})
+
+
 _PLAIN_FEATURES = [f for f in spectral.FEATURES if not f.startswith("lambda")]
 
 

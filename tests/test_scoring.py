@@ -112,6 +112,77 @@ def test_extremes_of_large_graphs_converge(spectra):
     assert abs(spectra[21].lambda_max - 31) < 1e-6
 
 
+def frames(spark, found):
+    rows = [(g, min(a, b), max(a, b)) for g, (pairs, _) in found.items() for a, b in pairs]
+    simple = spark.createDataFrame(rows, "graph_id BIGINT, src BIGINT, dst BIGINT").distinct()
+    members = spark.createDataFrame([(g, i) for g, (_, n) in found.items() for i in range(n)], "graph_id BIGINT, node BIGINT")
+    return simple, members
+
+
+def test_low_spectrum_fiedler_and_energy_of_small_graphs(spark, edges, nodes):
+    found = {}
+    for r in spectral.low_spectrum(edges, nodes).orderBy("rank").collect():
+        found.setdefault(r.graph_id, []).append(r.value)
+    entries = {}
+    for r in spectral.fiedler_vectors(edges, nodes).collect():
+        entries.setdefault(r.graph_id, {})[r.node] = r.value
+    energy = {r.graph_id: r for r in spectral.energies(edges, nodes).collect()}
+    for g, (pairs, n) in GRAPHS.items():
+        lap, adjacency = laplacian(pairs, n)
+        values = np.linalg.eigvalsh(lap)
+        assert np.allclose(found[g], values[:20], atol=1e-9)
+        assert math.isclose(energy[g].energy, np.abs(np.linalg.eigvalsh(adjacency)).sum(), abs_tol=1e-9)
+        if n > 1:
+            vector = np.array([entries[g][i] for i in range(n)])
+            assert np.allclose(lap @ vector, values[1] * vector, atol=1e-9) and math.isclose(vector @ vector, 1.0)
+        else:
+            assert g not in entries
+    assert math.isclose(energy[3].energy, 8.0)  # 2 (n - 1) on a complete graph
+
+
+def test_ends_of_large_graphs_against_closed_forms(spark):
+    n = 700
+    shuffled = np.random.default_rng(3).permutation(n).tolist()
+    long_path = [(shuffled[a], shuffled[b]) for a, b in path(n)]
+    found = {1: (long_path, n), 2: (cycle(400), 400), 3: ([(0, i) for i in range(1, 400)], 400)}
+    simple, members = frames(spark, found)
+    values, errors = {}, {}
+    for r in spectral.low_spectrum(simple, members, wanted=4, dense=300).orderBy("rank").collect():
+        values.setdefault(r.graph_id, []).append(r.value)
+        errors.setdefault(r.graph_id, []).append(r.error)
+    closed = {
+        1: [2 - 2 * math.cos(math.pi * k / n) for k in range(4)],
+        2: [2 - 2 * math.cos(2 * math.pi * ((k + 1) // 2) / 400) for k in range(4)],
+        3: [0.0] + [1.0] * 3,
+    }
+    for g, expected in closed.items():
+        assert np.allclose(values[g], expected, atol=2e-5), (g, values[g], expected)
+        assert max(errors[g]) < 1e-2
+
+
+def test_a_large_graph_of_many_components(spark):
+    simple, members = frames(spark, {1: ([(0, 1), (2, 3)], 90)})
+    found = spectral.low_spectrum(simple, members, wanted=3, dense=30).collect()
+    assert len(found) == 3 and all(abs(r.value) < 1e-9 for r in found)
+
+
+def test_fiedler_and_energy_of_large_graphs(spark):
+    rng = np.random.default_rng(5)
+    sides = [(a, b) for s in (0, 80) for a in range(s, s + 80) for b in range(s, a) if rng.random() < 0.2]
+    pairs = [*sides, (3, 90), (7, 130)]
+    simple, members = frames(spark, {1: (pairs, 160)})
+    lap, adjacency = laplacian(pairs, 160)
+    entries = {r.node: r.value for r in spectral.fiedler_vectors(simple, members, dense=40).collect()}
+    vector = np.array([entries[i] for i in range(160)])
+    exact = np.linalg.eigh(lap)[1][:, 1]
+    assert math.isclose(abs(vector @ exact), 1.0, abs_tol=1e-6)
+    energy = spectral.energies(simple, members, dense=40, moments=6).first()
+    assert abs(energy.energy - np.abs(np.linalg.eigvalsh(adjacency)).sum()) <= energy.error < 0.5 * energy.energy
+    ends = spectral.extremes(simple, members, dense=40).first()
+    exact_values = np.linalg.eigvalsh(lap)
+    assert abs(ends.lambda_2 - exact_values[1]) < 1e-5 and abs(ends.lambda_max - exact_values[-1]) < 1e-4
+
+
 def test_triangles_match_a_plain_count(spark, edges, nodes):
     found = {r.graph_id: r.triangles for r in graphs.triangle_counts(edges, nodes).collect()}
     for g, (pairs, n) in GRAPHS.items():

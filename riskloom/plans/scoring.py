@@ -300,8 +300,7 @@ def modularity(spark: SparkSession, folder: str) -> DataFrame:
 def spectral_estimates(spark: SparkSession, folder: str) -> DataFrame:
     """Second-smallest and largest Laplacian eigenvalue of every graph."""
     edges, nodes = settled_graphs(spark, folder)
-    counts = settle(graphs.component_counts(graphs.components(edges, nodes)))
-    found = spectral.extremes(edges, nodes, counts)
+    found = spectral.extremes(edges, nodes)
     return found.select("graph_id", "order", F.round("lambda_max", 5).alias("lambda_max"), F.round("lambda_2", 5).alias("lambda_2"))
 
 

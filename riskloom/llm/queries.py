@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import language, line_dedup, mixing, ngram_join, packing, quality, sharding, token_store, topk, urls
+from riskloom.llm import audit, language, lexical, line_dedup, mixing, ngram_join, packing, ppm, quality, sharding, token_store, topk, urls
 from riskloom.llm.common import documents, shared_dir, stored, table
 from riskloom.llm.tokens import tokenizer_path
 
@@ -200,3 +200,86 @@ def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     counted = stored(mixing.token_counts(documents(spark, folder), "doc_id"), "token-counts")
     plan = mixing.mixing_plan(counted, mixing.Target(evenness=0.95, repetitions=4.0), seed=5)
     return mixing.mixed_sequence(counted, plan, block_tokens=1 << 20, seed=5)
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL
+), k AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0
+), p AS (
+  SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d)
+  GROUP BY ALL
+), f AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS weight
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY term), k
+), q AS (
+  SELECT item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), s AS (
+  SELECT item_id, doc_id,
+    sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // total))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN p USING (term), k GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+@query("op11_lexical_search", OP11_SQL)
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    return lexical.search(documents(spark, folder), table(spark, folder, "benchmark"), 20)
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), least AS (
+  SELECT t, min(doc_id) AS least_id FROM t GROUP BY t
+), m AS (
+  SELECT part, doc_id,
+    (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * len(regexp_extract_all(t.t, '[A-Z]')) > 3 * length(t.t))::INT
+    + 8 * regexp_matches(t.t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least_id, false)::INT AS mask
+  FROM t JOIN least USING (t)
+), n AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+  FROM m LEFT JOIN labels USING (doc_id) GROUP BY ALL
+), one AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS one(f, bit)
+), orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM one a JOIN one b ON b.f <> a.f JOIN one c ON c.f NOT IN (a.f, b.f) JOIN one d ON d.f NOT IN (a.f, b.f, c.f)
+  JOIN one e ON e.f NOT IN (a.f, b.f, c.f, d.f)
+), steps AS (
+  SELECT filter_order, i::INT AS step, bits[i] AS bit, coalesce(list_sum(bits[1:i - 1]), 0)::INT AS earlier
+  FROM orders, range(1, 6) r(i)
+), found AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & earlier = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & earlier > 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & earlier = 0 AND mask & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & earlier = 0 AND mask & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM n, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM found
+"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters keep, remove and lose, in all their orders."""
+    return audit.audit(documents(spark, folder), table(spark, folder, "labels"))
+
+
+@query("op13_ppm_scores")
+def op13_ppm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probability of every document under a byte model and under word frequencies."""
+    return ppm.scores(documents(spark, folder))

@@ -60,78 +60,76 @@ def units(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "doc_id", "part", "key", (F.col("n.words") < LEAST_WORDS).alias("A"),
         (100 * F.col("n.distinct_words") < LEAST_DISTINCT * F.col("n.words")).alias("B"), "C", "D",
     )
-    facts = stored(facts.groupBy("doc_id", "part", "key", "A", "B", "C", "D").agg(F.count(F.lit(1)).alias("rows")), "audit-facts")
+    facts = facts.groupBy("doc_id", "part", "key", "A", "B", "C", "D").agg(F.count(F.lit(1)).alias("rows"))
+    facts = stored(facts.withColumn("unit", F.monotonically_increasing_id()), "audit-facts")
     # texts of several ids: rows of all but the smallest one fail
     several = facts.groupBy("key").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most"), F.max(F.col("doc_id").isNull()).alias("_none"))
     several = several.where("_least <> _most or (_none and _least is not null)").select("key", "_least")
-    copies = join_many_to_one(facts.select("doc_id", "part", "key"), several, "key", ["doc_id", "part"])
-    failing = copies.where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("_least"))).select(
-        F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "key", "part")).alias("unit")
-    )
+    copies = join_many_to_one(facts.select("doc_id", "unit", "key"), several, "key", ["unit"])
+    failing = copies.where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("_least"))).select("unit", F.lit(True).alias("_copy"))
     rated = labels.where("doc_id is not null").groupBy("doc_id").agg(
         F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic")
     )
-    whole = facts.join(rated, "doc_id", "left")
-    name = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "key", "part"))
-    whole = whole.select(
-        name.alias("unit"), "part", "rows", *[(F.col("rows") * F.coalesce(c, F.lit(0))).alias(c) for c in ("good", "toxic")], *"ABCD"
-    )
-    whole = stored(whole, "audit-units")
-    return whole.join(stored(failing, "audit-copies").withColumn("_copy", F.lit(True)), "unit", "left").select(
-        "unit", "part", *MEASURES, *"ABCD", F.coalesce("_copy", F.lit(False)).alias("E")
-    )
-
-
-def _sums() -> list[Column]:
-    return [F.sum(m).alias(m) for m in MEASURES]
+    counts = [(F.col("rows") * F.coalesce(c, F.lit(0))).alias(c) for c in ("good", "toxic")]
+    whole = facts.join(rated, "doc_id", "left").select("unit", "part", "rows", *counts, *"ABCD")
+    return whole.join(failing, "unit", "left").select("unit", "part", *MEASURES, *"ABCD", F.coalesce("_copy", F.lit(False)).alias("E"))
 
 
 def _bits(members: Sequence[str]) -> int:
     return sum(1 << FILTERS.index(f) for f in members)
 
 
-def relations(rated: DataFrame) -> dict[str, DataFrame]:
-    """One table per filter: the units that fail it."""
-    return {f: stored(rated.where(f).select("unit", "part", *MEASURES), f"audit-fails-{f}") for f in FILTERS}
+def relations(rated: DataFrame) -> DataFrame:
+    """The units that fail each filter ``(filter, unit, part, rows)``, one folder per filter."""
+    tables = [stored(rated.where(f).select("unit", "part", "rows"), f"audit-fails-{f}") for f in FILTERS]
+    whole = tables[0].select(F.lit(FILTERS[0]).alias("filter"), "unit", "part", "rows")
+    for f, one in zip(FILTERS[1:], tables[1:], strict=True):
+        whole = whole.unionByName(one.select(F.lit(f).alias("filter"), "unit", "part", "rows"))
+    return whole
+
+
+def _open_filters(before: Column) -> Column:
+    """The filters outside a set, with their bits."""
+    bits = F.array(*[F.struct(F.lit(f).alias("filter"), F.lit(_bits(f)).alias("bit")) for f in FILTERS])
+    return F.filter(bits, lambda x: before.bitwiseAND(x["bit"]) == 0)
+
+
+def _sets_without(f: str, size: int) -> Column:
+    return F.array(*[F.lit(_bits(s)) for s in combinations([x for x in FILTERS if x != f], size)])
 
 
-def lattice(rated: DataFrame, fails: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+def lattice(rated: DataFrame, fails: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(survivors, steps): per part, what is left after each set of filters, and what each filter finds after each set.
 
-    ``survivors (before, part, rows, good, toxic)``; ``steps (before, filter, part, removed, good, toxic, redundant)``.
+    ``survivors (before, part, rows)``; ``steps (before, filter, part, removed, good, toxic, redundant)``. The sets of one size
+    are one table and take three joins, whatever the number of orders.
     """
+    ids = fails.select("filter", "unit")
     level = rated.select(F.lit(0).alias("before"), "unit", "part", *MEASURES)
     left, found = [], []
     for size in range(len(FILTERS) + 1):
         level = stored(level, f"audit-level-{size}")
-        left.append(level.groupBy("before", "part").agg(*_sums()))
+        left.append(stored(level.groupBy("before", "part").agg(F.sum("rows").alias("rows")), f"audit-left-{size}"))
         if size == len(FILTERS):
             break
-        after = []
-        for f in FILTERS:
-            bit = _bits(f)
-            open_sets = [_bits(s) for s in combinations([x for x in FILTERS if x != f], size)]
-            here = level.where((F.col("before").bitwiseAND(bit)) == 0)
-            ids = fails[f].select("unit")
-            removed = here.join(ids, "unit", "left_semi").groupBy("before", "part").agg(*_sums())
-            found.append(removed.select("before", F.lit(f).alias("filter"), "part", F.col("rows").alias("removed"), "good", "toxic"))
-            if size:
-                tried = fails[f].select("unit", "part", "rows", F.explode(F.array(*map(F.lit, open_sets))).alias("before"))
-                gone = tried.join(here.select("unit", "before"), ["unit", "before"], "left_anti").groupBy("before", "part")
-                found.append(gone.agg(F.sum("rows").alias("redundant")).withColumn("filter", F.lit(f)))
-            # each set is made once: by its last filter
-            grown = here.where(F.col("before") < bit).join(ids, "unit", "left_anti")
-            after.append(grown.withColumn("before", F.col("before").bitwiseOR(bit)))
-        level = after[0]
-        for one in after[1:]:
-            level = level.unionByName(one)
+        tried = level.withColumn("f", F.explode(_open_filters(F.col("before")))).select("before", "unit", "part", *MEASURES, "f.*")
+        removed = tried.join(ids, ["unit", "filter"], "left_semi").groupBy("before", "filter", "part")
+        found.append(stored(removed.agg(F.sum("rows").alias("removed"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic")), f"audit-removed-{size}"))
+        if size:
+            sets = F.coalesce(*[F.when(F.col("filter") == f, _sets_without(f, size)) for f in FILTERS])
+            failing = fails.withColumn("before", F.explode(sets))
+            gone = failing.join(level.select("unit", "before"), ["unit", "before"], "left_anti").groupBy("before", "filter", "part")
+            found.append(stored(gone.agg(F.sum("rows").alias("redundant")), f"audit-redundant-{size}"))
+        # each set is made once: by its last filter
+        grown = tried.where(F.col("before") < F.col("bit")).join(ids, ["unit", "filter"], "left_anti")
+        level = grown.select(F.col("before").bitwiseOR(F.col("bit")).alias("before"), "unit", "part", *MEASURES)
     survivors, steps = left[0], found[0]
     for one in left[1:]:
         survivors = survivors.unionByName(one)
     for one in found[1:]:
         steps = steps.unionByName(one, allowMissingColumns=True)
-    steps = steps.groupBy("before", "filter", "part").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("removed", "good", "toxic", "redundant")])
-    return stored(survivors, "audit-survivors"), stored(steps, "audit-steps")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("removed", "good", "toxic", "redundant")]
+    return survivors, stored(steps.groupBy("before", "filter", "part").agg(*sums), "audit-steps")
 
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -89,9 +89,8 @@ def relations(rated: DataFrame) -> DataFrame:
 
 
 def _open_filters(before: Column) -> Column:
-    """The filters outside a set, with their bits."""
-    bits = F.array(*[F.struct(F.lit(f).alias("filter"), F.lit(_bits(f)).alias("bit")) for f in FILTERS])
-    return F.filter(bits, lambda x: before.bitwiseAND(x["bit"]) == 0)
+    """The bits of the filters outside a set."""
+    return F.filter(F.array(*[F.lit(_bits(f)) for f in FILTERS]), lambda x: before.bitwiseAND(x) == 0)
 
 
 def _sets_without(f: str, size: int) -> Column:
@@ -102,9 +101,11 @@ def lattice(rated: DataFrame, fails: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(survivors, steps): per part, what is left after each set of filters, and what each filter finds after each set.
 
     ``survivors (before, part, rows)``; ``steps (before, filter, part, removed, good, toxic, redundant)``. The sets of one size
-    are one table and take three joins, whatever the number of orders.
+    are one table and take three joins, whatever the number of orders. Both sides grow with the documents, so all are sort-merge
+    joins: relations that happen to be small are not sent through the driver.
     """
-    ids = fails.select("filter", "unit")
+    fails = fails.withColumn("bit", F.expr(f"shiftleft(1, instr('{FILTERS}', filter) - 1)"))
+    ids = fails.select("bit", "unit").hint("merge")
     level = rated.select(F.lit(0).alias("before"), "unit", "part", *MEASURES)
     left, found = [], []
     for size in range(len(FILTERS) + 1):
@@ -112,16 +113,16 @@ def lattice(rated: DataFrame, fails: DataFrame) -> tuple[DataFrame, DataFrame]:
         left.append(stored(level.groupBy("before", "part").agg(F.sum("rows").alias("rows")), f"audit-left-{size}"))
         if size == len(FILTERS):
             break
-        tried = level.withColumn("f", F.explode(_open_filters(F.col("before")))).select("before", "unit", "part", *MEASURES, "f.*")
-        removed = tried.join(ids, ["unit", "filter"], "left_semi").groupBy("before", "filter", "part")
+        tried = level.withColumn("f", F.explode(_open_filters(F.col("before")))).select("before", "unit", "part", *MEASURES, F.col("f").alias("bit"))
+        removed = tried.join(ids, ["unit", "bit"], "left_semi").groupBy("before", "bit", "part")
         found.append(stored(removed.agg(F.sum("rows").alias("removed"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic")), f"audit-removed-{size}"))
         if size:
             sets = F.coalesce(*[F.when(F.col("filter") == f, _sets_without(f, size)) for f in FILTERS])
             failing = fails.withColumn("before", F.explode(sets))
-            gone = failing.join(level.select("unit", "before"), ["unit", "before"], "left_anti").groupBy("before", "filter", "part")
+            gone = failing.join(level.select("unit", "before").hint("merge"), ["unit", "before"], "left_anti").groupBy("before", "bit", "part")
             found.append(stored(gone.agg(F.sum("rows").alias("redundant")), f"audit-redundant-{size}"))
         # each set is made once: by its last filter
-        grown = tried.where(F.col("before") < F.col("bit")).join(ids, ["unit", "filter"], "left_anti")
+        grown = tried.where(F.col("before") < F.col("bit")).join(ids, ["unit", "bit"], "left_anti")
         level = grown.select(F.col("before").bitwiseOR(F.col("bit")).alias("before"), "unit", "part", *MEASURES)
     survivors, steps = left[0], found[0]
     for one in left[1:]:
@@ -129,6 +130,7 @@ def lattice(rated: DataFrame, fails: DataFrame) -> tuple[DataFrame, DataFrame]:
     for one in found[1:]:
         steps = steps.unionByName(one, allowMissingColumns=True)
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("removed", "good", "toxic", "redundant")]
+    steps = steps.withColumn("filter", F.element_at(F.array(*map(F.lit, FILTERS)), F.expr("length(bin(bit))")))
     return survivors, stored(steps.groupBy("before", "filter", "part").agg(*sums), "audit-steps")
 
 

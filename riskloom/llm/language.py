@@ -16,18 +16,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.functions import ArrowUDFType
 
 from riskloom.llm.tokens import batches_by_size, release_encoders
 
 BUCKET_BITS = 15
-WORD_LIMIT = 500_000  # scored words kept per task; beyond it the table starts anew
+WORD_LIMIT, CHAR_LIMIT = 500_000, 1 << 23  # scored words kept per task, and their characters; beyond them the table starts anew
 BATCH_CHARS = 1 << 22
 SWITCH_PENALTY = 12.0
 UNKNOWN = "und"
@@ -111,8 +111,10 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, sample_docs: int = 8_000, script_share: float = 0.01) -> Model:
     """Learn from ``(text, lang)`` rows where both are given."""
     given = labelled.select("text", "lang").where("lang is not null")
-    # one number per language comes to the driver, as the model itself does, so that no text is dealt out by language
-    counts = {r["lang"]: r["n"] for r in given.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # one number per language comes to the driver, as the model itself does, so that no text is dealt out by language;
+    # copies count once, so a language of few texts with many copies keeps its share of the sample
+    distinct = given.where("text is not null").select("lang", F.xxhash64("text").alias("h")).distinct()
+    counts = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model([], np.zeros((1 << BUCKET_BITS, 0)), np.zeros((len(SCRIPTS), 0), bool))
     shares = [F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, sample_docs / len(counts) / n)]
@@ -146,6 +148,7 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
+        self.held = 0
         self.numbers = _Words()
         self.scores = np.zeros((0, len(self.model.languages)), np.float32)
         self.letters = np.zeros(0, np.int64)
@@ -154,7 +157,9 @@ class Scorer:
         known = len(self.letters)
         if known == len(self.numbers):
             return
-        words = [letters_of(w) for w in list(self.numbers)[known:]]
+        fresh = list(islice(reversed(self.numbers), len(self.numbers) - known))[::-1]
+        self.held += sum(map(len, fresh))
+        words = [letters_of(w) for w in fresh]
         real = np.array([bool(w) for w in words])
         scores = np.zeros((len(words), len(self.model.languages)), np.float32)
         if real.any():
@@ -172,7 +177,7 @@ class Scorer:
 
     def look_up(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts that have letters' place in the tables, and the number of words per text."""
-        if len(self.numbers) > WORD_LIMIT:
+        if len(self.numbers) > WORD_LIMIT or self.held > CHAR_LIMIT:
             self._clear()
         words = [t.split() if t else [] for t in texts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
@@ -231,28 +236,30 @@ def _span_rows(labels: np.ndarray, letters: np.ndarray, counts: np.ndarray, name
 SPAN_TYPE = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32()), ("letters", pa.int64())]))
 
 
-def _labeller(model: Model, kept: list[str], penalty: float, spans: bool):
+def _labeller(model: Model, penalty: float, spans: bool):
     names = model.languages
+    kinds = [("lang_pred", pa.string()), ("score", pa.float64()), *[("spans", SPAN_TYPE)] * spans]
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def label(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         release_encoders()
         scorer = Scorer(model)
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            for a, b in batches_by_size(texts, BATCH_CHARS):
-                numbers, counts = scorer.look_up(texts[a:b] if names else [None] * (b - a))
+        for column in columns:
+            parts = []
+            for a, b in batches_by_size(column.to_pylist(), BATCH_CHARS):
+                texts = column.slice(a, b - a).to_pylist()
+                numbers, counts = scorer.look_up(texts if names else [None] * (b - a))
                 labels = viterbi(scorer.scores[numbers], counts, penalty)
                 letters = scorer.letters[numbers]
                 owner = np.repeat(np.arange(b - a), counts)
                 shares = np.zeros((b - a, max(1, len(names))))
                 np.add.at(shares, (owner, labels), letters)
                 best, total = shares.argmax(axis=1), shares.sum(axis=1)
-                columns = [batch[c].slice(a, b - a) for c in kept]
-                columns.append(pa.array([names[i] if t else UNKNOWN for i, t in zip(best, total, strict=True)], pa.string()))
-                columns.append(pa.array(shares.max(axis=1) / np.maximum(total, 1), pa.float64()))
+                own = [pa.array([names[i] if t else UNKNOWN for i, t in zip(best, total, strict=True)], pa.string())]
+                own.append(pa.array(shares.max(axis=1) / np.maximum(total, 1), pa.float64()))
                 if spans:
-                    columns.append(_span_rows(labels, letters, counts, names).cast(SPAN_TYPE))
-                yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score", *["spans"] * spans])
+                    own.append(_span_rows(labels, letters, counts, names).cast(SPAN_TYPE))
+                parts.append(pa.StructArray.from_arrays(own, [n for n, _ in kinds]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(kinds))
 
     return label
 
@@ -260,11 +267,12 @@ def _labeller(model: Model, kept: list[str], penalty: float, spans: bool):
 def predict(
     docs: DataFrame, model: Model, keep: Sequence[str] | None = None, penalty: float = SWITCH_PENALTY, spans: bool = False
 ) -> DataFrame:
-    """Add lang_pred and score (and, if asked, the labelled spans in order) to the ``keep`` columns (all by default)."""
+    """Add lang_pred and score (and, if asked, the labelled spans in order) to the ``keep`` columns (all by default).
+
+    Texts go to Python once and do not come back: the other columns stay where they are.
+    """
     new = ["lang_pred", "score", *["spans"] * spans]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    schema = StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double")
-    if spans:
-        span = StructType().add("lang", "string").add("words", "integer").add("letters", "long")
-        schema = schema.add("spans", ArrayType(span))
-    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(_labeller(model, kept, penalty, spans), schema)
+    schema = "lang_pred string, score double" + ", spans array<struct<lang: string, words: int, letters: bigint>>" * spans
+    label = F.arrow_udf(_labeller(model, penalty, spans), schema, ArrowUDFType.SCALAR_ITER)
+    return docs.withColumn("_found", label(F.col("text"))).select(*kept, *[F.col(f"_found.{n}").alias(n) for n in new])

@@ -309,10 +309,16 @@ def near_lines(docs: DataFrame, firsts: DataFrame, reach: Reach) -> DataFrame:
     live = stored(met.groupBy("key", "line_id").agg(F.max("entered").alias("entered")), "line-keys")
     sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     wanted = live.select("line_id").distinct().join(firsts, "line_id")
-    places = wanted.select("line_id", "first", F.col("first.document").alias("document"), F.col("first.line_no").alias("_no"))
-    whole = docs.select(document_key().alias("document"), "text").join(places, "document")
-    line = F.trim(F.get(F.split("text", "\n"), F.col("_no")), F.lit(TRIMMED))
-    texts = stored(whole.select("line_id", "first", line.alias("line")).dropDuplicates(["line_id"]), "line-texts")
+    # a document is split once for all of its wanted lines, and rows equal in id and text stand for one
+    place = F.struct("line_id", "first", F.col("first.line_no").alias("_no"))
+    places = wanted.select(F.col("first.document").alias("document"), place.alias("p")).groupBy("document").agg(F.collect_list("p").alias("places"))
+    whole = docs.select(document_key().alias("document"), "text").join(places, "document").dropDuplicates(["document"])
+
+    def fetched(lines: Column) -> Column:
+        line = lambda p: F.trim(F.get(lines, p["_no"]), F.lit(TRIMMED))
+        return F.transform("places", lambda p: F.struct(p["line_id"].alias("line_id"), p["first"].alias("first"), line(p).alias("line")))
+
+    texts = stored(whole.select(F.inline(let(F.split("text", "\n"), fetched))), "line-texts")
 
     few = live.join(sizes.where(F.col("n") <= PAIR_LINES).select("key"), "key")
     one = few.where("entered").select("key", F.col("line_id").alias("x"))

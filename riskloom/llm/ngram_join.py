@@ -281,6 +281,18 @@ def _labels(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return labelled.select("node", "label")
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links: components of the labels that these join, the others stay as they are."""
+    one, two = (labels.select(F.col("node").alias(n), F.col("label").alias(f"label_{n}")) for n in ("src", "dst"))
+    ends = links.join(one, "src").join(two, "dst").where("label_src <> label_dst")
+    joins = stored(ends.select(F.least("label_src", "label_dst").alias("src"), F.greatest("label_src", "label_dst").alias("dst")).distinct(), "label-links")
+    if joins.isEmpty():
+        return labels
+    roots = _labels(joins, joins.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    moved = labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
+    return stored(moved.select("node", F.coalesce("root", "label").alias("label")), "labels")
+
+
 def _pairs_linked(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """Links among pairs ``(a, b)``: by the sketches first, then by the sets of those that are left."""
 
@@ -328,17 +340,20 @@ def jaccard_classes(docs: DataFrame, words: int = 5, like: Likeness = Likeness(8
 
     # members against one member of their list: the least node first, then the least of a component drawn by hash
     stars = live.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_pairs_linked(stars, sets, like), "links")
-    nodes = live.select("node").distinct()
-    labels = stored(_labels(links, nodes), "labels")
+    # the texts of a document that comes with several are connected
+    several = given.groupBy("doc_id").agg(F.min("node").alias("src"), F.max("node").alias("_last")).where("src <> _last")
+    same = given.join(several.select("doc_id", "src"), "doc_id").where("node <> src").select("src", F.col("node").alias("dst"))
+    same = stored(same.distinct(), "same-documents")
+    nodes = live.select("node").unionByName(same.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
+    labels = stored(nodes.withColumn("label", F.col("node")), "nodes")
+    labels = _merged(labels, _pairs_linked(stars, sets, like).unionByName(same))
     for turn in range(MORE_STARS):
         open_lists = stored(_open_lists(live, labels), "open-lists")
         drawn = F.struct(F.xxhash64(F.lit(turn), "label").alias("h"), "label", "node")
         heads = open_lists.groupBy("key").agg(F.min(drawn).alias("_h")).select("key", F.col("_h.node").alias("a"), F.col("_h.label").alias("_l"))
         met = open_lists.join(heads, "key").where("label <> _l")
         stars = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        links = stored(links.unionByName(_pairs_linked(stars, sets, like)), "links")
-        labels = stored(_labels(links, nodes), "labels")
+        labels = _merged(labels, _pairs_linked(stars, sets, like))
 
     # what lists still hold several components: every pair of different ones
     open_lists = stored(_open_lists(live, labels), "open-lists")
@@ -351,13 +366,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, like: Likeness = Likeness(8
     met = met.select("key", "node", "label", "home", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"))
     grouped = met.join(sets.select("node", "sketch", "size"), "node").groupBy("key", "low", "high")
     pairs = pairs.unionByName(grouped.applyInPandas(_block_pairs(like), "a bigint, b bigint")).distinct()
-    # the texts of a document that comes with several are connected
-    several = given.groupBy("doc_id").agg(F.min("node").alias("src"), F.max("node").alias("_last")).where("src <> _last")
-    same = given.join(several.select("doc_id", "src"), "doc_id").where("node <> src").select("src", F.col("node").alias("dst"))
-    same = stored(same.distinct(), "same-documents")
-    links = stored(links.unionByName(_pairs_linked(pairs, sets, like)).unionByName(same).distinct(), "all-links")
-    nodes = nodes.unionByName(same.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
-    labels = stored(_labels(links, nodes), "all-labels")
+    labels = _merged(labels, _pairs_linked(pairs, sets, like))
 
     named = classes.join(labels, "node", "left").select("node", "check", "first", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))

@@ -1,10 +1,11 @@
 """Best-fit packing of token pieces into sequences, by rounds of local packing and merging.
 
-Every task packs its own items best-fit (largest first) into bins, emits the nearly full ones, and passes the underfull
-ones on as items of the next round, which has an eighth of the tasks; the last round has one. A task passes on at most
-an eighth of what a task may hold, the emptiest bins first, and emits the rest as they are, so no task ever holds more than
-``TASK_ITEMS`` items, however many rows there are and whatever their sizes. Each round is written to the shared folder
-before the next one reads it, so a lost executor cannot mix two different packings.
+Every task packs its own items best-fit (largest first) into bins. Nearly full bins leave; the underfull ones go on as items of the
+next round, the emptier half of them taken apart into their pieces. Bins of small pieces only are full in every task, while other
+tasks lack small pieces to fill up large ones; so a task also holds some of those back, an eighth of its items at most. The
+next round has as many tasks as its items need, and the last one has one. Where a round leaves nearly as many items as it got,
+the next one asks less of a bin that leaves, down to half of its room; two bins below that always merge, so the rounds end.
+Each round is written to the shared folder before the next one reads it, so a lost executor cannot mix two different packings.
 
 Defined cases: null and empty texts are one piece of the end id only; repeated rows are packed each on its own; an empty table
 gives no rows. Columns other than ``doc_id`` and ``text`` are ignored.
@@ -26,8 +27,9 @@ from riskloom.llm.token_store import end_with
 from riskloom.llm.tokens import batches_by_size, shared_encoder
 
 TASK_ITEMS = 100_000
-FAN = 8
-NEARLY_FULL = (0.995, 0.98, 0.93, 0.8)  # by round; later rounds emit from half full
+HELD_BACK = 8  # one item in so many may be held back from full bins
+NEARLY_FULL = (0.995, 0.98, 0.93, 0.8, 0.5)
+STALLED = 0.8  # a round that leaves more of its items makes the next one ask less of a bin
 PIECES_DDL = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 BINS_DDL = "done boolean, size int, sequence_id bigint, items binary, sizes binary"
 
@@ -94,30 +96,44 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _packer(capacity: int, level: int, last: bool):
-    full = capacity if last else int(np.ceil(capacity * (NEARLY_FULL[level] if level < len(NEARLY_FULL) else 0.5)))
+def _packer(capacity: int, level: int, strictness: int, last: bool):
+    full = 0 if last else int(np.ceil(capacity * NEARLY_FULL[strictness]))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [row for batch in batches for row in zip(*(batch[c].to_pylist() for c in ("size", "items", "sizes")), strict=True)]
         rows.sort(key=lambda row: (-row[0], row[1]))
-        packed = []
+        closed, under, small = [], [], []
         for members in best_fit([row[0] for row in rows], capacity):
-            packed.append((sum(rows[i][0] for i in members), b"".join(rows[i][1] for i in members), b"".join(rows[i][2] for i in members)))
-        packed.sort(key=lambda row: (row[0], row[1]))
-        under = sum(row[0] < full for row in packed)
-        kept = 0 if last else min(under, TASK_ITEMS // FAN)
+            size = sum(rows[i][0] for i in members)
+            bin_ = (size, b"".join(rows[i][1] for i in members), b"".join(rows[i][2] for i in members))
+            largest = rows[members[0]][0]  # members come largest first
+            if size < full:
+                under.append(bin_)
+            elif not last and 2 * largest <= capacity:
+                small.append((largest, bin_))
+            else:
+                closed.append(bin_)
+        under.sort()
+        apart, onward = under[: len(under) // 2], under[len(under) // 2 :]
+        room = len(rows) // HELD_BACK
+        for _, bin_ in sorted(small):
+            pieces = len(bin_[1]) // 8
+            if pieces <= room:
+                room -= pieces
+                apart.append(bin_)
+            else:
+                closed.append(bin_)
+        for _, items, sizes in apart:
+            onward += [(int.from_bytes(sizes[4 * i : 4 * i + 4], "little"), items[8 * i : 8 * i + 8], sizes[4 * i : 4 * i + 4]) for i in range(len(items) // 8)]
         base = (level << 56) + (TaskContext.get().partitionId() << 32)
-        for a in range(0, len(packed), 10_000):
-            part = packed[a : a + 10_000]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "done": pa.array([a + i >= kept for i in range(len(part))], pa.bool_()),
-                    "size": pa.array([row[0] for row in part], pa.int32()),
-                    "sequence_id": pa.array([base + a + i for i in range(len(part))], pa.int64()),
-                    "items": pa.array([row[1] for row in part], pa.binary()),
-                    "sizes": pa.array([row[2] for row in part], pa.binary()),
-                }
-            )
+        every = [(True, *row) for row in closed] + [(False, *row) for row in onward]
+        for a in range(0, len(every), 10_000):
+            done, size, items, sizes = zip(*every[a : a + 10_000], strict=True)
+            arrays = [
+                pa.array(done, pa.bool_()), pa.array(size, pa.int32()), pa.array(base + a + np.arange(len(done)), pa.int64()),
+                pa.array(items, pa.binary()), pa.array(sizes, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["done", "size", "sequence_id", "items", "sizes"])
 
     return pack
 
@@ -161,15 +177,17 @@ def pack_items(items: DataFrame, capacity: int, task_items: int = TASK_ITEMS) ->
         "item", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
     )
     open_bins = items.where(F.col("size") < capacity).mapInArrow(_single_items, "size int, items binary, sizes binary")
-    tasks, level, closed = max(1, -(-total // task_items)), 0, []
+    level, strictness, closed = 0, 0, []
     while True:
+        tasks = max(1, -(-total // task_items))
         dealt = open_bins.repartition(1) if tasks == 1 else open_bins.repartition(tasks, F.xxhash64("items"))
-        packed = stored(dealt.mapInArrow(_packer(capacity, level, tasks == 1), BINS_DDL), f"bins-{level}")
+        packed = stored(dealt.mapInArrow(_packer(capacity, level, strictness, tasks == 1), BINS_DDL), f"bins-{level}")
         closed.append(packed.where("done").select("sequence_id", "items", "sizes"))
         if tasks == 1:
             break
         open_bins = packed.where("not done").select("size", "items", "sizes")
-        tasks, level = -(-tasks // FAN), level + 1
+        before, total, level = total, open_bins.count(), level + 1
+        strictness = min(strictness + (total > STALLED * before), len(NEARLY_FULL) - 1)
     placed = alone
     for bins in closed:
         placed = placed.unionByName(bins.mapInArrow(_places, "item bigint, sequence_id bigint, offset bigint"))

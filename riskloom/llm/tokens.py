@@ -25,7 +25,7 @@ PLAIN = re.compile(rf"[{LETTERS}]+\Z")
 PIECES = re.compile(
     rf" ?[{LETTERS}]+(?=[\n{MARKS}]|\Z)|[{MARKS}]+(?=\n|\Z)|(?<=[{LETTERS}{MARKS}])\n(?=[{LETTERS}])|.+", re.DOTALL
 )
-WORD_LIMIT = 1_000_000  # words kept per worker; beyond it the table starts anew, so memory stays bounded
+WORD_LIMIT, CHAR_LIMIT = 1_000_000, 1 << 24  # words kept per worker, and their characters; beyond them the table starts anew
 
 
 def byte_letters() -> list[str]:
@@ -69,6 +69,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
+        self.held = 0
         self.numbers = _Numbers()
         self.flat, self.ends = np.empty(1 << 16, np.uint32), np.zeros(1, np.int64)
         self.edge = np.zeros(0, np.int8)
@@ -108,6 +109,7 @@ class Encoder:
         if known == len(self.numbers):
             return
         words = list(self.numbers)[known:] if known == 0 else list(islice(reversed(self.numbers), len(self.numbers) - known))[::-1]
+        self.held += sum(map(len, words))
         fresh = [self._word(word) for word in words]
         ends = self.ends[-1] + np.cumsum([len(ids) for ids in fresh])
         if ends[-1] > len(self.flat):
@@ -132,7 +134,7 @@ class Encoder:
                 gc.enable()
 
     def _encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.numbers) > WORD_LIMIT:
+        if len(self.numbers) > WORD_LIMIT or self.held > CHAR_LIMIT:
             self._clear()
         words = [t.split(" ") if t else [] for t in texts]
         for own in words:

@@ -339,7 +339,8 @@ def test_mixed_documents_keep_their_columns(clashing, odd_rows, no_docs, spark):
 def test_pipeline_against_plain_steps(spark, odd_docs):
     """Stage results held against plain Python where their method allows, on the small table with odd rows added."""
     import corpus_pipeline
-    from tests.llm.test_joins import brute_classes, brute_removed
+    from tests.llm.test_joins import brute_classes
+    from tests.llm.test_whole import brute_lines
 
     docs = table(spark, FOLDER, "documents").where("doc_id > 20").unionByName(odd_docs)
     before = docs.collect()
@@ -349,7 +350,7 @@ def test_pipeline_against_plain_steps(spark, odd_docs):
     docs = spark.createDataFrame(first, docs.schema)
     second = corpus_pipeline.drop_repeated_lines(spark, docs, FOLDER).collect()
     rows = [(r["doc_id"], r["text"]) for r in first if r["doc_id"] != 5]
-    gone = brute_removed([r for r in rows if len(r[1]) < 20_000], 24, 2)
+    gone = brute_lines([r for r in rows if len(r[1]) < 20_000])
     kept = {r["doc_id"]: r["text"] for r in second}
     for doc_id, text in rows:
         lines = [x for i, x in enumerate(text.split("\n")) if (doc_id, text, i) not in gone]

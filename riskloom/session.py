@@ -18,6 +18,8 @@ PREFERRED_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows of long texts: batches to Python are bounded in bytes, not only in rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 # Stream state beyond the memory of the executors; a local session has no use for it.

@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 
-from riskloom.llm.tokens import batches_by_size, release_encoders
+from riskloom.llm.tokens import release_encoders, text_ranges
 
 BUCKET_BITS = 15
-WORD_LIMIT, CHAR_LIMIT = 500_000, 1 << 23  # scored words kept per task, and their characters; beyond them the table starts anew
-BATCH_CHARS = 1 << 22
+WORD_LIMIT, CHAR_LIMIT = 250_000, 1 << 22  # scored words kept per task, and their characters; beyond them the table starts anew
+BATCH_CHARS = 1 << 20
 SWITCH_PENALTY = 12.0
 UNKNOWN = "und"
 # Where a script's range of code points begins, up to the next entry; "" is no particular script.
@@ -245,8 +245,7 @@ def _labeller(model: Model, penalty: float, spans: bool):
         scorer = Scorer(model)
         for column in columns:
             parts = []
-            for a, b in batches_by_size(column.to_pylist(), BATCH_CHARS):
-                texts = column.slice(a, b - a).to_pylist()
+            for a, b, texts in text_ranges(column, BATCH_CHARS):
                 numbers, counts = scorer.look_up(texts if names else [None] * (b - a))
                 labels = viterbi(scorer.scores[numbers], counts, penalty)
                 letters = scorer.letters[numbers]

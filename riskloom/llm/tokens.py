@@ -8,15 +8,19 @@ Both ways give the same ids (``tests/llm/test_tokens.py``).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import re
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"  # letters that no normalization rule changes beyond lower case
 MARKS = ".,;:?!"
@@ -175,10 +179,14 @@ def shared_encoder(path: str) -> Encoder:
 
 
 def release_encoders() -> None:
-    """Drop the word tables of this worker: tasks of other operators call it, so that the tables do not add up."""
+    """Drop the word tables of this worker and hand their memory back: tasks of other operators call it, so that the tables do not add up."""
     module = sys.modules.get("tokenizers")
     if module is not None:
         vars(module).pop("_riskloom_encoders", None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def gather(flat: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,6 +209,15 @@ def batches_by_size(texts: Sequence[str | None], limit: int = 1 << 21) -> list[t
     return ranges
 
 
+def text_ranges(column: pa.Array, limit: int) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of rows of a text column of about ``limit`` bytes each, with their texts; only one range is held at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes.astype(np.int64)) // limit
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(column)], strict=True):
+        yield a, b, column.slice(a, b - a).to_pylist()
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a vocabulary file of the installed package of public tokenizers."""
     import public_tokenizers

@@ -12,12 +12,12 @@ from riskloom.session import shared_dir
 from riskloom.sources import files, store
 from riskloom.sources.tables import table
 
-PART_ROWS = 2_000  # documents of a part: far below the 2 GB that one value can hold
+PART_ROWS, PART_BYTES = 2_000, 1 << 29  # of a part at most: far below the 2 GB that one value can hold
 
 
 @query(
     "corpus_scan",
-    """WITH written AS (SELECT source, lang = 'fr' AS latin, count(*) AS docs, sum(len(string_split(text, chr(10)))) AS lines,
+    """WITH written AS (SELECT source, coalesce(lang = 'fr', false) AS latin, count(*) AS docs, sum(len(string_split(text, chr(10)))) AS lines,
         sum(length(text) + 1) AS chars, bool_or(regexp_matches(text, '[^\\x00-\\x7F]')) AS odd
       FROM documents GROUP BY ALL)
     SELECT 'source=' || source AS category, 'other' AS language, count(*) AS files,
@@ -29,16 +29,18 @@ def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
     """A folder of files read back: relative paths, labels from the layout, files that are no UTF-8 kept without text.
 
     The documents are written out first, one file per source; French ones in a second tree with one byte a letter, those without
-    a language with the rest. A file is a folder of parts of at most ``PART_ROWS`` documents each, however large the source
-    is; it is valid when all its parts are.
+    a language with the rest. A file is a folder of parts, however large the source is: at most ``PART_ROWS``
+    documents each, and so many that the longest ones together keep below ``PART_BYTES``. It is valid when all its parts are.
     """
     root = shared_dir(spark, "corpus")
     docs = table(spark, folder, "documents").select("source", "lang", F.col("text").alias("value"))
+    longest = docs.agg(F.max(F.octet_length("value")).alias("n")).first()["n"] or 1
+    rows = max(1, min(PART_ROWS, PART_BYTES // longest))
     docs.where("not (lang <=> 'fr')").select("source", "value").write.partitionBy("source").option(
-        "maxRecordsPerFile", PART_ROWS
+        "maxRecordsPerFile", rows
     ).text(f"{root}/plain")
     french = docs.where("lang = 'fr'").select("source", F.regexp_replace("value", "\n", " ").alias("value"))
-    french.write.partitionBy("source").options(encoding="ISO-8859-1", quote="", maxRecordsPerFile=PART_ROWS).csv(f"{root}/latin")
+    french.write.partitionBy("source").options(encoding="ISO-8859-1", quote="", maxRecordsPerFile=rows).csv(f"{root}/latin")
     # part files of either writer, whatever their suffix
     found = files.read_corpus(spark, root, "part-*")
     labelled = found.select(

@@ -68,7 +68,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
-# A tokenizer, a fitted model and keyed hashes: not for SQL. tests/llm/test_pipeline.py holds run() against plain Python.
+# A tokenizer, a fitted model and keyed hashes: not for SQL. tests/llm/test_filters.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 

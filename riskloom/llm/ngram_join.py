@@ -43,7 +43,8 @@ SPARE = 2  # ranges beyond the necessary one, so that empty ones need no list
 LIST_COST = 3.0  # what a list entry costs against a subset entry: lists of small sets hold strangers
 LARGEST_LIGHT = 40
 PAIR_LIST, BLOCK = 24, 512
-MORE_STARS = 2
+MORE_STARS = 1
+_SETS = "node bigint, again boolean, members binary, sketch binary, size bigint"
 _ZONE, _RANGE, _LIGHT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0x5851F42D4C957F2D)
 
 
@@ -175,12 +176,16 @@ def _sets(size: int):
         shingler = Shingler(size)
         for batch in batches:
             for a, b, data, offsets in text_slices(batch["text"]):
-                wanted = batch["node"].slice(a, b - a).to_pylist()
-                rows = [(n, s) for n, s in zip(wanted, shingler.sets(data, offsets), strict=True) if len(s) and _set_hashes(s)[0] == n]
-                nodes, found = pa.array([n for n, _ in rows], pa.int64()), [s for _, s in rows]
+                wanted, again = (batch[c].slice(a, b - a).to_pylist() for c in ("node", "again"))
+                rows = [
+                    (n, r, s)
+                    for n, r, s in zip(wanted, again, shingler.sets(data, offsets), strict=True)
+                    if len(s) and _set_hashes(s)[0] == n
+                ]
+                nodes, flags, found = pa.array([n for n, _, _ in rows], pa.int64()), pa.array([r for _, r, _ in rows], pa.bool_()), [s for _, _, s in rows]
                 columns = [pa.array([s.tobytes() for s in found], pa.binary()), pa.array([sketch(s) for s in found], pa.binary())]
                 sizes = pa.array([len(s) for s in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([nodes, *columns, sizes], ["node", "members", "sketch", "size"])
+                yield pa.RecordBatch.from_arrays([nodes, flags, *columns, sizes], ["node", "again", "members", "sketch", "size"])
 
     return sets
 
@@ -305,9 +310,9 @@ def _pairs_linked(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFram
     return both.mapInArrow(_verify(like), "src bigint, dst bigint")
 
 
-def _open_lists(live: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the lists that still hold several components, with their labels and the list's size."""
-    marked = live.select("key", "node").join(labels, "node")
+    marked = lists.select("key", "node").join(labels, "node")
     mixed = marked.groupBy("key").agg(
         F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("n")
     )
@@ -335,8 +340,12 @@ def jaccard_classes(docs: DataFrame, words: int = 5, like: Likeness = Likeness(8
 
     wanted = live.select("node").distinct().join(classes, "node").select("node", F.col("first").alias("doc_id"))
     # a document may come in several rows: only rows with the wanted content are taken
-    chosen = wanted.join(texts, "doc_id").select("node", "text").mapInArrow(_sets(words), "node bigint, members binary, sketch binary, size bigint")
-    sets = stored(chosen.dropDuplicates(["node"]), "shingle-sets")
+    rows = given.groupBy("doc_id", "node").agg((F.count(F.lit(1)) > 1).alias("again"))
+    chosen = wanted.join(rows, ["doc_id", "node"]).join(texts, "doc_id").select("node", "again", "text")
+    chosen = stored(chosen.mapInArrow(_sets(words), _SETS), "shingle-sets")
+    # sets are wide: only those that come again are shuffled to be merged
+    merged = stored(chosen.where("again").dropDuplicates(["node"]), "repeated-sets")
+    sets = chosen.where("not again").unionByName(merged).drop("again")
 
     # members against one member of their list: the least node first, then the least of a component drawn by hash
     stars = live.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
@@ -347,8 +356,10 @@ def jaccard_classes(docs: DataFrame, words: int = 5, like: Likeness = Likeness(8
     nodes = live.select("node").unionByName(same.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
     labels = stored(nodes.withColumn("label", F.col("node")), "nodes")
     labels = _merged(labels, _pairs_linked(stars, sets, like).unionByName(same))
+    open_lists = live.select("key", "node")
     for turn in range(MORE_STARS):
-        open_lists = stored(_open_lists(live, labels), "open-lists")
+        # a list of one component stays one: later turns only look at those that were open
+        open_lists = stored(_open_lists(open_lists, labels), "open-lists")
         drawn = F.struct(F.xxhash64(F.lit(turn), "label").alias("h"), "label", "node")
         heads = open_lists.groupBy("key").agg(F.min(drawn).alias("_h")).select("key", F.col("_h.node").alias("a"), F.col("_h.label").alias("_l"))
         met = open_lists.join(heads, "key").where("label <> _l")
@@ -356,7 +367,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, like: Likeness = Likeness(8
         labels = _merged(labels, _pairs_linked(stars, sets, like))
 
     # what lists still hold several components: every pair of different ones
-    open_lists = stored(_open_lists(live, labels), "open-lists")
+    open_lists = stored(_open_lists(open_lists, labels), "open-lists")
     short = open_lists.where(F.col("n") <= PAIR_LIST)
     one, two = (short.select("key", F.col("node").alias(n), F.col("label").alias(f"label_{n}")) for n in "ab")
     pairs = one.join(two, "key").where("a < b and label_a <> label_b").select("a", "b")

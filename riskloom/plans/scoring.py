@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import levels, text
 from riskloom.operators import drift as drifts
+from riskloom.operators import communities as found_communities
 from riskloom.operators import fusion, graphs, keyed, rollups, spectral
 from riskloom.operators import statistics as stats
 from riskloom.operators.findings import CATEGORIES, scan, security_summary
@@ -296,6 +297,32 @@ def modularity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("graph_id", F.round("modularity", 12).alias("modularity"))
 
 
+@query("communities")
+def communities(spark: SparkSession, folder: str) -> DataFrame:
+    """The community of every node of every graph."""
+    edges, nodes = settled_graphs(spark, folder)
+    return found_communities.communities(edges, nodes)
+
+
+@query(
+    "community_quality",
+    f"""WITH {SQL_GRAPHS}
+    SELECT graph_id, round(-sum(d * d)::DOUBLE / (sum(d) * sum(d)), 12) AS alone, true AS gained, true AS connected_only
+    FROM degrees GROUP BY 1 HAVING sum(d) > 0""",
+)
+def community_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Modularity of every node alone; whether the found communities gain on it, and none spans two components."""
+    edges, nodes = settled_graphs(spark, folder)
+    found = settle(found_communities.communities(edges, nodes))
+    reached = graphs.modularity(edges, found).withColumnRenamed("modularity", "reached")
+    alone = graphs.modularity(edges, nodes.withColumn("community", F.col("node"))).withColumnRenamed("modularity", "alone")
+    labels = graphs.components(edges, nodes)
+    spans = found.join(labels, ["graph_id", "node"]).groupBy("graph_id", "community").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+    whole = spans.groupBy("graph_id").agg(F.every(F.col("a") == F.col("b")).alias("connected_only"))
+    rated = alone.join(reached, "graph_id").join(whole, "graph_id")
+    return rated.select("graph_id", F.round("alone", 12).alias("alone"), (F.col("reached") > F.col("alone")).alias("gained"), "connected_only")
+
+
 @query("spectral_estimates")
 def spectral_estimates(spark: SparkSession, folder: str) -> DataFrame:
     """Second-smallest and largest Laplacian eigenvalue of every graph."""

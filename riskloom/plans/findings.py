@@ -9,6 +9,7 @@ from riskloom.functions import levels, text
 from riskloom.operators import reporting, rollups
 from riskloom.operators.findings import rule_table, scan
 from riskloom.operators.ordering import left_join_many, ordinals
+from riskloom.operators.rule_index import scan_indexed
 from riskloom.plans import roles
 from riskloom.plans.registry import query
 from riskloom.session import settle, spread
@@ -25,6 +26,15 @@ def rule_findings(spark: SparkSession, folder: str) -> DataFrame:
     return scan(roles.files(spark, folder), "doc_id", "text", rule_table(spark))
 
 
+@query(
+    "indexed_findings",
+    f"WITH {roles.sql_rule_findings('documents', 'doc_id', 'text')} {_HITS.format(key='doc_id')}",
+)
+def indexed_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """The findings of ``rule_findings``, by the index of the rules' trigrams."""
+    return scan_indexed(roles.files(spark, folder), "doc_id", "text", rule_table(spark))
+
+
 @query(
     "html_findings",
     f"WITH {roles.sql_rule_findings('pages', 'page_id', 'html')} {_HITS.format(key='page_id')}",

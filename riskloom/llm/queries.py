@@ -124,7 +124,7 @@ def op10_uniform_shards(spark: SparkSession, folder: str) -> DataFrame:
     rows = documents(spark, folder).select(
         "doc_id", (F.length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32")
     )
-    placed = sharding.shuffle_into_shards(rows, 24, ["doc_id", "text_crc32", "size"], "doc_id", seed=10)
+    placed = sharding.shuffle_into_shards(rows, 24, ["doc_id", "text_crc32", "size"], seed=10)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -9,8 +9,9 @@ slots. Both permutations sort within bounded slices, never a whole shard in one
 The matrix has ``cells x shards`` numbers with ``MIN_CELLS <= cells <= MAX_CELLS``; it is all the driver holds. Everything else is
 DataFrame work.
 
-Defined cases: null ids and null texts are values like any other; repeated rows get slots of their own; an empty table gives
-no rows. Input columns with the names of new columns are replaced.
+Defined cases: null ids and null texts are values like any other; rows equal in all columns are merged, dealt in lots of
+``LOT_ROWS`` and get slots of their own, so neither an id that stands often nor a repeated row fills a cell; rows of equal
+identity go by their other columns, so a repeated task numbers them alike; an empty table gives no rows. Input columns with the names of new columns are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import stored
+
 MIN_CELLS, MAX_CELLS, CELL_ROWS = 96, 4096, 100_000
+LOT_ROWS = 64
 
 
 def draw_hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
@@ -75,36 +79,43 @@ def even_sizes(rows: int, shards: int) -> list[int]:
     return [rows // shards + (i < rows % shards) for i in range(shards)]
 
 
-def shuffle_into_shards(
-    df: DataFrame, shards: int, identity: Sequence[str], cell_key: str, seed: int = 0, sizes: Sequence[int] | None = None
-) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, shards: int, identity: Sequence[str], seed: int = 0, sizes: Sequence[int] | None = None) -> DataFrame:
     """Add ``shard`` (int) and ``slot`` (bigint, gapless from 0 in each shard) to every row.
 
-    ``cell_key`` deals rows to cells and should be spread out; ``identity`` orders rows within them and should tell them apart.
-    ``sizes`` are the shards' exact row counts, even by default.
+    ``identity`` deals rows to cells and orders them within; it should tell most rows apart. ``sizes`` are the shards' exact row
+    counts, even by default.
     """
     spark = df.sparkSession
     kept = [c for c in df.columns if c not in ("shard", "slot")]
-    rows = df.count()
+    # equal rows are merged and dealt in lots, so that one row standing any number of times spreads over the cells
+    merged = stored(df.groupBy(*kept).agg(F.count(F.lit(1)).alias("_n")), "merged-rows")
+    rows = merged.agg(F.sum("_n")).first()[0] or 0
     cells = min(MAX_CELLS, max(MIN_CELLS, -(-rows // CELL_ROWS)))
-    cell = F.pmod(F.xxhash64(F.lit(seed), F.col(cell_key)), F.lit(cells)).cast("int")
-    counted = {r["_cell"]: r["n"] for r in df.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    lots = merged.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / LOT_ROWS))))
+    lots = lots.withColumn("_cell", F.pmod(F.xxhash64(F.lit(seed), *identity, "_lot"), F.lit(cells)).cast("int"))
+    lots = lots.withColumn("_size", F.least(F.col("_n") - F.col("_lot") * LOT_ROWS, F.lit(LOT_ROWS)))
+    counted = {r["_cell"]: r["n"] for r in lots.groupBy("_cell").agg(F.sum("_size").alias("n")).collect()}
     numbers = sorted(counted)
     matrix = communication_matrix([counted[c] for c in numbers], list(sizes or even_sizes(rows, shards)), seed)
     bounds = [(c, [sum(row[: i + 1]) for i in range(shards)]) for c, row in zip(numbers, matrix, strict=True)]
     dealt = spark.createDataFrame(bounds, "_cell int, _bounds array<bigint>")
 
-    tagged = df.select(*kept, cell.alias("_cell"), F.xxhash64(F.lit(seed + 1), *identity).alias("_order"))
-    within = Window.partitionBy("_cell").orderBy("_order", *identity)
+    # lots travel to their cell whole and become rows there
+    number = F.explode(F.sequence(F.col("_lot") * LOT_ROWS, F.col("_lot") * LOT_ROWS + F.col("_size") - 1))
+    tagged = lots.repartition("_cell").withColumn("_copy", number)
+    told = [*identity, "_copy", *[c for c in kept if c not in identity]]
+    tagged = tagged.select(*kept, "_copy", "_cell", F.xxhash64(F.lit(seed + 1), *identity, "_copy").alias("_order"))
+    within = Window.partitionBy("_cell").orderBy("_order", *told)
     ranked = tagged.withColumn("_rank", F.row_number().over(within) - 1).join(dealt, "_cell")
     sent = ranked.select(
         *kept,
+        "_copy",
         F.size(F.filter("_bounds", lambda b: b <= F.col("_rank"))).alias("shard"),
-        F.xxhash64(F.lit(seed + 2), *identity).alias("_order"),
+        F.xxhash64(F.lit(seed + 2), *identity, "_copy").alias("_order"),
     )
     # the second permutation, slice by slice: a slice is a range of the keyed hash
     sent = sent.withColumn("_slice", F.floor((F.shiftright("_order", 32) + F.lit(1 << 31)) * cells / F.lit(1 << 32)).cast("int"))
-    sliced = Window.partitionBy("shard", "_slice").orderBy("_order", *identity)
+    sliced = Window.partitionBy("shard", "_slice").orderBy("_order", *told)
     numbered = sent.withColumn("_place", F.row_number().over(sliced) - 1)
     before = Window.partitionBy("shard").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sizes_of = sent.groupBy("shard", "_slice").agg(F.count(F.lit(1)).alias("_n"))

@@ -218,8 +218,8 @@ def test_hypergeometric_draws_follow_the_law():
     assert sharding.draw_hypergeometric(rng, 10**9, 10**9, 10**6) == pytest.approx(500_000, abs=5000)
 
 
-def shards_of(df, n, ids, key, seed):
-    return sharding.shuffle_into_shards(df, n, ids, key, seed).collect()
+def shards_of(df, n, ids, seed):
+    return sharding.shuffle_into_shards(df, n, ids, seed).collect()
 
 
 def check_shards(rows, n, total):
@@ -233,7 +233,7 @@ def check_shards(rows, n, total):
 
 def test_shards_are_even_and_uniform(spark):
     df = spark.range(4003).withColumnRenamed("id", "doc_id")
-    first, again, other = (shards_of(df, 24, ["doc_id"], "doc_id", seed) for seed in (1, 1, 2))
+    first, again, other = (shards_of(df, 24, ["doc_id"], seed) for seed in (1, 1, 2))
     check_shards(first, 24, 4003)
     assert sorted(map(tuple, first)) == sorted(map(tuple, again)) != sorted(map(tuple, other))
     # neighbours meet as often as chance says
@@ -243,9 +243,24 @@ def test_shards_are_even_and_uniform(spark):
 
 
 def test_odd_rows_have_shards(clashing, odd_rows, no_docs):
-    rows = shards_of(clashing, 4, ["doc_id", "text"], "doc_id", 0)
+    rows = shards_of(clashing, 4, ["doc_id", "text"], 0)
     check_shards(rows, 4, len(odd_rows))
-    assert shards_of(no_docs, 4, ["doc_id"], "doc_id", 0) == []
+    assert shards_of(no_docs, 4, ["doc_id"], 0) == []
+
+
+def test_hot_rows_spread_over_cells(spark):
+    """One row without an id that stands 20,000 times, and 3,000 texts of one id."""
+    rows = [(None, "same")] * 20_000 + [(7, f"text {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    first, again = (shards_of(df.repartition(n), 24, ["doc_id", "text"], 3) for n in (5, 11))
+    check_shards(first, 24, 23_000)
+    assert Counter(first) == Counter(again)
+    hot = [r for r in first if r["doc_id"] is None]
+    per_shard = Counter(r["shard"] for r in hot)
+    assert len(hot) == 20_000 and len(per_shard) == 24 and max(per_shard.values()) < 1.1 * 20_000 / 24
+    # within a shard the copies stand among the others: no half of the slots holds far more of them
+    early = sum(r["slot"] < 23_000 // 48 for r in hot)
+    assert 9_500 < early < 10_500
 
 
 def test_shard_query_columns(spark):

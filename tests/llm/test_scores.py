@@ -240,8 +240,16 @@ def test_scores_prefer_what_was_learned(spark):
     assert max(v for k, v in found.items() if k < 40) > found[odd] + 3
 
 
-def test_a_pruned_trie_still_scores(spark):
-    rows = [(i, t) for i, t in some_docs(6) if i is not None]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = ppm.scores(docs, trie_bits=4).collect()
-    assert len(found) == len(rows) and all(math.isfinite(r.score) and r.score < 0 for r in found)
+def test_rare_pairs_are_learned_however_much_text_there_is(spark):
+    odd = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 != 0)
+    rows = [(i, "the usual words " * 5_000) for i in range(50)] + [(odd, "zqxjkv")]
+    found = {r.doc_id: r.score for r in ppm.scores(spark.createDataFrame(rows, "doc_id bigint, text string"), head_bits=4).collect()}
+    wanted = {r[0]: r[6] for r in brute_scores(rows)}
+    assert found.keys() == wanted.keys() and all(math.isclose(found[i], wanted[i], rel_tol=1e-9) for i in found)
+    assert found[odd] > -17  # " z" once among a few million bytes; no byte after it is a surprise
+
+
+def test_all_rows_held_out(spark):
+    apart = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:5]
+    found = ppm.scores(spark.createDataFrame([(i, "abc d") for i in apart], "doc_id bigint, text string")).collect()
+    assert len(found) == 5 and all(math.isclose(r.score, -7 * math.log10(256)) and r.train_tokens == 0 for r in found)

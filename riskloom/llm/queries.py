@@ -197,7 +197,7 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_mix_sources")
 def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """The mixture of all documents: 95 % of the greatest entropy, four passes over a source at most."""
-    counted = stored(mixing.token_counts(documents(spark, folder), "doc_id"), "token-counts")
+    counted = stored(mixing.token_counts(documents(spark, folder)), "token-counts")
     plan = mixing.mixing_plan(counted, mixing.Target(evenness=0.95, repetitions=4.0), seed=5)
     return mixing.mixed_sequence(counted, plan, block_tokens=1 << 20, seed=5)
 

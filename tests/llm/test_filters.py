@@ -314,7 +314,7 @@ def plain_weights(tokens, target):
 def test_mixture_against_plain_python(spark, monkeypatch, target):
     monkeypatch.setattr(mixing, "SLICE_ROWS", 7)
     rows = counted_rows(random.Random(2), {"a": 200, "b": 40, None: 25, "d": 3, "silent": 0}) + [(9001, "silent", 0), (9002, "a", 5), (9002, "a", 5)]
-    counted = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
+    counted = mixing.merged(spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint").withColumn("identity", F.xxhash64("doc_id")))
     plan = mixing.mixing_plan(counted, target, 3)
     tokens = Counter()
     for _, source, n in rows:
@@ -339,6 +339,34 @@ def test_mixture_against_plain_python(spark, monkeypatch, target):
         assert all(whole <= times[d] / Counter(r[0] for r in rows)[d] <= whole + 1 for d in {r[0] for r in rows if r[1] == source and r[2]})
 
 
+@pytest.mark.parametrize("lot", [16, 4096])
+def test_hot_rows_do_not_overshoot(spark, monkeypatch, lot):
+    """Equal rows, and rows of one or no id with different texts: a quota is met to one document in both forms."""
+    monkeypatch.setattr(mixing, "LOT_ROWS", lot)
+    rows = [(None, "the very same words", "hot")] * 700 + [(None, f"some other text {i}", "many") for i in range(500)]
+    rows += [(5, f"one id and text {i}", "one") for i in range(300)] + [(i, "five words in a row", "rest") for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    counted = mixing.token_counts(docs)
+    assert counted.where("source = 'hot'").count() == 1
+    target = mixing.Target(0.97, 50.0, 9000.0)
+    plan = mixing.mixing_plan(counted, target, 3)
+    quota = {r["source"]: r["quota"] for r in plan.collect()}
+    given, streams = mixing.mixed_sequence(counted, plan, 500, 3).collect(), {}
+    for r in given:
+        streams.setdefault(r["source"], []).append((r["start"], r["tokens"]))
+    assert len({(r["source"], r["start"]) for r in given}) == len(given) == len({r["place"] for r in given})
+    texts = mixing.mixed_documents(docs, target, 3).collect()
+    number = Counter(r["source"] for r in texts)
+    for source, own in streams.items():
+        own.sort()
+        ends = [start + n for start, n in own]
+        assert [s for s, _ in own] == [0, *ends[:-1]] and quota[source] <= ends[-1] + 1e-3 < quota[source] + own[-1][1] + 1e-2
+        assert number[source] == len(own)
+    passes = Counter((r["source"], r["text"]) for r in texts if r["source"] in ("many", "one"))
+    for source in ("many", "one"):
+        assert max(n for (s, _), n in passes.items() if s == source) <= min((n for (s, _), n in passes.items() if s == source)) + 1
+
+
 def test_mixed_documents_keep_their_columns(clashing, odd_rows, no_docs, spark):
     target = mixing.Target(0.95, 3.0)
     mixed = mixing.mixed_documents(clashing, target, 1)

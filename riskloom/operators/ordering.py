@@ -128,11 +128,12 @@ def join_many_to_one(many: DataFrame, one: DataFrame, key: str, ids: Sequence[st
 
     Every key is split by a hash of ``ids`` into ``salts`` parts, and ``one`` repeated once per part: no count of the keys
     is needed, and a key with a third of the rows meets its partner in ``salts`` tasks, which adaptive skew handling
-    splits further.
+    splits further. The repeats come from a join with the parts, as the planner counts those and not what ``explode`` adds:
+    it must not take ``one`` times ``salts`` for a table small enough to go through the driver.
     """
-    part = F.pmod(F.xxhash64(*ids), F.lit(salts)).cast("int")
+    part = F.pmod(F.xxhash64(*ids), F.lit(salts))
     salted = many.withColumn("_salt", part)
-    repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    repeated = one.crossJoin(F.broadcast(one.sparkSession.range(salts).withColumnRenamed("id", "_salt")))
     return salted.join(repeated, [key, "_salt"]).drop("_salt")
 
 

@@ -125,33 +125,31 @@ def _sarif_result(uri: Column) -> Column:
 _HEAD, _FOOT = -1, 1 << 30
 
 
-def _pieces(rows: DataFrame, ends: DataFrame, key: str, order: Sequence[Column], joint: str) -> DataFrame:
+def _pieces(rows: DataFrame, ends: DataFrame, key: str, order: Sequence[Column], joint: str, piece: Column) -> DataFrame:
     """Number heads, rows and feet together; rows after the first start with ``joint``.
 
-    ``rows (key, section, piece, ...)`` has the columns of ``order``; ``ends (key, section, piece)`` holds the heads
-    (section -1) and feet.
+    ``rows (key, section, ...)`` has the columns of ``order`` and ``piece``; ``ends (key, section, _end)`` holds the heads
+    (section -1) and feet. Pieces are written after the numbering, so only what they are made of is sorted.
     """
     together = rows.unionByName(ends, allowMissingColumns=True)
     numbered = ordinals(together, [key], [F.col("section"), *order], "ordinal")
-    inner = (F.col("section") > _HEAD) & (F.col("section") < _FOOT) & (F.col("ordinal") > 2)
-    return numbered.select(
-        key, "ordinal", F.concat(F.when(inner, F.lit(joint)).otherwise(F.lit("")), F.col("piece")).alias("piece")
-    )
+    inner = (F.col("section") > _HEAD) & (F.col("section") < _FOOT)
+    written = F.concat(F.when(F.col("ordinal") > 2, F.lit(joint)).otherwise(F.lit("")), piece)
+    return numbered.select(key, "ordinal", F.when(inner, written).otherwise(F.col("_end")).alias("piece"))
 
 
 def _ends(keys: DataFrame, head: Column, foot: Column) -> DataFrame:
     """The first and the last piece of every document."""
     both = F.array(
-        F.struct(F.lit(_HEAD).alias("section"), head.alias("piece")),
-        F.struct(F.lit(_FOOT).alias("section"), foot.alias("piece")),
+        F.struct(F.lit(_HEAD).alias("section"), head.alias("_end")),
+        F.struct(F.lit(_FOOT).alias("section"), foot.alias("_end")),
     )
-    return keys.select(keys.columns[0], F.explode(both).alias("e")).select(keys.columns[0], "e.section", "e.piece")
+    return keys.select(keys.columns[0], F.explode(both).alias("e")).select(keys.columns[0], "e.section", "e._end")
 
 
 def sarif_documents(artifacts: DataFrame, results: DataFrame, artifact: str, order: Sequence[Column]) -> DataFrame:
     """SARIF documents as pieces ``(artifact, ordinal, piece)``; an artifact without results keeps an empty list."""
     uri = F.coalesce(F.nullif(F.col(artifact).cast("string"), F.lit("")), F.lit(DEFAULT_URI))
-    rows = results.withColumn("piece", F.to_json(_sarif_result(uri)))
     driver = F.struct(F.lit(TOOL_NAME).alias("name"), F.lit(TOOL_VERSION).alias("version"))
     schema = F.to_json(F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit(SARIF_VERSION).alias("version")))
     head = F.concat(
@@ -160,7 +158,8 @@ def sarif_documents(artifacts: DataFrame, results: DataFrame, artifact: str, ord
         F.to_json(F.struct(driver.alias("driver"))),
         F.lit(',"results":['),
     )
-    return _pieces(rows, _ends(artifacts.select(artifact), head, F.lit("]}]}")), artifact, order, ",")
+    ends = _ends(artifacts.select(artifact), head, F.lit("]}]}"))
+    return _pieces(results, ends, artifact, order, ",", F.to_json(_sarif_result(uri)))
 
 
 def report_json(reports: DataFrame, pretty: bool = False) -> Column:
@@ -194,10 +193,10 @@ def markdown_comments(
     results: DataFrame, drift: DataFrame, key: str, order: Sequence[Column], title: str = COMMENT_TITLE
 ) -> DataFrame:
     """Markdown comments as pieces ``(key, ordinal, piece)``: a table of results, a drift line if known, the marker last."""
-    rows = results.withColumn("section", F.lit(0)).withColumn("piece", F.concat(F.lit("\n"), comment_row()))
+    rows = results.withColumn("section", F.lit(0))
     line = drift_line(F.coalesce("trend", F.lit("UNKNOWN")), F.coalesce("score", F.lit(0.0)))
     keys = results.select(key).distinct().join(drift.select(key, line.alias("_drift")), key, "left")
     foot = F.concat(
         F.coalesce(F.concat(F.lit("\n\n"), F.col("_drift")), F.lit("")), F.lit("\n\n" + COMMENT_MARKER)
     )
-    return _pieces(rows, _ends(keys, F.lit(comment_head(title)), foot), key, order, "")
+    return _pieces(rows, _ends(keys, F.lit(comment_head(title)), foot), key, order, "", F.concat(F.lit("\n"), comment_row()))

@@ -4,6 +4,10 @@
 its trigrams, the one fewest hints share; a line asks for its own distinct trigrams, and only rules found so meet it: hint
 first, then pattern. The cost grows with the text and with what is found. The findings are those of ``scan``.
 
+A line asks by number: the first three UTF-8 bytes of a filed trigram. There are 2 ** 24 such numbers however many rules there
+are, so a task marks the filed ones and looks up those of its lines in one pass; only lines that meet one, and only what they
+met, go on. A number may stand for several trigrams, and the hint is searched in any case.
+
 The rules stay a table. Beyond ``BROADCAST_ANCHORS`` filed hints it is not broadcast: then narrow rows of key, line number and
 trigram meet it by shuffle, and the lines come in for the candidates only.
 
@@ -14,14 +18,18 @@ null texts have no lines; empty tables give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from riskloom.operators.findings import Rule, lines_of, scan
 
 GRAM = 3
 BROADCAST_ANCHORS = 100_000
-PART = 256  # characters of a line taken at a time
 _ATTRIBUTES = ("category", "severity", "confidence_score", "pattern")
 
 
@@ -52,24 +60,50 @@ def anchors(rules: DataFrame) -> DataFrame:
     )
 
 
-def _line_grams(lines: DataFrame) -> DataFrame:
-    """Lines once per trigram (per part of a long line)."""
-    last = F.floor((F.length("_lower") - GRAM) / PART)
-    parts = lines.where(F.length("_lower") >= GRAM).withColumn("_at", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    piece = F.col("_lower").substr((F.col("_at") * PART + 1).cast("int"), F.lit(PART + GRAM - 1))
-    return parts.withColumn("_part", piece).withColumn("gram", F.explode(_grams(F.col("_part")))).drop("_at", "_part")
+def _number(gram: Column) -> Column:
+    """The first three bytes of a trigram as an integer."""
+    return F.conv(F.substring(F.hex(F.encode(gram, "UTF-8")), 1, 6), 16, 10).cast("int")
+
+
+def _met(numbers: np.ndarray):
+    """Lines that hold a filed number, with the distinct ones they hold."""
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filed = np.zeros(1 << 24, bool)
+        filed[numbers] = True
+        for batch in batches:
+            text = batch["_lower"].cast(pa.large_binary())
+            offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            if not len(text) or offsets[-1] - offsets[0] < GRAM:
+                continue
+            data = np.frombuffer(text.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.int32)
+            number = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
+            at = np.flatnonzero(filed[number])
+            ends = offsets[1:] - offsets[0]
+            owner = np.searchsorted(ends, at, side="right")
+            inside = at + GRAM <= ends[owner]
+            pairs = np.unique((owner[inside] << 24) | number[at[inside]])
+            lines, first = np.unique(pairs >> 24, return_index=True)
+            lists = pa.ListArray.from_arrays(np.append(first, len(pairs)).astype(np.int32), (pairs & 0xFFFFFF).astype(np.int32))
+            chosen = batch.take(pa.array(lines))
+            yield pa.RecordBatch.from_arrays([*chosen.columns, lists], [*chosen.schema.names, "_numbers"])
+
+    return look_up
 
 
 def scan_indexed(files: DataFrame, key: str, text: str, rules: DataFrame, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
     """Findings of ``findings.scan`` for a rule table ``(category, severity, confidence, pattern, hints)`` of any size."""
     fileable = F.coalesce((F.size("hints") > 0) & F.forall("hints", lambda h: F.length(h) >= GRAM), F.lit(False))
-    table, rest = anchors(rules.where(fileable)), rules.where(~fileable).distinct()
+    table, rest = anchors(rules.where(fileable)).withColumn("_number", _number(F.col("gram"))), rules.where(~fileable).distinct()
     lines = lines_of(files, key, text).withColumn("_lower", F.lower("line"))
-    if table.count() <= broadcast_anchors:
-        met = _line_grams(lines).join(F.broadcast(table), "gram")
+    numbers = table.groupBy("_number").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    schema = StructType([*lines.schema.fields, StructField("_numbers", ArrayType(IntegerType()))])
+    asking = lines.mapInArrow(_met(numbers["_number"].to_numpy()), schema)
+    if numbers["n"].to_numpy().sum() <= broadcast_anchors:
+        met = asking.withColumn("_number", F.explode("_numbers")).join(F.broadcast(table), "_number")
     else:
-        asked = _line_grams(lines).select(key, "line_number", "gram")
-        candidates = asked.join(table, "gram").select(F.col(key).alias("_key"), F.col("line_number").alias("_line"), "hint", "rule_id", *_ATTRIBUTES)
+        asked = asking.select(key, "line_number", F.explode("_numbers").alias("_number"))
+        candidates = asked.join(table, "_number").select(F.col(key).alias("_key"), F.col("line_number").alias("_line"), "hint", "rule_id", *_ATTRIBUTES)
         same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("line_number") == F.col("_line"))
         met = candidates.join(lines, same)
     hits = met.where(F.contains("_lower", "hint")).where(F.rlike("line", F.col("pattern")))

@@ -301,7 +301,7 @@ def modularity(spark: SparkSession, folder: str) -> DataFrame:
 def communities(spark: SparkSession, folder: str) -> DataFrame:
     """The community of every node of every graph."""
     edges, nodes = settled_graphs(spark, folder)
-    return found_communities.communities(edges, nodes)
+    return found_communities.communities(edges, nodes, found_communities.WHOLE_NODES)
 
 
 @query(
@@ -313,7 +313,7 @@ def communities(spark: SparkSession, folder: str) -> DataFrame:
 def community_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Modularity of every node alone; whether the found communities gain on it, and none spans two components."""
     edges, nodes = settled_graphs(spark, folder)
-    found = settle(found_communities.communities(edges, nodes))
+    found = settle(found_communities.communities(edges, nodes, found_communities.WHOLE_NODES))
     reached = graphs.modularity(edges, found).withColumnRenamed("modularity", "reached")
     alone = graphs.modularity(edges, nodes.withColumn("community", F.col("node"))).withColumnRenamed("modularity", "alone")
     labels = graphs.components(edges, nodes)

@@ -1,19 +1,24 @@
 """Language-model scores by prediction by partial matching over bytes, and by word frequencies as a base.
 
 A text is its words (A-Z lower-cased), each closed by a space, and one end. Bytes are predicted from the longest context seen in
-training, at most ``ORDER`` bytes and not beyond the space before the word. A byte the context has not seen escapes to the next
+training, at most ``ORDER`` bytes. A byte the context has not seen escapes to the next
 shorter one: the escape takes as many counts as the context has different bytes, and bytes already ruled out by longer contexts
 are excluded from the counts of shorter ones. Below the empty context all bytes left are equal. The sum over all bytes is the
 log10 probability of the text.
 
-As contexts stop at the word's space, a word has one code length wherever it stands. So the corpus is read twice: once for
-the counts of its distinct words, which hold all there is to know for the trie, and once to add up the words of every text.
-The trie is gathered from every training word and leaves nothing out. It is no object in a task but tables, one row for a pair
-of a context and a byte and one for a context, which grow with the corpus; what it has to say about a byte is found by joins.
-A shorter context has at most 256 longer ones, so no row of these tables is met by many others.
+With ``whole_texts`` contexts run on across words, back to the space before the first word of the text; this is the model of the
+registered query. Without it they stop at the space before the word, a coarser model in which a word has one code length wherever
+it stands. The trie is gathered from every training text (or word) and leaves nothing out. It is no object in a task but tables,
+one row for a pair of a context and a byte and one for a context, which grow with the corpus; what it has to say about a byte is
+found by joins. A shorter context has at most 256 longer ones, so no row of these tables is met by many others.
 
-Only what stands for more than one in ``2 ** HEAD_BITS`` of its kind goes to the tasks, which bounds its number: the most
-frequent bytes with their contexts when words are rated, the most frequent words when texts are. The others are joined.
+The corpus is read once for the counts of its words and once to add up every text; with ``whole_texts`` once more for the bytes
+with what stands before them, their histories. A task counts its own and hands them on in blocks, one for each of as many hashed
+cells as the texts have ``CELL_BYTES``, where the counts of all tasks are added.
+
+Only what is frequent goes to the tasks, a bounded number: bytes with their histories (the ``2 ** HISTORY_BITS`` most frequent of
+the texts, or more than one in ``2 ** HEAD_BITS`` of those of the words), and words that make up more than one in
+``2 ** HEAD_BITS``. The others are joined.
 
 Defined cases: null texts count as empty and hold the end only; rows without an id are held out (they have no remainder) and are
 scored; repeated rows count and are scored each; without training texts every byte is equal and ``N`` is 0; an empty table
@@ -33,13 +38,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import stored
-from riskloom.llm.tokens import batches_by_size, release_encoders
+from riskloom.llm.tokens import batches_by_size, release_encoders, text_ranges
 
 ORDER = 6
 HEAD_BITS = 20
 END = b"\n"  # no word holds it
+HISTORY_BITS = 21
 COUNTED_WORDS, COUNTED_BYTES = 200_000, 1 << 24  # words a task counts before it hands them on
+COUNTED_HISTORIES = 3 << 20  # histories a task holds before it adds them up, and hands them on if three quarters are left
+RANGE_BYTES = 1 << 20  # of texts whose histories a task holds one by one
+CELL_BYTES = 1 << 24
 _ORDERS = np.uint64(56)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out() -> Column:
@@ -109,6 +119,103 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return history[coded], owner[coded]
 
 
+def written(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Histories, as in ``spelled``, of every byte of whole texts given as their tokens, and their number for each text."""
+    streams = [b" " + b" ".join(words[:-1]) + (b" " if len(words) > 1 else b"") + END for words in texts]
+    lengths = np.fromiter(map(len, streams), np.int64, len(streams))
+    history = np.frombuffer(b"".join(streams), np.uint8).astype(np.uint64)
+    for back, kept in ((1, 1), (2, 2), (4, ORDER - 3)):  # one byte, two, four, and the rest of them
+        earlier = history[:-back] & np.uint64((1 << 8 * kept) - 1)
+        history[back:] |= earlier << np.uint64(8 * back)
+    first = np.cumsum(lengths) - lengths
+    order = np.full(len(history), ORDER, np.uint64)
+    for place in range(ORDER):
+        at = (first + place)[lengths > place]
+        history[at] &= np.uint64((1 << 8 * (place + 1)) - 1)
+        order[at] = place
+    history |= order << _ORDERS
+    return np.delete(history, first), lengths - 1
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Integers byte plane by byte plane, compressed: most planes hold one value."""
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(block: bytes, columns: int) -> list[np.ndarray]:
+    size = int.from_bytes(block[:8], "little")
+    planes = np.frombuffer(pa.decompress(block[8:], 8 * columns * size, codec="zstd", asbytes=True), np.uint8)
+    return [np.ascontiguousarray(c.T).view(np.uint64).ravel() for c in planes.reshape(columns, 8, size)]
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct histories of all parts in order, with their counts added up; a column at a time, which halves the work space."""
+    history = np.concatenate([p[0] for p in parts])
+    order = np.argsort(history)
+    history = history[order]
+    first = np.ones(len(history), bool)
+    first[1:] = history[1:] != history[:-1]
+    places, history = np.flatnonzero(first), history[first]
+    sums = (np.add.reduceat(np.concatenate([p[i] for p in parts])[order], places, dtype=parts[0][i].dtype) for i in range(1, len(parts[0])))
+    return history, *sums
+
+
+def _text_histories(cells: int):
+    """(cell, block): the histories of a task's texts by cells of their hash, with how often they stand in all and in training texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            history, uses, n = held.pop()
+            cell = ((history * _SPREAD) >> np.uint64(32)) % np.uint64(cells)
+            order = np.argsort(cell, kind="stable")
+            found, starts = np.unique(cell[order], return_index=True)
+            for c, at in zip(found.tolist(), np.split(order, starts[1:]), strict=True):
+                block = _packed(np.diff(history[at], prepend=np.uint64(0)), uses[at].astype(np.uint64), n[at].astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([block], pa.binary())], ["cell", "block"])
+
+        size = places = 0
+        for batch in batches:
+            apart = batch["held_out"].to_numpy(zero_copy_only=False)
+            for a, b, texts in text_ranges(batch["text"].fill_null("").cast(pa.binary()), RANGE_BYTES):
+                history, lengths = written([tokens(t) for t in texts])
+                learned = np.repeat(~apart[a:b], lengths)
+                for mine, trained in ((history[learned], 1), (history[~learned], 0)):
+                    if len(mine):
+                        distinct, uses = np.unique(mine, return_counts=True)
+                        held.append((distinct, uses.astype(np.uint32), (uses * trained).astype(np.uint32)))
+                        size += len(distinct)
+                places += len(history)
+                if size > COUNTED_HISTORIES or places >> 31:  # the counts have 32 bits
+                    held = [_summed(held)]
+                    size = len(held[0][0])
+                    if 4 * size > 3 * COUNTED_HISTORIES or places >> 31:
+                        yield from handed()
+                        size = places = 0
+        if held:
+            held = [_summed(held)]
+            yield from handed()
+
+    return count
+
+
+def _cell_histories(blocks: pa.Table) -> pa.Table:
+    """The histories of one cell, with the counts of all tasks added up."""
+    parts = [_unpacked(x.as_py(), 3) for x in blocks["block"]]
+    history, uses, n = _summed([(np.cumsum(h), u, n) for h, u, n in parts])
+    return pa.table({"history": history.view(np.int64), "uses": uses.view(np.int64), "n": n.view(np.int64)})
+
+
+def text_histories(texts: DataFrame) -> DataFrame:
+    """(history, uses, n) of all whole texts: how often a byte stands with this history, and how often in training texts."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = texts.select("held_out", "text").mapInArrow(_text_histories(size // CELL_BYTES + 1), "cell bigint, block binary")
+    return blocks.groupBy("cell").applyInArrow(_cell_histories, "history bigint, uses bigint, n bigint")
+
+
 def _histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(history, uses, n): how many distinct words hold a byte with this history, and how often it stands in training texts."""
     for batch in batches:
@@ -194,7 +301,11 @@ def code_lengths(histories: DataFrame) -> DataFrame:
     """(history, uses, code): the log10 probability of every byte after what stands before it."""
     pairs = stored(trie_pairs(histories), "trie-pairs")
     contexts = stored(trie_contexts(pairs), "trie-contexts")
-    seen = histories.where("n > 0").withColumn("context", _context("history")).join(contexts, "context")
+    long = _order("history") == ORDER
+    seen = histories.where("n > 0").select("history", "uses", "n")
+    # what stands at the start of a text with fewer bytes before it stands elsewhere after more
+    short = seen.where(~long).drop("n").join(pairs.select(F.col("pair").alias("history"), "n"), "history")
+    seen = seen.where(long).unionByName(short).withColumn("context", _context("history")).join(contexts, "context")
     seen = seen.select("history", "uses", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("code"))
     unseen = histories.where("n = 0")
     return seen.unionByName(unseen.select("history", "uses").join(_descended(unseen.select("history"), pairs, contexts), "history"))
@@ -203,6 +314,40 @@ def code_lengths(histories: DataFrame) -> DataFrame:
 # ---- scores
 
 
+def _listed(keys: np.ndarray, owner: np.ndarray, owners: int) -> list[pa.Array]:
+    """Distinct keys of every owner and their numbers, as two columns of lists."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (np.diff(owner) != 0) | (keys[1:] != keys[:-1])
+    places = np.flatnonzero(first)
+    uses = np.diff(np.append(places, len(order)))
+    offsets = pa.array(np.searchsorted(owner[places], np.arange(owners + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (keys[places].view(np.int64), uses)]
+
+
+class _Codes:
+    """Codes of frequent histories, given with the most frequent last: a slot for each hash, and all in order behind it."""
+
+    def __init__(self, histories: np.ndarray, codes: np.ndarray):
+        self.shift = np.uint64(63 - len(histories).bit_length())
+        order = np.argsort(histories)
+        self.slots = np.full(1 << (64 - int(self.shift)), len(histories), np.int32)
+        place = np.empty(len(histories), np.int32)
+        place[order] = np.arange(len(histories), dtype=np.int32)
+        self.slots[(histories * _SPREAD) >> self.shift] = place  # of several the last one stays
+        self.histories, self.codes = np.append(histories[order], ~np.uint64(0)), np.append(codes[order], 0.0)  # the last: none
+
+    def find(self, histories: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code of every history, 0 where it is not held, and the places of those."""
+        at = self.slots[(histories * _SPREAD) >> self.shift]
+        missing = np.flatnonzero(self.histories[at] != histories)
+        behind = np.searchsorted(self.histories, histories[missing])
+        behind[self.histories[behind] != histories[missing]] = len(self.codes) - 1
+        at[missing] = behind
+        return self.codes[at], missing[behind == len(self.codes) - 1]
+
+
 def _rated(histories: np.ndarray, codes: np.ndarray):
     """Sums of the frequent histories of every distinct word, and its other histories with their number."""
 
@@ -217,14 +362,7 @@ def _rated(histories: np.ndarray, codes: np.ndarray):
                 at[known[at] != history] = len(histories)
                 code = np.bincount(owner, table[at], b - a)
                 other = np.flatnonzero(at == len(histories))
-                order = other[np.lexsort((history[other], owner[other]))]
-                first = np.ones(len(order), bool)
-                first[1:] = (np.diff(owner[order]) != 0) | (history[order][1:] != history[order][:-1])
-                places = np.flatnonzero(first)
-                rest, whose = history[order][places], owner[order][places]
-                uses = np.diff(np.append(places, len(order)))
-                offsets = pa.array(np.searchsorted(whose, np.arange(b - a + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (rest.view(np.int64), uses)]
+                lists = _listed(history[other], owner[other], b - a)
                 columns = [pa.array(task + row + np.arange(b - a)), batch["word"].slice(a, b - a), batch["n"].slice(a, b - a), pa.array(code), *lists]
                 row += b - a
                 yield pa.RecordBatch.from_arrays(columns, ["row", "word", "n", "code", "rare", "uses"])
@@ -247,18 +385,34 @@ def rated_words(counts: DataFrame, head_bits: int) -> DataFrame:
     return sums.join(rest, "row", "left").select("word", "n", (F.col("code") + F.coalesce("_rest", F.lit(0.0))).alias("code"))
 
 
-def _added(words: list[bytes], figures: np.ndarray):
-    """Sums over the frequent words of every text, and its other words with their frequency."""
+def frequent(codes: DataFrame, bits: int) -> pa.Table:
+    """(history, code) of the most frequent histories, ``2 ** bits`` at most, the most frequent last."""
+    level = F.floor(4 * F.log2("uses"))
+    least, held = None, 0
+    for r in sorted(codes.groupBy(level.alias("level")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > 1 << bits:
+            break
+        least = r["level"]
+    chosen = codes.where(level >= F.lit(least)).select("history", "code", "uses").toArrow()
+    return chosen.sort_by([("uses", "ascending"), ("history", "ascending")])
+
+
+def _added(words: list[bytes], figures: np.ndarray, histories: np.ndarray | None = None, codes: np.ndarray | None = None):
+    """Sums over the frequent words of every text, and its other words with their frequency.
+
+    With ``histories`` the code of a text is the sum over its frequent histories, and its other histories are listed, too.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_encoders()
         numbers = {w: i for i, w in enumerate(words)}
         task, row = TaskContext.get().partitionId() << 40, 0
         table = np.concatenate([figures, np.zeros((1, 3))])  # the last one: not a frequent word
+        known = None if histories is None else _Codes(histories, codes)
         for batch in batches:
-            texts = _raw(batch["text"])
-            for a, b in batches_by_size(texts):
-                own = [tokens(t) for t in texts[a:b]]
+            for a, b, texts in text_ranges(batch["text"].fill_null("").cast(pa.binary()), RANGE_BYTES):
+                own = [tokens(t) for t in texts]
                 lengths = np.fromiter(map(len, own), np.int64, b - a)
                 ends = np.cumsum(lengths)
                 every = list(chain.from_iterable(own))
@@ -279,36 +433,57 @@ def _added(words: list[bytes], figures: np.ndarray):
                     pa.ListArray.from_arrays(ends_of, pa.array(rest, pa.binary())),
                     pa.ListArray.from_arrays(ends_of, pa.array(counts, pa.int64())),
                 ]
+                if known is not None:
+                    history, sizes = written(own)
+                    stops = np.cumsum(sizes)
+                    code, other = known.find(history)
+                    sums[2] = np.add.reduceat(code, stops - sizes)
+                    lists += _listed(history[other], np.searchsorted(stops, other, side="right"), b - a)
                 arrays = [pa.array(task + row + np.arange(b - a)), batch["doc_id"].slice(a, b - a), batch["held_out"].slice(a, b - a)]
                 arrays += [pa.array(lengths), *map(pa.array, sums), *lists]
                 row += b - a
-                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "held_out", "n_tokens", "known", "base", "code", "rare", "counts"])
+                names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "code", "rare", "counts", "histories", "times"]
+                yield pa.RecordBatch.from_arrays(arrays, names[: len(arrays)])
 
     return add
 
 
-def scores(docs: DataFrame, head_bits: int = HEAD_BITS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row; held-out rows are not learned from."""
+def scores(docs: DataFrame, head_bits: int = HEAD_BITS, whole_texts: bool = False, history_bits: int = HISTORY_BITS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row; held-out rows are not learned from.
+
+    Contexts run on across the words of a text with ``whole_texts``, and stop at the space before a word without.
+    """
     texts = docs.select("doc_id", held_out().alias("held_out"), "text")
     counts = texts.select("held_out", "text").mapInArrow(_counted, "word binary, n bigint")
     counts = stored(counts.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("kinds")).first()
     base = F.log10((F.col("n") + 0.1) / F.lit((total["n"] + 0.1 * (total["kinds"] + 1))))
-    rated = stored(rated_words(counts, head_bits).select("word", "n", base.alias("base"), "code"), "word-scores")
+    if whole_texts:
+        rated = counts.select("word", "n", base.alias("base"), F.lit(0.0).alias("code"))
+        codes = stored(code_lengths(stored(text_histories(texts), "histories")), "history-codes")
+        known = frequent(codes, history_bits)
+        coded = [known["history"].to_numpy().view(np.uint64), known["code"].to_numpy()]
+    else:
+        rated = stored(rated_words(counts, head_bits).select("word", "n", base.alias("base"), "code"), "word-scores")
+        coded = []
     # fewer than 2 ** head_bits words can each be more than that share of all
     head = rated.where((F.col("n") > 0) & (F.col("n") * F.lit(1 << head_bits) > F.lit(total["n"]))).toArrow()
     figures = np.stack([np.ones(head.num_rows), head["base"].to_numpy(), head["code"].to_numpy()], axis=1)
     schema = (
         "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known double, base double, code double, "
-        "rare array<binary>, counts array<bigint>"
+        "rare array<binary>, counts array<bigint>" + ", histories array<bigint>, times array<bigint>" * whole_texts
     )
-    added = stored(texts.mapInArrow(_added(head["word"].to_pylist(), figures), schema), "text-sums")
+    added = stored(texts.mapInArrow(_added(head["word"].to_pylist(), figures, *coded), schema), "text-sums")
     each = added.select("row", F.explode(F.arrays_zip("rare", "counts")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.counts").alias("tf"))
     rest = each.join(rated, "word").groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("r_known"),
         F.sum(F.col("tf") * F.col("base")).alias("r_base"),
         F.sum(F.col("tf") * F.col("code")).alias("r_code"),
     )
+    if whole_texts:
+        each = added.select("row", F.explode(F.arrays_zip("histories", "times")).alias("h")).select("row", F.col("h.histories").alias("history"), F.col("h.times").alias("times"))
+        bytes_left = each.join(codes.select("history", F.col("code").alias("_code")), "history").groupBy("row").agg(F.sum(F.col("times") * F.col("_code")).alias("_left"))
+        added = added.join(bytes_left, "row", "left").withColumn("code", F.col("code") + F.coalesce("_left", F.lit(0.0)))
     whole = added.drop("rare", "counts").join(rest, "row", "left").na.fill(0, ["r_known"]).na.fill(0.0, ["r_base", "r_code"])
     return whole.select(
         "doc_id",

@@ -282,4 +282,4 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_ppm_scores")
 def op13_ppm_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Log10 probability of every document under a byte model and under word frequencies."""
-    return ppm.scores(documents(spark, folder))
+    return ppm.scores(documents(spark, folder), whole_texts=True)

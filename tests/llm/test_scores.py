@@ -253,3 +253,87 @@ def test_all_rows_held_out(spark):
     apart = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:5]
     found = ppm.scores(spark.createDataFrame([(i, "abc d") for i in apart], "doc_id bigint, text string")).collect()
     assert len(found) == 5 and all(math.isclose(r.score, -7 * math.log10(256)) and r.train_tokens == 0 for r in found)
+
+
+class BruteTexts(BruteTrie):
+    """The model over whole texts: contexts run on across words."""
+
+    def __init__(self, texts):
+        self.after = {}
+        for text in texts:
+            for i in range(1, len(text)):
+                for k in range(min(i, ppm.ORDER) + 1):
+                    self.after.setdefault(text[i - k : i], Counter())[text[i]] += 1
+
+    def text(self, text):
+        return sum(math.log10(self.after_of(text[:i], text[i])) for i in range(1, len(text)))
+
+    def after_of(self, history, byte):
+        excluded, p = set(), 1.0
+        for k in range(min(len(history), ppm.ORDER), -1, -1):
+            own = {s: n for s, n in self.after.get(history[len(history) - k :], {}).items() if s not in excluded}
+            if not own:
+                continue
+            whole = sum(own.values()) + len(own)
+            if byte in own:
+                return p * own[byte] / whole
+            p *= len(own) / whole
+            excluded |= own.keys()
+        return p / (256 - len(excluded))
+
+
+def stream(text):
+    words = (text or "").translate(LOWER).encode().split()
+    return b" " + b"".join(w + b" " for w in words) + ppm.END
+
+
+def brute_text_scores(rows):
+    found = brute_scores(rows)
+    model = BruteTexts([stream(t) for (_, t), r in zip(rows, found, strict=True) if not r[1]])
+    cache = {}
+    return [(*r[:6], cache[t] if t in cache else cache.setdefault(t, model.text(stream(t)))) for (_, t), r in zip(rows, found, strict=True)]
+
+
+@pytest.mark.parametrize(("head_bits", "history_bits"), [(1, 0), (6, 7), (20, 21)])
+def test_scores_of_whole_texts_against_plain_python(spark, odd_rows, head_bits, history_bits):
+    rows = [(r[0], r[1]) for r in odd_rows if r[0] != 5] + [(5, odd_rows[4][1][:3000])] + [(100 + i, t) for i, t in some_docs(6, 60) if i is not None]
+    rows += [(400 + i, " ".join(["of the", "a b", "ab a", "\u00e9t\u00e9 of"][i * j % 4] for j in range(12))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("x") for c in ("row", "word", "n", "code", "cell", "block")})
+    found = ppm.scores(docs.repartition(4), head_bits=head_bits, whole_texts=True, history_bits=history_bits).collect()
+    for got, wanted in zip(_sorted([tuple(r) for r in found]), _sorted(brute_text_scores(rows)), strict=True):
+        assert got[:5] == wanted[:5] and np.allclose(got[5:], wanted[5:], rtol=1e-9, atol=1e-9)
+
+
+def test_histories_of_texts_do_not_depend_on_how_they_are_cut(spark, monkeypatch):
+    rows = [(i, t, k % 3 == 0) for k, (i, t) in enumerate(some_docs(8, 40))]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string, held_out boolean")
+    wanted = {}
+    for _, t, apart in rows:
+        s = stream(t)
+        for i in range(1, len(s)):
+            k = min(i, ppm.ORDER)
+            at = int.from_bytes(s[i - k : i + 1], "big") | k << 56
+            uses, n = wanted.get(at, (0, 0))
+            wanted[at] = uses + 1, n + (not apart)
+    assert {r.history: (r.uses, r.n) for r in ppm.text_histories(texts).collect()} == wanted
+    monkeypatch.setattr(ppm, "CELL_BYTES", 100)
+    assert {r.history: (r.uses, r.n) for r in ppm.text_histories(texts.repartition(5)).collect()} == wanted
+
+
+def test_whole_texts_of_no_rows_and_of_held_out_rows(spark, no_docs):
+    assert ppm.scores(no_docs, whole_texts=True).count() == 0
+    apart = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:5]
+    found = ppm.scores(spark.createDataFrame([(i, "abc d") for i in apart], "doc_id bigint, text string"), whole_texts=True).collect()
+    assert len(found) == 5 and all(math.isclose(r.score, -7 * math.log10(256)) and r.train_tokens == 0 for r in found)
+
+
+def test_registered_scores_know_the_word_before(spark, tmp_path):
+    """Both words are as frequent after both others in a model of words; only contexts across words tell the two texts apart."""
+    from riskloom.llm.queries import QUERIES
+
+    learned = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 != 0][:200]
+    apart = [i for i in range(400, 800) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows = [(i, ["up cat", "on dog"][k % 2]) for k, i in enumerate(learned)] + [(apart[0], "up cat"), (apart[1], "up dog")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.score for r in QUERIES["op13_ppm_scores"](spark, str(tmp_path)).collect()}
+    assert found[apart[0]] > found[apart[1]] + 1

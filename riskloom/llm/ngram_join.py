@@ -13,8 +13,8 @@ depends on set sizes:
 The boundary is the one of least expected cost over the histogram of small sizes. Sets of equal content are one node, found
 by a 128-bit hash before the join, so copies cost nothing. Members of a list are first held against one of them, a few times
 over; after those links, only lists that still join several components are searched further: short lists by pairs, long
-ones block against block inside tasks. Pairs meet as parity sketches (half a byte a member) first, which rule out most without their
-sets and never a link. No list is cut short and no pair within a component is made.
+ones block against block inside tasks. Pairs meet as parity sketches (a bit or two a member) first, which rule out most without their
+sets and never a link; only sets that may be in a pair left over are shuffled. No list is cut short and no pair within a component is made.
 
 Defined cases: null texts and texts without words have no shingles and link with nothing; fewer words than a shingle make
 one shingle; rows with a null doc_id get their size and a null component; rows with equal doc_id count as one document;
@@ -44,6 +44,7 @@ LIST_COST = 3.0  # what a list entry costs against a subset entry: lists of smal
 LARGEST_LIGHT = 40
 PAIR_LIST, BLOCK = 24, 512
 MORE_STARS = 1
+CELL_BITS = 20
 _SETS = "node bigint, again boolean, members binary, sketch binary, size bigint"
 _ZONE, _RANGE, _LIGHT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0x5851F42D4C957F2D)
 
@@ -193,9 +194,10 @@ def _sets(size: int):
 def sketch(shingles: np.ndarray) -> bytes:
     """Parity of the members in each of many cells: two sketches differ in at most as many bits as the sets do in members.
 
-    There are four cells to a member at least, a power of two; a longer sketch folds to a shorter one half upon half.
+    There is a cell to a member at least, a power of two; a longer sketch folds to a shorter one half upon half. Strangers of a size
+    differ in four tenths of their cells or more; more cells would tell apart a few pairs more, but all of them travel with every pair.
     """
-    bits = max(1024, 1 << (4 * len(shingles) - 1).bit_length())
+    bits = max(1024, 1 << (len(shingles) - 1).bit_length())
     cells = np.bincount((mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(cells.astype(np.uint8)).tobytes()
 
@@ -298,6 +300,16 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(moved.select("node", F.coalesce("root", "label").alias("label")), "labels")
 
 
+def _wanted(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of pairs ``(a, b)``, and some more: those whose nodes fall into the same of ``2 ** CELL_BITS`` cells.
+
+    Sets are wide and pairs may be few; the cells are bounded and go to the sets, which need not be shuffled to be left out.
+    """
+    cell = F.pmod(F.xxhash64("node"), F.lit(1 << CELL_BITS)).alias("_cell")
+    cells = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(cell).distinct()
+    return sets.select("*", cell).join(F.broadcast(cells), "_cell", "left_semi").drop("_cell")
+
+
 def _pairs_linked(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """Links among pairs ``(a, b)``: by the sketches first, then by the sets of those that are left."""
 
@@ -306,6 +318,7 @@ def _pairs_linked(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFram
 
     near = pairs.join(side("a", "sketch", "sa", "size", "na"), "a").join(side("b", "sketch", "sb", "size", "nb"), "b")
     near = stored(near.select("a", "b", "sa", "na", "sb", "nb").mapInArrow(_may_link(like), "a bigint, b bigint"), "near-pairs")
+    sets = _wanted(sets, near)
     both = near.join(side("a", "members", "left"), "a").join(side("b", "members", "right"), "b")
     return both.mapInArrow(_verify(like), "src bigint, dst bigint")
 

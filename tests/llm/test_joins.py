@@ -254,3 +254,23 @@ def test_top_k_of_few_and_none(spark):
     three = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [-1.0, 0.5])], schema)
     got = [tuple(r) for r in topk.top_k(three, F.col("vec_id") == 0, 5).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 4096), (0, 2, 2, -4096)]
+
+
+def test_only_sets_of_pairs_left_over_are_taken_along(spark):
+    """Sets are wide: those in no pair that the sketches leave over stay where they are, and none of a pair is lost."""
+    sets = spark.range(5000).select(F.col("id").alias("node"), F.lit(b"x" * 100).alias("members"))
+    pairs = spark.createDataFrame([(3, 4000), (4000, 17), (3, 17)], "a bigint, b bigint")
+    taken = {r.node for r in ngram_join._wanted(sets, pairs).collect()}
+    assert {3, 17, 4000} <= taken and len(taken) < 50
+
+
+def test_sketches_take_a_bit_or_two_a_member():
+    rng = np.random.default_rng(11)
+    for size in (10, 1000, 5000):
+        one, two = (np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64)) for _ in range(2))
+        near = np.unique(np.concatenate([one[: size * 9 // 10], two[: size // 10]]))
+        a, b, c = map(ngram_join.sketch, (one, two, near))
+        assert 8 * len(a) <= max(1024, 2 * size)
+        like = ngram_join.Likeness(80)
+        assert ngram_join.apart(a, c) <= len(np.setxor1d(one, near))
+        assert ngram_join.apart(a, b) > like.differing(len(one), len(two))

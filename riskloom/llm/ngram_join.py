@@ -14,7 +14,8 @@ The boundary is the one of least expected cost over the histogram of small sizes
 by a 128-bit hash before the join, so copies cost nothing. Members of a list are first held against one of them, a few times
 over; after those links, only lists that still join several components are searched further: short lists by pairs, long
 ones block against block inside tasks. Pairs meet as parity sketches (a bit or two a member) first, which rule out most without their
-sets and never a link; only sets that may be in a pair left over are shuffled. No list is cut short and no pair within a component is made.
+sets and never a link; sets are made again from the texts for the pairs left over, and no others are stored or shuffled. No list is cut
+short and no pair within a component is made.
 
 Defined cases: null texts and texts without words have no shingles and link with nothing; fewer words than a shingle make
 one shingle; rows with a null doc_id get their size and a null component; rows with equal doc_id count as one document;
@@ -24,7 +25,7 @@ an empty table gives no rows. Columns other than ``doc_id`` and ``text`` are ign
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
@@ -45,7 +46,8 @@ LARGEST_LIGHT = 40
 PAIR_LIST, BLOCK = 24, 512
 MORE_STARS = 1
 CELL_BITS = 20
-_SETS = "node bigint, again boolean, members binary, sketch binary, size bigint"
+_FACTS = "doc_id bigint, n_shingles bigint, node bigint, check bigint, sketch binary"
+_SETS = "node bigint, again boolean, members binary"
 _ZONE, _RANGE, _LIGHT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0x5851F42D4C957F2D)
 
 
@@ -135,10 +137,10 @@ def _facts(size: int):
         shingler = Shingler(size)
         for batch in batches:
             for a, b, data, offsets in text_slices(batch["text"]):
-                rows = [(len(s), *(_set_hashes(s) if len(s) else (None, None))) for s in shingler.sets(data, offsets)]
-                counts, node, check = zip(*rows, strict=True)
-                columns = [batch["doc_id"].slice(a, b - a), pa.array(counts, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "check"])
+                rows = [(len(s), *((*_set_hashes(s), sketch(s)) if len(s) else (None, None, None))) for s in shingler.sets(data, offsets)]
+                counts, node, check, sketches = zip(*rows, strict=True)
+                columns = [batch["doc_id"].slice(a, b - a), *[pa.array(x, pa.int64()) for x in (counts, node, check)], pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "check", "sketch"])
 
     return facts
 
@@ -184,9 +186,7 @@ def _sets(size: int):
                     if len(s) and _set_hashes(s)[0] == n
                 ]
                 nodes, flags, found = pa.array([n for n, _, _ in rows], pa.int64()), pa.array([r for _, r, _ in rows], pa.bool_()), [s for _, _, s in rows]
-                columns = [pa.array([s.tobytes() for s in found], pa.binary()), pa.array([sketch(s) for s in found], pa.binary())]
-                sizes = pa.array([len(s) for s in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([nodes, flags, *columns, sizes], ["node", "again", "members", "sketch", "size"])
+                yield pa.RecordBatch.from_arrays([nodes, flags, pa.array([s.tobytes() for s in found], pa.binary())], ["node", "again", "members"])
 
     return sets
 
@@ -300,26 +300,38 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(moved.select("node", F.coalesce("root", "label").alias("label")), "labels")
 
 
-def _wanted(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _wanted(sets: DataFrame, pairs: DataFrame, name: str = "node", ends: tuple[str, ...] = ("a", "b")) -> DataFrame:
     """The sets of pairs ``(a, b)``, and some more: those whose nodes fall into the same of ``2 ** CELL_BITS`` cells.
 
     Sets are wide and pairs may be few; the cells are bounded and go to the sets, which need not be shuffled to be left out.
     """
-    cell = F.pmod(F.xxhash64("node"), F.lit(1 << CELL_BITS)).alias("_cell")
-    cells = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(cell).distinct()
+    cell = F.pmod(F.xxhash64(name), F.lit(1 << CELL_BITS)).alias("_cell")
+    cells = pairs.select(F.explode(F.array(*ends)).alias(name)).select(cell).distinct()
     return sets.select("*", cell).join(F.broadcast(cells), "_cell", "left_semi").drop("_cell")
 
 
-def _pairs_linked(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+def _members(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(node, members) of the nodes of pairs ``(a, b)``, from the texts of ``rows``: (node, doc_id, again)."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = stored(rows.join(nodes, "node", "left_semi"), "pair-rows")
+    # a document may come in several rows: only rows with the wanted content are taken
+    chosen = _wanted(texts, rows, "doc_id", ("doc_id",)).join(rows, "doc_id").select("node", "again", "text")
+    chosen = stored(chosen.mapInArrow(_sets(words), _SETS), "pair-sets")
+    # sets are wide: only those that come again are shuffled to be merged
+    merged = stored(chosen.where("again").dropDuplicates(["node"]), "repeated-sets")
+    return chosen.where("not again").unionByName(merged).drop("again")
+
+
+def _pairs_linked(pairs: DataFrame, sketches: DataFrame, members: Callable[[DataFrame], DataFrame], like: Likeness) -> DataFrame:
     """Links among pairs ``(a, b)``: by the sketches first, then by the sets of those that are left."""
 
-    def side(name: str, *columns: str) -> DataFrame:
+    def side(sets: DataFrame, name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("node").alias(name), *[F.col(c).alias(n) for c, n in zip(columns[::2], columns[1::2], strict=True)])
 
-    near = pairs.join(side("a", "sketch", "sa", "size", "na"), "a").join(side("b", "sketch", "sb", "size", "nb"), "b")
+    near = pairs.join(side(sketches, "a", "sketch", "sa", "size", "na"), "a").join(side(sketches, "b", "sketch", "sb", "size", "nb"), "b")
     near = stored(near.select("a", "b", "sa", "na", "sb", "nb").mapInArrow(_may_link(like), "a bigint, b bigint"), "near-pairs")
-    sets = _wanted(sets, near)
-    both = near.join(side("a", "members", "left"), "a").join(side("b", "members", "right"), "b")
+    sets = members(near)
+    both = near.join(side(sets, "a", "members", "left"), "a").join(side(sets, "b", "members", "right"), "b")
     return both.mapInArrow(_verify(like), "src bigint, dst bigint")
 
 
@@ -335,9 +347,7 @@ def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
 def jaccard_classes(docs: DataFrame, words: int = 5, like: Likeness = Likeness(80)) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id of those connected by links, itself included) per row."""
     texts = docs.select("doc_id", "text")
-    facts = stored(
-        texts.mapInArrow(_facts(words), "doc_id bigint, n_shingles bigint, node bigint, check bigint"), "shingle-facts"
-    )
+    facts = stored(texts.mapInArrow(_facts(words), _FACTS), "shingle-facts")
     given = facts.where("doc_id is not null and n_shingles > 0")
     classes = stored(given.groupBy("node", "check").agg(F.min("doc_id").alias("first")), "shingle-classes")
     small = given.where(F.col("n_shingles") <= 2 * LARGEST_LIGHT).groupBy("n_shingles").count().collect()
@@ -351,14 +361,15 @@ def jaccard_classes(docs: DataFrame, words: int = 5, like: Likeness = Likeness(8
     live = keyed.withColumn("head", head).withColumn("_last", last).where("head <> _last").select("key", "head", "node").distinct()
     live = stored(live, "lists")
 
-    wanted = live.select("node").distinct().join(classes, "node").select("node", F.col("first").alias("doc_id"))
-    # a document may come in several rows: only rows with the wanted content are taken
+    wanted = live.select("node").distinct()
+    sketches = given.select("node", "sketch", F.col("n_shingles").alias("size")).dropDuplicates(["node"])
+    sketches = stored(sketches.join(wanted, "node", "left_semi"), "sketches")
+    first = wanted.join(classes, "node").select("node", F.col("first").alias("doc_id"))
     rows = given.groupBy("doc_id", "node").agg((F.count(F.lit(1)) > 1).alias("again"))
-    chosen = wanted.join(rows, ["doc_id", "node"]).join(texts, "doc_id").select("node", "again", "text")
-    chosen = stored(chosen.mapInArrow(_sets(words), _SETS), "shingle-sets")
-    # sets are wide: only those that come again are shuffled to be merged
-    merged = stored(chosen.where("again").dropDuplicates(["node"]), "repeated-sets")
-    sets = chosen.where("not again").unionByName(merged).drop("again")
+    rows = stored(first.join(rows, ["doc_id", "node"]).select("node", "doc_id", "again"), "set-rows")
+
+    def members(pairs: DataFrame) -> DataFrame:
+        return _members(pairs, rows, texts, words)
 
     # members against one member of their list: the least node first, then the least of a component drawn by hash
     stars = live.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
@@ -368,7 +379,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, like: Likeness = Likeness(8
     same = stored(same.distinct(), "same-documents")
     nodes = live.select("node").unionByName(same.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
     labels = stored(nodes.withColumn("label", F.col("node")), "nodes")
-    labels = _merged(labels, _pairs_linked(stars, sets, like).unionByName(same))
+    labels = _merged(labels, _pairs_linked(stars, sketches, members, like).unionByName(same))
     open_lists = live.select("key", "node")
     for turn in range(MORE_STARS):
         # a list of one component stays one: later turns only look at those that were open
@@ -377,7 +388,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, like: Likeness = Likeness(8
         heads = open_lists.groupBy("key").agg(F.min(drawn).alias("_h")).select("key", F.col("_h.node").alias("a"), F.col("_h.label").alias("_l"))
         met = open_lists.join(heads, "key").where("label <> _l")
         stars = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        labels = _merged(labels, _pairs_linked(stars, sets, like))
+        labels = _merged(labels, _pairs_linked(stars, sketches, members, like))
 
     # what lists still hold several components: every pair of different ones
     open_lists = stored(_open_lists(open_lists, labels), "open-lists")
@@ -388,9 +399,9 @@ def jaccard_classes(docs: DataFrame, words: int = 5, like: Likeness = Likeness(8
     placed = open_lists.where(F.col("n") > PAIR_LIST).withColumn("home", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = met.select("key", "node", "label", "home", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"))
-    grouped = met.join(sets.select("node", "sketch", "size"), "node").groupBy("key", "low", "high")
+    grouped = met.join(sketches, "node").groupBy("key", "low", "high")
     pairs = pairs.unionByName(grouped.applyInPandas(_block_pairs(like), "a bigint, b bigint")).distinct()
-    labels = _merged(labels, _pairs_linked(pairs, sets, like))
+    labels = _merged(labels, _pairs_linked(pairs, sketches, members, like))
 
     named = classes.join(labels, "node", "left").select("node", "check", "first", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))

@@ -274,3 +274,27 @@ def test_sketches_take_a_bit_or_two_a_member():
         like = ngram_join.Likeness(80)
         assert ngram_join.apart(a, c) <= len(np.setxor1d(one, near))
         assert ngram_join.apart(a, b) > like.differing(len(one), len(two))
+
+
+def test_only_sets_of_pairs_left_over_are_stored(spark, monkeypatch):
+    """Members of sets that share a list, but are in no pair that the sketches leave over, are written nowhere."""
+    tables = []
+
+    def stored(df, name, plain=ngram_join.stored):
+        tables.append(plain(df, name))
+        return tables[-1]
+
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    rng = random.Random(5)
+    # every two texts begin alike, so that they share lists, and have half of their words in common
+    halves = [" ".join(f"h{k}x{rng.randrange(10**6)}" for _ in range(60)) for k in range(40)]
+    rows = [(2 * k + i, f"{half} " + " ".join(f"o{rng.randrange(10**9)}" for _ in range(60))) for k, half in enumerate(halves) for i in range(2)]
+    rows += [(500, rows[0][1] + " end"), (500, rows[0][1] + " end"), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    # sets of a node: which lists strangers share depends on hashes, so one list for all is given
+    monkeypatch.setattr(ngram_join, "list_keys", lambda shingles, zones: np.array([1], np.uint64))
+    got = ngram_join.jaccard_classes(docs, 3, Likeness(90)).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute_classes(rows, 3, 90), key=key)
+    wide = [t.select("node").distinct().count() for t in tables if "members" in t.columns]
+    assert wide and max(wide) <= 4

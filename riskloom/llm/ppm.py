@@ -47,9 +47,11 @@ HISTORY_BITS = 21
 COUNTED_WORDS, COUNTED_BYTES = 200_000, 1 << 24  # words a task counts before it hands them on
 COUNTED_HISTORIES = 3 << 20  # histories a task holds before it adds them up, and hands them on if three quarters are left
 RANGE_BYTES = 1 << 20  # of texts whose histories a task holds one by one
+SORTED_RANGES = 4  # of those, whose histories are sorted at once; the more, the fewer are left to be added up
 CELL_BYTES = 1 << 24
 _ORDERS = np.uint64(56)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_SPREADS = (_SPREAD, np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def held_out() -> Column:
@@ -123,18 +125,17 @@ def written(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Histories, as in ``spelled``, of every byte of whole texts given as their tokens, and their number for each text."""
     streams = [b" " + b" ".join(words[:-1]) + (b" " if len(words) > 1 else b"") + END for words in texts]
     lengths = np.fromiter(map(len, streams), np.int64, len(streams))
-    history = np.frombuffer(b"".join(streams), np.uint8).astype(np.uint64)
-    for back, kept in ((1, 1), (2, 2), (4, ORDER - 3)):  # one byte, two, four, and the rest of them
-        earlier = history[:-back] & np.uint64((1 << 8 * kept) - 1)
-        history[back:] |= earlier << np.uint64(8 * back)
+    data = bytes(7) + b"".join(streams)
+    history = np.ndarray(len(data) - 7, ">u8", data, strides=(1,)).astype(np.uint64)  # the eight bytes up to every place
+    history &= np.uint64((1 << 8 * (ORDER + 1)) - 1)
+    history |= np.uint64(ORDER) << _ORDERS
     first = np.cumsum(lengths) - lengths
-    order = np.full(len(history), ORDER, np.uint64)
-    for place in range(ORDER):
+    for place in range(1, ORDER):
         at = (first + place)[lengths > place]
-        history[at] &= np.uint64((1 << 8 * (place + 1)) - 1)
-        order[at] = place
-    history |= order << _ORDERS
-    return np.delete(history, first), lengths - 1
+        history[at] = (history[at] & np.uint64((1 << 8 * (place + 1)) - 1)) | (np.uint64(place) << _ORDERS)
+    coded = np.ones(len(history), bool)
+    coded[first] = False
+    return history[coded], lengths - 1
 
 
 def _packed(*columns: np.ndarray) -> bytes:
@@ -150,9 +151,12 @@ def _unpacked(block: bytes, columns: int) -> list[np.ndarray]:
 
 
 def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Distinct histories of all parts in order, with their counts added up; a column at a time, which halves the work space."""
+    """Distinct histories of all parts in order, with their counts added up; a column at a time, which halves the work space.
+
+    Every part is in order, so that a stable sort only merges them.
+    """
     history = np.concatenate([p[0] for p in parts])
-    order = np.argsort(history)
+    order = np.argsort(history, kind="stable")
     history = history[order]
     first = np.ones(len(history), bool)
     first[1:] = history[1:] != history[:-1]
@@ -180,7 +184,7 @@ def _text_histories(cells: int):
         size = places = 0
         for batch in batches:
             apart = batch["held_out"].to_numpy(zero_copy_only=False)
-            for a, b, texts in text_ranges(batch["text"].fill_null("").cast(pa.binary()), RANGE_BYTES):
+            for a, b, texts in text_ranges(batch["text"].fill_null("").cast(pa.binary()), SORTED_RANGES * RANGE_BYTES):
                 history, lengths = written([tokens(t) for t in texts])
                 learned = np.repeat(~apart[a:b], lengths)
                 for mine, trained in ((history[learned], 1), (history[~learned], 0)):
@@ -327,25 +331,46 @@ def _listed(keys: np.ndarray, owner: np.ndarray, owners: int) -> list[pa.Array]:
 
 
 class _Codes:
-    """Codes of frequent histories, given with the most frequent last: a slot for each hash, and all in order behind it."""
+    """Codes of frequent histories, given with the most frequent last: slots for hashes, of several in one the last stays.
+
+    Those that are left have slots for another hash, and the few left there are searched in order. A history lies next to its code,
+    and the frequent ones next to each other.
+    """
 
     def __init__(self, histories: np.ndarray, codes: np.ndarray):
-        self.shift = np.uint64(63 - len(histories).bit_length())
-        order = np.argsort(histories)
-        self.slots = np.full(1 << (64 - int(self.shift)), len(histories), np.int32)
-        place = np.empty(len(histories), np.int32)
-        place[order] = np.arange(len(histories), dtype=np.int32)
-        self.slots[(histories * _SPREAD) >> self.shift] = place  # of several the last one stays
-        self.histories, self.codes = np.append(histories[order], ~np.uint64(0)), np.append(codes[order], 0.0)  # the last: none
+        self.none = len(histories)  # the last place: not a history that is held
+        self.pairs = np.empty((self.none + 1, 2))
+        self.pairs[:, 0] = np.append(histories, ~np.uint64(0)).view(np.float64)
+        self.pairs[:, 1] = np.append(codes, 0.0)
+        self.pairs = self.pairs.view(np.complex128).ravel()
+        left, self.tables = np.arange(self.none, dtype=np.int32), []
+        for i, spread in enumerate(_SPREADS):
+            shift = np.uint64(63 - max(1, self.none.bit_length() - i))
+            slots = np.full(1 << (64 - int(shift)), self.none, np.int32)
+            places = ((histories[left] * spread) >> shift).view(np.int64)
+            slots[places] = left
+            self.tables.append((spread, shift, slots))
+            left = left[slots[places] != left]
+        order = np.argsort(histories[left])
+        self.rest, self.searched = np.append(left[order], np.int32(self.none)), np.append(histories[left[order]], ~np.uint64(0))
+
+    def _held(self, table: int, histories: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places by one of the hashes, the codes there, and which histories are not those."""
+        spread, shift, slots = self.tables[table]
+        at = slots.take(((histories * spread) >> shift).view(np.int64))
+        pairs = self.pairs.take(at).view(np.float64).reshape(-1, 2)
+        return at, pairs[:, 1], np.flatnonzero(pairs[:, 0].view(np.uint64) != histories)
 
     def find(self, histories: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The code of every history, 0 where it is not held, and the places of those."""
-        at = self.slots[(histories * _SPREAD) >> self.shift]
-        missing = np.flatnonzero(self.histories[at] != histories)
-        behind = np.searchsorted(self.histories, histories[missing])
-        behind[self.histories[behind] != histories[missing]] = len(self.codes) - 1
-        at[missing] = behind
-        return self.codes[at], missing[behind == len(self.codes) - 1]
+        _, codes, missing = self._held(0, histories)
+        own = histories[missing]
+        at, _, other = self._held(1, own)
+        behind = np.searchsorted(self.searched, own[other])
+        behind[self.searched[behind] != own[other]] = len(self.rest) - 1
+        at[other] = self.rest[behind]
+        codes[missing] = self.pairs.take(at).imag
+        return codes, missing[at == self.none]
 
 
 def _rated(histories: np.ndarray, codes: np.ndarray):

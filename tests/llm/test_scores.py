@@ -337,3 +337,33 @@ def test_registered_scores_know_the_word_before(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {r.doc_id: r.score for r in QUERIES["op13_ppm_scores"](spark, str(tmp_path)).collect()}
     assert found[apart[0]] > found[apart[1]] + 1
+
+
+def test_few_histories_are_searched():
+    """Nearly every frequent history has a slot of its own, the most frequent first; the others are found as well."""
+    rng = np.random.default_rng(13)
+    histories = rng.permutation(np.unique(rng.integers(0, 1 << 59, 50_000).astype(np.uint64)))
+    code = rng.random(len(histories))
+    codes = ppm._Codes(histories, code)
+    assert len(codes.searched) - 1 <= len(histories) // 50
+    asked = np.concatenate([histories, rng.integers(0, 1 << 59, 1000).astype(np.uint64), histories[:7]])
+    held = dict(zip(histories.tolist(), code.tolist(), strict=True))
+    found, missing = codes.find(asked)
+    assert found.tolist() == [held.get(h, 0.0) for h in asked.tolist()]
+    assert missing.tolist() == [i for i, h in enumerate(asked.tolist()) if h not in held]
+    for n in (0, 1, 3):
+        found, missing = ppm._Codes(histories[:n], code[:n]).find(histories[:5])
+        assert found.tolist() == [*code[:n], *np.zeros(5 - n)] and missing.tolist() == list(range(n, 5))
+
+
+def test_histories_of_texts_byte_by_byte():
+    for texts in ([[]], [[b"a"], [], [b"abcdefgh", b"x"], [b"ab", b"c"]], [[], [b"x" * 9]] * 3):
+        given = [[*words, ppm.END] for words in texts]
+        plain = []
+        for words in given:
+            stream = b" " + b"".join(w + b" " for w in words[:-1]) + ppm.END
+            for i in range(1, len(stream)):
+                order = min(i, ppm.ORDER)
+                plain.append(int.from_bytes(stream[i - order : i + 1], "big") | order << 56)
+        history, lengths = ppm.written(given)
+        assert history.tolist() == plain and lengths.sum() == len(plain)

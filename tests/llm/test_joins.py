@@ -246,6 +246,54 @@ def test_top_k_with_ties_copies_and_bad_vectors(spark, monkeypatch, chunk):
     assert sorted(map(tuple, got)) == brute_top(rows, 5, 10)
 
 
+@pytest.mark.parametrize("scale", [0.5, 2, 400, 1e6])
+def test_top_k_in_integers_of_each_width(spark, monkeypatch, scale):
+    for name, value in {"CHUNK": 16, "LOT": 7, "SLABS": 9, "FIRST_ROUNDS": (1, 2, 4, 8), "REST": 1}.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(v)) for v in np.clip(rng.normal(size=8), -1, 1) * scale]) for i in range(900)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("vec_id") % 7 == 0, 6).collect()
+    assert sorted(map(tuple, got)) == brute_top(rows, 7, 6)
+
+
+def test_narrowest_integers():
+    assert [topk._kind(-2.0, x) for x in (1.99, 2.0, 511.99, 512.0, 3e7, 4e7)] == ["<i1", "<i2", "<i2", "<i4", "<i4", "<i8"]
+    assert [topk._kind(x, 0.0) for x in (-2.0, -2.01, -512.0, -513.0)] == ["<i1", "<i2", "<i2", "<i4"]
+
+
+def test_search_among_equal_scores():
+    rng = np.random.default_rng(6)
+    queries, rows = (rng.integers(-2, 3, (n, 2)).astype("<i1") for n in (9, 5000))
+    names, marks, runs = rng.permutation(5000), rng.random((9, 3)) < 0.7, [3000, 10, 1990]
+    least = np.where(np.arange(9) % 3 == 0, 4, topk.LEAST)
+    own = np.repeat(marks, runs, axis=1)
+    expected = set()
+    for q in range(9):
+        scores = rows.astype(int) @ queries[q].astype(int)
+        best = sorted((-s, n) for s, n, there in zip(scores, names, own[q], strict=True) if there and s >= least[q])[:4]
+        expected |= {(q, n, -s) for s, n in best}
+    q, x, scores = topk._search(queries, rows, range(3), runs, marks, least, names, 4)
+    assert len(q) == len(expected) and set(zip(q, names[x], scores, strict=True)) == expected
+
+
+def test_lots_of_queries_are_not_broadcast(spark, monkeypatch):
+    """The planner knows the table of queries only, of which each slab gets a part: lots of any size would go through the driver."""
+    plans, store = [], topk.stored
+
+    def spy(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return store(df, name)
+
+    monkeypatch.setattr(topk, "stored", spy)
+    monkeypatch.setattr(topk, "CHUNK", 16)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    assert topk.top_k(vectors, F.col("vec_id") % 5 == 0, 3).count() == 180
+    joins = [plan for name, plan in plans if name in ("best", "queries", "visits") and "Join" in plan]
+    assert len(joins) > 2 and not any("Broadcast" in plan for plan in joins)
+
+
 def test_top_k_of_few_and_none(spark):
     schema = "vec_id bigint, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], schema), F.lit(True), 5).count() == 0

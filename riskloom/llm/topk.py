@@ -37,6 +37,7 @@ from riskloom.llm.common import stored
 SAMPLE, MAX_PIVOTS, MAX_RINGS, CHUNK = 4096, 128, 32, 1024
 FIRST_ROUNDS, REST = (1, 6, 48, 384), 10  # annuli of the rounds before the last, which takes up to so many times those visited
 SLABS, SLAB_BYTES, LOT = 64, 1 << 23, 2048  # least number of slabs, most bytes of one, queries that go to it together
+CHOICE, TILE_WIDTH, TILE = 256, 256, 1 << 19  # queries whose annuli are chosen at once, least columns and usual size of scores made at once
 LEAST = -(1 << 62)
 
 
@@ -193,8 +194,8 @@ def _choose(rings: Rings, dim: int, kind: str, take: int | None):
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(a, CHUNK)
+            for a in range(0, batch.num_rows, CHOICE):
+                part = batch.slice(a, CHOICE)
                 queries = _matrix(part["code"].to_pylist(), dim, kind)
                 least = part["least"].fill_null(LEAST).to_numpy(zero_copy_only=False)
                 seen = part["seen"].fill_null(bytes((many + 7) // 8)).to_pylist()
@@ -253,7 +254,7 @@ def _search(queries, rows, places, runs, marks, least, names, many) -> tuple[np.
     ``least`` is the score from which on a row counts; it rises with what is found.
     """
     queries, rows = _widened(queries, rows)
-    least, held, end = least.copy(), [np.zeros((3, 0), np.int64)], 0
+    least, held, fresh, end = least.copy(), [np.zeros((3, 0), np.int64)], 0, 0
 
     def settled() -> np.ndarray:
         q, x, score = found = np.concatenate(held, axis=1)
@@ -265,17 +266,22 @@ def _search(queries, rows, places, runs, marks, least, names, many) -> tuple[np.
     for place, run in zip(places, runs, strict=True):
         begin, end = end, end + run
         own = np.flatnonzero(marks[:, place])
-        left = queries[own]
-        for a in range(begin, end if len(own) else begin, CHUNK):
-            scores = left @ rows[a : min(a + CHUNK, end)].T
-            floor = least[own].astype(scores.dtype)[:, None]
+        left, wide = queries[own], max(TILE_WIDTH, TILE // max(1, len(own)))
+        for a in range(begin, end if len(own) else begin, wide):
+            scores = left @ rows[a : min(a + wide, end)].T
+            floor = least[own].astype(scores.dtype)
+            some = np.flatnonzero(scores.max(axis=1) >= floor)
+            if not len(some):
+                continue
+            scores, floor = scores[some], floor[some][:, None]
             hits = scores >= floor
-            if np.count_nonzero(hits) > 4 * many * len(own) and scores.shape[1] > many:
+            if np.count_nonzero(hits) > 4 * many * len(some) and scores.shape[1] > many:
                 hits = scores >= np.maximum(floor, np.partition(scores, -many, axis=1)[:, [-many]])
-            q, x = np.divmod(np.flatnonzero(hits), scores.shape[1])
-            held.append(np.stack([own[q], a + x, scores[q, x].astype(np.int64)]))
-            if sum(h.shape[1] for h in held) > 8 * many * len(queries):
-                held = [settled()]
+            q, x = np.nonzero(hits)
+            held.append(np.stack([own[some[q]], a + x, scores[q, x].astype(np.int64)]))
+            fresh += len(q)
+            if fresh > 8 * many * len(queries):
+                held, fresh = [settled()], 0
     return tuple(settled())
 
 

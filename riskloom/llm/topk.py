@@ -36,7 +36,7 @@ from riskloom.llm.common import stored
 
 SAMPLE, MAX_PIVOTS, MAX_RINGS, CHUNK = 4096, 128, 32, 1024
 FIRST_ROUNDS, REST = (1, 6, 48, 384), 10  # annuli of the rounds before the last, which takes up to so many times those visited
-SLABS, SLAB_BYTES, LOT = 64, 1 << 23, 2048  # least number of slabs, most bytes of one, queries that go to it together
+SLABS, SLAB_BYTES, LOT = 64, 1 << 22, 2048  # least number of slabs, most bytes of one, queries that go to it together
 CHOICE, TILE_WIDTH, TILE = 256, 256, 1 << 19  # queries whose annuli are chosen at once, least columns and usual size of scores made at once
 LEAST = -(1 << 62)
 
@@ -292,8 +292,8 @@ def _score(dim: int, kind: str, k: int):
                 names, least, places, runs, ids, sizes = (
                     batch[c][i].values.to_numpy() for c in ("names", "least", "places", "runs", "ids", "sizes")
                 )
-                queries, rows = (np.frombuffer(batch[c][i].as_py(), kind).reshape(-1, dim) for c in ("queries", "codes"))
-                marks = np.unpackbits(np.frombuffer(batch["marks"][i].as_py(), "u1").reshape(len(names), -1), axis=1)
+                queries, rows = (np.frombuffer(batch[c][i].as_buffer(), kind).reshape(-1, dim) for c in ("queries", "codes"))
+                marks = np.unpackbits(np.frombuffer(batch["marks"][i].as_buffer(), "u1").reshape(len(names), -1), axis=1)
                 starts = np.cumsum(sizes, dtype=np.int64) - sizes
                 # one of the k + 1 best vectors may be the query itself
                 q, x, scores = _search(queries, rows, places, runs, marks, least, ids[starts], k + 1)
